@@ -41,10 +41,11 @@ def line_verdict(line: Column, rules: LineRules) -> Column:
     marks = F.regexp_count(line, F.lit(r"(?:[#*$%&|<>]{2}|!!)(?=[ \t-\r]|\z)"))
     boiler = line.rlike(BOILERPLATE)
     ends = line.rlike(r"[.!?…:;。！？]")
+    marked = line.rlike(r"[#*$%&|<>]{2}|!!|[|»›>•·]")  # cheap: most lines end here
     return (
-        F.when((bars >= rules.nav_separators) & (bars >= rules.nav_share * tokens), "navigation")
-        .when((marks > 0) & (marks >= rules.mark_share * tokens), "punctuation")
-        .when((tokens >= rules.min_unpunctuated) & ~ends, "punctuation")
+        F.when(marked & (bars >= rules.nav_separators) & (bars >= rules.nav_share * tokens), "navigation")
+        .when(marked & (marks > 0) & (marks >= rules.mark_share * tokens), "punctuation")
+        .when(~ends & (tokens >= rules.min_unpunctuated), "punctuation")
         .when(boiler, "boilerplate")
     )
 
@@ -107,14 +108,18 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = LineRu
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     base = let(
         words,
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated_words(w).alias("n_repeat_words"),
+        ),
     )
     found = (
         clean_lines(docs, text, rules)
         .withColumn("__base", base)
         .withColumn("n_words", F.col("__base.n_words"))
-        .withColumn("word_chars", _letters(t).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"))
+        .withColumn("word_chars", F.col("__base.word_chars"))
+        .withColumn("n_symbols", sum(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit(""))) for c in "#*$%&|<>").cast("long"))
         .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
         .withColumn("n_repeat_words", F.col("__base.n_repeat_words"))
     )
