@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, quality
+from tracewell.llm import chat, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op5_quality_rules": quality.op5_quality,
+        "op6_simhash": simhash.op6_simhash,
     }
 
 
