@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.session import materialize, shared_path
 
-__all__ = ["append_columns", "let", "materialize", "read_table", "shared_path"]
+__all__ = ["append_columns", "let", "materialize", "read_table", "share", "shared_path"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of `value`, whose classes travel with it; call the result on an executor."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], batches: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]]) -> DataFrame:
     """`df` with columns that Python computes from Arrow batches; no shuffle.
 

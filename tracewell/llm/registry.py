@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, quality, simhash
+from tracewell.llm import chat, decontaminate, quality, simhash
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op5_quality_rules": quality.op5_quality,
         "op6_simhash": simhash.op6_simhash,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op5_quality_rules": quality.OP5_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
