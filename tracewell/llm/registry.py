@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, quality, simhash
+from tracewell.llm import chat, decontaminate, quality, shards, simhash, tokencount, urls
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op3_token_counts": tokencount.op3_token_counts,
         "op5_quality_rules": quality.op5_quality,
         "op6_simhash": simhash.op6_simhash,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_url_filter": urls.op9_url_filter,
+        "op10_shards": shards.op10_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op9_url_filter": urls.OP9_SQL}
