@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, quality, shards, simhash, tokencount, urls
+import corpus_pipeline
+from tracewell.llm import chat, decontaminate, langid, pieces, quality, shards, simhash, tokencount, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_token_counts": tokencount.op3_token_counts,
+        "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_quality_rules": quality.op5_quality,
         "op6_simhash": simhash.op6_simhash,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_language_id": langid.op8_language_id,
         "op9_url_filter": urls.op9_url_filter,
         "op10_shards": shards.op10_shards,
+        "pipeline": corpus_pipeline.run,
     }
 
 

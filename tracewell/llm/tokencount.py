@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import read_table, shared_path
 
 _SCHEMA = "tokenizer string, content binary, n_tokens long"
-_ENCODERS: dict = {}
 
 
 @dataclass(frozen=True)
@@ -42,18 +42,19 @@ class TokenizerFile:
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text, without begin, end or added special tokens, nothing cut off."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if self.path not in _ENCODERS:
+        loaded = sys.__dict__.setdefault("_tracewell_tokenizers", {})  # outlives the task
+        if self.path not in loaded:
             if self.path.endswith(".model"):
                 from sentencepiece import SentencePieceProcessor
 
-                _ENCODERS[self.path] = SentencePieceProcessor(model_file=self.path)
+                loaded[self.path] = SentencePieceProcessor(model_file=self.path)
             else:
                 from tokenizers import Tokenizer
 
-                _ENCODERS[self.path] = made = Tokenizer.from_file(self.path)
+                loaded[self.path] = made = Tokenizer.from_file(self.path)
                 made.no_truncation()
                 made.no_padding()
-        encoder = _ENCODERS[self.path]
+        encoder = loaded[self.path]
         if self.path.endswith(".model"):
             return [len(x) for x in encoder.encode(texts, num_threads=1)]
         return [len(x) for x in encoder.encode_batch_fast(texts, add_special_tokens=False)]
