@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import read_table, shared_path
+from tracewell.llm.common import materialize, read_table, shared_path
 
 _SCHEMA = "tokenizer string, content binary, n_tokens long"
 
@@ -88,7 +88,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: TokenizerFile, doc_id:
     spark.createDataFrame([], _SCHEMA).write.mode("append").parquet(cache)  # the table exists from here on
     missing = rows.select("content", "text").join(stored().select("content"), "content", "left_anti").dropDuplicates(["content"])
     missing.mapInArrow(lambda it: _encode(it, tokenizer, version), _SCHEMA).write.mode("append").parquet(cache)
-    known = stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join below reads both sides from exchanges and a hot text's rows are split
+    known = materialize(stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     small = rows.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return small.join(known, "content", "left").select("doc_id", "n_bytes", "n_tokens")
 

@@ -21,14 +21,18 @@ from pyspark.sql import types as T
 from tracewell.llm.common import append_columns, read_table, share
 
 _WORD = re.compile(r"[^\W\d_]+")
-_PREFIXES = (4, 5, 6)
-_LEAST = 20  # shares of shorter texts are taken of so many words, lest one word decide
+_PREFIXES = (4, 5, 6, 7, 8)
+_LEAST, _MOST = 20, 500  # shorter texts count as so long, lest one word decide; longer ones too, lest many words hide a few
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _length(words: list[str]) -> int:
+    return min(_MOST, max(_LEAST, len(words)))
+
+
 def features_of(word: str) -> list[str]:
     return [word] + [word[:k] + "*" for k in _PREFIXES if len(word) > k]
 
@@ -52,13 +56,13 @@ class SeverityModel:
                 if len(cache) < 300_000:
                     cache[w] = s
             total += n * s
-        eta = 100.0 * total / max(_LEAST, len(words))
+        eta = 100.0 * total / _length(words)
         over = [1 / (1 + np.exp(min(60.0, t - eta))) for t in self.thresholds] if words else [0.0] * len(self.thresholds)
         return float(sum(over)), over
 
 
-def select_features(samples: list[tuple[list[str], int]], most: int = 2048, least_docs: int = 5) -> list[str]:
-    """Features that occur in toxic texts far more often than in others, by smoothed log-odds."""
+def select_features(samples: list[tuple[list[str], int]], most: int = 2048, least_docs: int = 5, least_z: float = 4.0) -> list[str]:
+    """Features that occur in toxic texts far more often than in others, by the z score of the two shares."""
     seen, n = (Counter(), Counter()), [0, 0]
     for words, toxic in samples:
         n[toxic] += 1
@@ -66,11 +70,11 @@ def select_features(samples: list[tuple[list[str], int]], most: int = 2048, leas
     out = []
     for f, a in seen[1].items():
         b = seen[0][f]
-        if a >= least_docs and n[1]:
-            odds = np.log((a + 0.1) / (n[1] - a + 0.1)) - np.log((b + 0.1) / (n[0] - b + 0.1))
-            error = np.sqrt(1 / (a + 0.1) + 1 / (b + 0.1))
-            if a / n[1] >= 8 * (b + 0.25) / max(1, n[0]):
-                out.append((odds / error, f))
+        if a >= least_docs and a / n[1] >= 3 * (b + 0.25) / max(1, n[0]):
+            p = (a + b) / (n[0] + n[1])
+            z = (a / n[1] - b / max(1, n[0])) / np.sqrt(p * (1 - p) * (1 / n[1] + 1 / max(1, n[0])) + 1e-12)
+            if z >= least_z:
+                out.append((z, f))
     return [f for _, f in sorted(out, reverse=True)[:most]]
 
 
@@ -127,7 +131,7 @@ def fit(samples: list[tuple[str | None, int]], grades: int = 4) -> SeverityModel
                 counts[f] += n
             hit += n * bool(fs)
         rows.append(counts)
-        share_of.append(100.0 * hit / max(1, len(words)))
+        share_of.append(100.0 * hit / _length(words))
     toxic = np.array([y for _, y in split])
     share_of = np.array(share_of)
     cuts = np.quantile(share_of[toxic == 1], np.arange(1, grades - 1) / (grades - 1))
@@ -135,7 +139,7 @@ def fit(samples: list[tuple[str | None, int]], grades: int = 4) -> SeverityModel
     x = np.zeros((len(split), len(chosen)), np.float64)
     for i, counts in enumerate(rows):
         for f, n in counts.items():
-            x[i, f] = 100.0 * n / max(_LEAST, len(split[i][0]))
+            x[i, f] = 100.0 * n / _length(split[i][0])
     w, theta = fit_cumulative(x, y, grades)
     return SeverityModel({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, theta.tolist())
 
