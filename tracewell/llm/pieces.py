@@ -66,26 +66,35 @@ class PieceModel:
                 self.bytes_of.append(p.piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids))
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}  # beginnings of pieces
-        self.below: list[dict[str, int]] = [{}]  # the pieces as a trie
-        self.piece_at: list[str | None] = [None]
+        self.trie: dict[str, tuple] = {}  # character -> (the trie below it, [the piece that ends there])
         for p in self.ids:
-            node = 0
+            below = self.trie
             for c in p:
-                if c not in self.below[node]:
-                    self.below[node][c] = len(self.below)
-                    self.below.append({})
-                    self.piece_at.append(None)
-                node = self.below[node][c]
-            self.piece_at[node] = p
+                below, ends = below.setdefault(c, ({}, [None]))
+            ends[0] = p
+        self.trie = self._frozen(self.trie)
         self.stable_after: dict[str, dict[str, bool]] = {}  # by the piece before
         # no piece holds a space mark after another character: every path has a boundary there
         self.word_bound = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$") if self.word_bound else re.compile("(?s).+")
+        self.chunk = self._bounds() if self.word_bound else re.compile("(?s).+")
         self.stable: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # known before; what is used again moves up
         self.most_cached = most_cached
 
+    def _frozen(self, below: dict) -> dict:
+        return {c: (self._frozen(more), ends[0]) for c, (more, ends) in below.items()}
+
+    def _bounds(self) -> re.Pattern:
+        """Stretches between boundaries that every path has: two characters that stand side by side in
+        no piece always fall to two pieces. Used where words meet spaces, line ends and marks."""
+        beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        marks = [c for c in ".,;:!?%&#$*|)\"'" if not any(b[1] == c and re.match(r"\w", b[0]) for b in beside)]
+        m = "".join(map(re.escape, marks))
+        line = not any("\n" in p for p in self.ids)
+        n = "\n" if line else ""
+        return re.compile(rf"{SPACE}*(?:\w+(?=[{SPACE}{n}{m}]|\Z)|[^{SPACE}{n}]+)|{SPACE}+" + (r"|\n" if line else ""))
+
     @staticmethod
     def load(path: str) -> PieceModel:
         """One model per worker process and file, kept with the interpreter: functions that travel by
@@ -187,19 +196,21 @@ class PieceModel:
 
     def _in_window(self, text: str) -> list[str]:
         """The same search for a stretch that fits the window: all of it is read before a commit is due."""
-        n, below, piece_at, stable = len(text), self.below, self.piece_at, self.stable_after
+        n, root, stable = len(text), self.trie, self.stable_after
         last: list[str | None] = [""] + [None] * n
         for i in range(n):
             before = last[i]
             after = stable.get(before)
             if after is None:
                 after = stable[before] = {}
-            node, j = below[0].get(text[i]), i
-            if node is None or piece_at[node] is None:
+            node = root.get(text[i])
+            if node is None or node[1] is None:
                 last[i + 1] = text[i]  # a character outside the vocabulary stands alone
-            while node is not None:
-                j += 1
-                t = piece_at[node]
+                if node is None:
+                    continue
+            j = i + 1
+            while True:
+                below, t = node
                 if t is not None:
                     good = after.get(t)
                     if good is None:
@@ -208,7 +219,10 @@ class PieceModel:
                         last[j] = t
                 if j == n:
                     break
-                node = below[node].get(text[j])
+                node = below.get(text[j])
+                if node is None:
+                    break
+                j += 1
         out = []
         while n:
             out.append(last[n])
