@@ -146,8 +146,9 @@ def train_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col(doc_id)), F.lit(1 << 30))
     share_of = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1 << 30, int((1 << 30) * 1.3 * per_lang / r["count"])))])
     drawn = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang"), draw.alias("draw")).where(F.col("draw") < F.element_at(share_of, F.col("lang")))
+    once = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))  # an id that many rows repeat is drawn once
     taken: dict[str, list] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["text"])):
+    for r in sorted(once.orderBy("draw", "lang").limit(2 * per_lang * len(sizes)).collect(), key=lambda r: (r["draw"], r["text"])):
         taken.setdefault(r["lang"], []).append(r["text"])
     return fit([(t, g) for g, texts in taken.items() for t in texts[:per_lang]], bits)
 

@@ -31,7 +31,21 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
-def shuffle_to(docs: DataFrame, path: str, seed: int = 17, bucket_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> None:
+def bucket_size(spark: SparkSession) -> int:
+    """Bytes of text that a task can hold and shuffle: a twelfth of a core's share of executor memory, 16 MB to 1 GB.
+
+    Larger executors get larger and fewer buckets, which is what keeps the number of partitions of a
+    very large shuffle in hand.
+    """
+    conf = spark.sparkContext.getConf()
+    local = conf.get("spark.master", "").startswith("local[")
+    memory = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower()
+    number = int("".join(c for c in memory if c.isdigit()) or 1) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(memory.rstrip("b")[-1:], 0)
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "2"))
+    return min(1 << 30, max(16 << 20, number // max(1, cores) // 12))
+
+
+def shuffle_to(docs: DataFrame, path: str, seed: int = 17, bucket_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write `docs` in shuffled order to Parquet at `path`, with `__bucket` and `__at` (place in the bucket).
 
     The scatter hash covers the id, the text's checksum and the row's place in its input split, so
@@ -40,6 +54,7 @@ def shuffle_to(docs: DataFrame, path: str, seed: int = 17, bucket_bytes: int = 6
     size give the same order, whatever the order in which rows arrive.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
+    bucket_bytes = bucket_bytes or bucket_size(docs.sparkSession)
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     draw = F.xxhash64(F.lit(seed), F.col(doc_id), F.crc32(F.coalesce(F.col(text), F.lit(""))), F.monotonically_increasing_id())
@@ -86,7 +101,7 @@ def assign_shards(written: DataFrame, shards: int) -> DataFrame:
     return placed.withColumn("slot", place - F.expr(f"(shard * {total}L) DIV {shards}")).drop("__start")
 
 
-def shard_documents(docs: DataFrame, path: str, shards: int = 24, seed: int = 17, bucket_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, path: str, shards: int = 24, seed: int = 17, bucket_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of `docs`, shuffled and written at `path`, with `shard` (from 0) and `slot` (from 0 in its shard).
 
     Law: the counts of any two shards differ by one at most. Nulls, empty texts and repeated rows are

@@ -255,7 +255,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows without a doc_id cannot be named and stay. Of rows that repeat a doc_id one stays.
     """
     named = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.where(F.col(doc_id).isNotNull()).join(named, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
+    once = docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])  # repeats go before the shuffle, and the join needs no other
+    kept = once.join(named, F.col(doc_id) == F.col("__kept"), "left_semi")
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
 
 

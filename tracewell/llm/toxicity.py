@@ -147,10 +147,10 @@ def fit(samples: list[tuple[str | None, int]], grades: int = 4) -> SeverityModel
 def train_severity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = 1500) -> SeverityModel:
     """Fit on a bounded sample of labelled rows: at most `per_class` texts of either label, drawn by a hash of the id.
 
-    Labels that are null are ignored, as are labels without a document; of repeated labels of a
-    document each counts. At most twice `per_class` texts reach the driver.
+    Labels that are null are ignored, as are labels without a document. A document with several labels
+    is toxic if one of them says so; of rows that repeat an id the least text counts. At most twice `per_class` texts reach the driver.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), "toxic")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64(F.lit("severity sample"), F.col("__id")), F.lit(1 << 30))
     bound = F.when(F.col("toxic") == 1, min(1 << 30, int((1 << 30) * 1.3 * per_class / max(1, sizes.get(1, 0))))).otherwise(min(1 << 30, int((1 << 30) * 1.3 * per_class / max(1, sizes.get(0, 0)))))
@@ -163,7 +163,7 @@ def train_severity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     if not (chosen[0] and chosen[1]):
         return fit([])
     picked = docs.sparkSession.createDataFrame([(i, y) for y, ids in chosen.items() for i in ids], "__id long, toxic int")
-    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id").select("text", "toxic").orderBy(F.xxhash64("text"), "toxic").limit(4 * per_class).collect()
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id").groupBy("__id", "toxic").agg(F.min("text").alias("text")).orderBy("__id").collect()
     return fit([(r["text"], r["toxic"]) for r in texts])
 
 
