@@ -80,8 +80,8 @@ def event_average(
     """
     window = EventWindow.of(start_ms, end_ms, cfg.sample_rate)
     placed = place_windows(stims, window, cfg.sample_rate, n_samples)
-    cut = cut_windows(samples, placed, window)
-    trace = depth_average(cut, rows, ("stim_idx", "k")).drop("k")
+    # the mean over channels of a row is the same in every window: taken once, before windows multiply the samples
+    trace = cut_windows(depth_average(samples, rows), placed, window).select("stim_idx", "shank", "row_idx", "t", "uv")
     done = preprocess(trace, rows, cfg, ("stim_idx",))
     where = placed.where("valid").select("stim_idx", (F.col("read_first") + window.pad).alias("start"))
     chosen = select_rows(rows, ch_first, ch_last).where("data_idx IS NOT NULL").select("data_idx", F.col("full_idx").alias("row_idx"))

@@ -12,7 +12,7 @@ Null samples count as 0, the value of a sample that was never recorded.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -61,35 +61,71 @@ def phase_shift(trace: DataFrame, rows: DataFrame, probe_type: int, keys: Keys =
     return own.withColumn("uv", F.when(before.isNull(), F.col("uv")).otherwise(F.col("uv") * (1 - F.col("delay")) + before * F.col("delay"))).drop("delay").select(*trace.columns)
 
 
-def zero_phase_filter(trace: DataFrame, sections, keys: Keys = ()) -> DataFrame:
-    """filtfilt along time for each row of each window. The recursion has no SQL form: one Arrow group per row."""
-    schema = T.StructType([f for f in trace.schema.fields])
-    names = trace.columns
-    at_t, at_v = names.index("t"), names.index("uv")
+def zero_phase_filter(trace: DataFrame, sections, keys: Keys = (), at_once: int = 1 << 20) -> DataFrame:
+    """filtfilt along time for each row of each window; the recursion has no SQL form.
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column(at_t).to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        out = filtfilt(sections, np.nan_to_num(table.column(at_v).to_numpy()))
-        return table.set_column(at_v, "uv", pa.array(out[0]))
-
-    return trace.withColumn("uv", F.col("uv").cast("double")).groupBy(*keys, "shank", "row_idx").applyInArrow(run, schema)
+    A window function numbers the samples of each row, which puts whole rows in order into one
+    partition (the one that DC removal and phase shift need too). Python then takes about `at_once`
+    samples at a time and filters rows of equal length together, as one matrix.
+    """
+    numbered = trace.withColumn("uv", F.coalesce(F.col("uv").cast("double"), F.lit(0.0))).withColumn("__i", F.row_number().over(_row(keys).orderBy("t")))
+    at = trace.columns.index("uv")
+    fields = trace.schema.fields
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == "uv" else f for f in fields])
+
+    def filtered(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(table.column("__i").to_numpy() == 1)
+        sizes = np.diff(np.append(starts, table.num_rows))
+        x = table.column(at).to_numpy().copy()
+        for n in np.unique(sizes):
+            places = starts[sizes == n][:, None] + np.arange(n)
+            x[places] = filtfilt(sections, x[places])
+        yield from table.set_column(at, "uv", pa.array(x)).drop_columns(["__i"]).to_batches(max_chunksize=1 << 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= at_once:
+                table = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(table.column("__i").to_numpy() == 1)[-1])  # the row that may go on
+                if last:
+                    yield from filtered(table.slice(0, last))
+                    held = table.slice(last).to_batches()
+        if sum(b.num_rows for b in held):
+            yield from filtered(pa.Table.from_batches(held))
+
+    return numbered.mapInArrow(run, schema)
 
 
 def highpass(trace: DataFrame, cfg: PreprocConfig, keys: Keys = ()) -> DataFrame:
     return zero_phase_filter(trace, butter_highpass(FILTER_ORDER, cfg.highpass_wn), keys)
 
 
-def cmr_global(trace: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Each sample without the median of its shank at that time; even counts average the middle two."""
-    return trace.withColumn("uv", F.col("uv") - F.median("uv").over(Window.partitionBy(*keys, "shank", "t")))
-
-
 def frames(trace: DataFrame, keys: Keys = ()) -> DataFrame:
     """(*keys, shank, t, x): the rows of a shank at one time as array<struct<row_idx,uv>>, in row order."""
     return trace.groupBy(*keys, "shank", "t").agg(F.sort_array(F.collect_list(F.struct("row_idx", "uv"))).alias("x"))
 
 
+def _median(values: Column) -> Column:
+    """The median of a sorted array; even counts average the middle two."""
+    n = F.size(values)
+    middle = F.get(values, (n / 2).cast("int"))
+    return F.when(n % 2 == 1, middle).otherwise((F.get(values, (n / 2).cast("int") - 1) + middle) / 2)
+
+
+def cmr_global(trace: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Each sample without the median of its shank at that time.
+
+    The samples of a shank at one time are as many as its rows: they meet in one array, are sorted
+    there, and leave as rows again. That is cheaper than a windowed median, whose aggregate keeps a
+    table of counts for every group.
+    """
+    whole = frames(trace, keys).withColumn("m", _median(F.sort_array(F.transform("x", lambda e: e["uv"]))))
+    done = whole.withColumn("y", F.transform("x", lambda e: F.struct(e["row_idx"].alias("row_idx"), (e["uv"] - F.col("m")).alias("uv"))))
+    return done.select(*keys, "shank", "t", F.inline("y")).select(*trace.columns)
+
+
 def cmr_local(trace: DataFrame, rows: DataFrame, keys: Keys = (), near: float = CMR_NEAR_UM, far: float = CMR_FAR_UM) -> DataFrame:
     """Each sample without the median of its neighbours' input values; a row without neighbours stays.
 
@@ -99,14 +135,10 @@ def cmr_local(trace: DataFrame, rows: DataFrame, keys: Keys = (), near: float =
     lists = neighbours(rows, near, far).groupBy("shank").agg(F.map_from_entries(F.collect_list(F.struct("data_idx", "others"))).alias("near"))
     whole = frames(trace, keys).join(F.broadcast(lists), "shank", "left")
 
-    def median(values: Column) -> Column:
-        n = F.size(values)
-        return F.when(n % 2 == 1, F.get(values, (n / 2).cast("int"))).otherwise((F.get(values, (n / 2).cast("int") - 1) + F.get(values, (n / 2).cast("int"))) / 2)
-
     def rest(e: Column) -> Column:
         others = F.element_at("near", e["row_idx"])
         values = F.sort_array(F.transform(F.filter("x", lambda o: F.array_contains(others, o["row_idx"])), lambda o: o["uv"]))
-        picked = F.element_at(F.transform(F.array(values), median), 1)
+        picked = F.element_at(F.transform(F.array(values), lambda v: _median(v)), 1)
         return F.struct(e["row_idx"].alias("row_idx"), (e["uv"] - F.coalesce(picked, F.lit(0.0))).alias("uv"))
 
     done = whole.withColumn("y", F.transform("x", rest))
