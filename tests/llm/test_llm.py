@@ -1,6 +1,5 @@
 """Operators of tracewell.llm against brute force, exact round trips and held-out labels."""
 
-import hashlib
 import itertools
 import random
 import re
@@ -396,7 +395,3 @@ def test_pipeline_stages_take_effect(spark, docs):
 def test_shards_digest_columns(spark):
     found = shards.op10_shards(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
     assert all(r.size == len(r.text.encode()) + 8 and r.text_crc32 == zlib.crc32(r.text.encode()) for r in found)
-
-
-def test_items_digest_of_nothing():
-    assert decontaminate._sha([]) == hashlib.sha256(b"").hexdigest()

@@ -9,7 +9,6 @@ patterns to compare word by word.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -155,10 +154,6 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", wi
     return out
 
 
-def _sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without the rows that hold a window of a benchmark item."""
     return find_benchmark(docs, benchmark, text).where(F.size("hits") == 0).select(*docs.columns)

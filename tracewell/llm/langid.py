@@ -6,7 +6,6 @@ the rest for each language family, then one against one between the languages of
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +36,10 @@ def family(lang: str) -> str:
     return next((name for name, codes in FAMILIES.items() if lang in codes), lang)
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 #: ASCII other than letters becomes a space, so that marks and digits don't tell languages apart.
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -87,7 +89,7 @@ class LanguageModel:
     weights: np.ndarray | None = None
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not _LETTER.search(text):
+        if text is None or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         m = 3.0 * (features(text, self.bits).astype(np.float64) @ self.weights)
         sure = 1 / (1 + np.exp(-m))
@@ -108,7 +110,7 @@ class LanguageModel:
 
 def fit(samples: list[tuple[str, str]], bits: int = 14) -> LanguageModel:
     """A model from (text, lang); texts without a letter are left out."""
-    samples = [(t, g) for t, g in samples if t and _LETTER.search(t)]
+    samples = [(t, g) for t, g in samples if t and has_letter(t)]
     langs = sorted({g for _, g in samples})
     model = LanguageModel(langs, bits, sorted({family(g) for g in langs}))
     if not langs:
