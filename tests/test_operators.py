@@ -154,5 +154,10 @@ def test_navigation_labels(spark):
     assert [r.label for r in render.nav_labels(spark, 80.0).orderBy("i").collect()] == [f"{10 * i}s" for i in range(9)]
 
 
+def test_scales():
+    assert render.scale_bar(0.5, 800) == (80.0, "50 ms")
+    assert stats.fixed_vmax(0.2) == 1.0 and stats.fixed_vmax(300.0) == 300.0 and stats.fixed_vmax(300.0, current=False) == 250.0
+
+
 def test_latest_only(spark):
     assert windows.latest_only(spark, "view", lambda: spark.range(5).count()) == 5

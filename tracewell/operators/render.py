@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import color
+from tracewell.model import view_sample
 
 
 def pixel_rows(rows: DataFrame, height: int) -> DataFrame:
@@ -62,8 +63,6 @@ def event_heatmap(average: DataFrame, rows: DataFrame, n_win: int, width: int, h
 
 def hover_value(trace: DataFrame, rows: DataFrame, disp_idx: int, seconds: float, rate: float) -> DataFrame:
     """(disp_idx, ch, t, uv) under the pointer, none on a marker or outside the trace; ch counts from 0."""
-    from tracewell.model import view_sample
-
     own = rows.where((F.col("disp_idx") == disp_idx) & (F.col("kind") == "data")).select("disp_idx", F.col("first_ch").alias("ch"), F.col("data_idx").alias("row_idx"))
     return trace.where(F.col("t") == view_sample(seconds, rate)).join(F.broadcast(own), "row_idx").select("disp_idx", "ch", "t", "uv")
 
@@ -77,3 +76,8 @@ def nav_labels(spark, total_s: float, n: int = 8) -> DataFrame:
     """(i, frac, label): the labels of a navigation bar."""
     ticks = spark.range(n + 1).select(F.col("id").cast("int").alias("i"), (F.col("id") / n).alias("frac"))
     return ticks.withColumn("label", F.concat(F.bround(F.col("frac") * total_s, 0).cast("long").cast("string"), F.lit("s")))
+
+
+def scale_bar(view_s: float, width: float, share: float = 0.1) -> tuple[float, str]:
+    """Length of the bar that stands for a tenth of the view, and its label."""
+    return width * share, f"{round(view_s * share * 1000.0)} ms"

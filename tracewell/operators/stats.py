@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.model import SMOOTH_RADIUS, PreprocConfig
+from tracewell.model import SMOOTH_RADIUS, PreprocConfig, round_half_away
 from tracewell.session import materialize
 
 PERCENT_STEPS = 10_000
@@ -60,12 +60,15 @@ def nearest_rank_vmax(values: DataFrame, percents: Sequence[float], column: str
 
 def table_vmax(table: DataFrame, percent: float, floor: float = 1.0) -> DataFrame:
     """(vmax): the percentile table's entry for a percentage, at least 1."""
-    from tracewell.model import round_half_away
-
     p = min(round_half_away(percent * 100), PERCENT_STEPS)
     return table.where(F.col("p") == p).select(F.greatest("vmax", F.lit(floor)).alias("vmax"))
 
 
+def fixed_vmax(microvolts: float, current: bool = True, floor: float = 1.0, otherwise: float = 250.0) -> float:
+    """The scale of a display with a fixed range; `otherwise` while the buffer belongs to another configuration."""
+    return max(microvolts, floor) if current else otherwise
+
+
 def greedy_count(times: Column, refractory: int) -> Column:
     """How many of the sorted times count if each counted one silences the next `refractory` samples."""
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))

@@ -182,6 +182,8 @@ class CbinSource(_Source):
 
 
 def register(spark: SparkSession) -> None:
+    """Make both formats known to a session, and let limits on t reach their readers."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawSource)
     spark.dataSource.register(CbinSource)
 

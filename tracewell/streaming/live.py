@@ -59,6 +59,7 @@ class RawStream(RawSource):
 
 def read_stream(spark, path: str, **options) -> DataFrame:
     """(ch, t, uv) as a stream; options as for the batch source, with channels and uv_per_bit given."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawStream)
     return spark.readStream.format("tracewell_stream").options(**{k: str(v) for k, v in options.items()}).load(path)
 
