@@ -395,3 +395,54 @@ def test_pipeline_stages_take_effect(spark, docs):
 def test_shards_digest_columns(spark):
     found = shards.op10_shards(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
     assert all(r.size == len(r.text.encode()) + 8 and r.text_crc32 == zlib.crc32(r.text.encode()) for r in found)
+
+
+# --- every stage and operator on odd tables ---
+
+CLASHES = ["fp", "component_id", "hits", "items", "n_words", "toxic", "severity", "grade", "lang_pred", "score", "ids", "n_ids", "round_trip", "shard", "slot", "clean_text", "kept", "text_copy", "__kept", "root"]
+
+
+@pytest.fixture(scope="module")
+def wild(spark, odd):
+    frame = odd.select("doc_id", "text", "lang").withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.lit(None).cast("long"))
+    for c in CLASHES:
+        frame = frame.withColumn(c, F.lit("clash"))
+    return frame
+
+
+@pytest.mark.parametrize("k", range(5))
+@pytest.mark.parametrize("what", ["odd", "empty", "null"])
+def test_stages_on_odd_tables(wild, spark, k, what):
+    docs = {"odd": wild, "empty": wild.limit(0), "null": wild.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in wild.schema.fields])}[what]
+    out = corpus_pipeline.STAGES[k][1](spark, docs, SF)
+    rows = out.collect()
+    assert len(rows) <= len(ODD) and (what != "empty" or not rows)
+    if k < 4:
+        assert out.columns == docs.columns
+        assert all(r.score == "clash" for r in rows) or what == "null"
+
+
+def test_operators_on_clashing_columns(spark, wild):
+    text = {r.doc_id: r.text for r in wild.collect()}
+    assert sorted(r.doc_id or 0 for r in quality.quality_rules(wild).collect()) == sorted(i or 0 for i, _ in ODD)
+    assert simhash.near_duplicates(wild).count() == len(ODD)
+    bench = spark.createDataFrame([(1, "a", "clash")], "item_id long, text string, hits string")
+    found = {r.doc_id: r for r in decontaminate.find_benchmark(wild, bench).collect()}
+    assert [i for i in found if found[i].hits] == [4] and found[6].n_words == 30_000
+    made = shards.shard_documents(wild, shared_path(spark, "shards"), 3).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in made) == sorted((i or 0, t or "") for i, t in ODD) and {r.shard for r in made} == {0, 1, 2}
+    assert {r.doc_id: r.decoded for r in pieces.decode_pieces(pieces.with_pieces(wild, pieces.model_path()), pieces.model_path()).collect()} == {i: t or "" for i, t in text.items()}
+
+
+def test_empty_urls(spark):
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), urls.RULES).count() == 0
+    with pytest.raises(ValueError):
+        urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), urls.RULES, most_rules=2)
+
+
+def test_a_text_that_many_rows_repeat(spark):
+    hot = spark.range(3000).select((F.col("id") % 2000).alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text for a third of all rows").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"), F.lit("en").alias("lang"))
+    sizes = simhash.near_duplicates(hot).groupBy("fp").count()
+    assert sizes.agg(F.sum("count"), F.max("count")).first()[:] == (3000, 1000)
+    counted = tokencount.count_tokens(hot, shared_path(spark, "cache"), tokencount.TokenizerFile(pieces.model_path()))
+    assert counted.count() == 3000 and counted.where("n_tokens IS NULL").count() == 0

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tracewell.session import materialize, shared_path
 
-__all__ = ["append_columns", "let", "materialize", "read_table", "share", "shared_path"]
+__all__ = ["append_columns", "keep_rows", "let", "materialize", "read_table", "share", "shared_path"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +48,17 @@ def append_columns(df: DataFrame, fields: list[T.StructField], batches: Callable
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of `df` that Python decides to keep, all columns untouched whatever their names; no shuffle.
+
+    `start` is called once per task and returns the decision for a batch.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = start()
+        for batch in it:
+            yield batch.filter(pa.array(decide(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

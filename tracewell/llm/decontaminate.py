@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import append_columns, read_table, share
+from tracewell.llm.common import append_columns, keep_rows, read_table, share
 
 #: A-Z to lower case; ASCII characters other than letters and digits to a space; the rest as it is.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -125,6 +125,24 @@ def _pass(docs: DataFrame, patterns: PatternSet, text: str, later: bool) -> Data
     return append_columns(docs, _FIELDS, batches)
 
 
+def pattern_blocks(benchmark: DataFrame, width: int = 10, item: str = "item_id", item_text: str = "text", block_chars: int = 32_000_000) -> Iterator[PatternSet]:
+    """The windows of all items, in blocks of at most `block_chars` characters or one item; one empty block without items."""
+    queries = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
+
+    def block(ids: list) -> PatternSet:
+        rows = queries.where(F.col("i").isin(ids)).collect() if ids else []
+        return PatternSet(((r["i"], r["t"]) for r in rows), width)
+
+    ids, held = [], 0
+    for row in queries.groupBy("i").agg(F.sum(F.length("t")).alias("n")).orderBy("i").toLocalIterator():
+        if ids and held + row["n"] > block_chars:
+            yield block(ids)
+            ids, held = [], 0
+        ids.append(row["i"])
+        held += row["n"]
+    yield block(ids)
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, item: str = "item_id", item_text: str = "text", block_chars: int = 32_000_000) -> DataFrame:
     """`docs` with `n_words`, `hits` (merged spans of hit words) and `items` (ids, sorted as strings).
 
@@ -136,27 +154,26 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", wi
     Repeated items count once, repeated rows each. An empty benchmark finds nothing. Columns of the
     same names give way.
     """
-    queries = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
-    sizes = queries.groupBy("i").agg(F.sum(F.length("t")).alias("n")).orderBy("i").toLocalIterator()
-    out, later, block, held = docs, False, [], 0
-
-    def flush() -> None:
-        nonlocal out, later, block, held
-        rows = queries.where(F.col("i").isin(block)).collect() if block else []
-        out, later, block, held = _pass(out, PatternSet(((r["i"], r["t"]) for r in rows), width), text, later), True, [], 0
-
-    for row in sizes:
-        if block and held + row["n"] > block_chars:
-            flush()
-        block.append(row["i"])
-        held += row["n"]
-    flush()
+    out, later = docs, False
+    for patterns in pattern_blocks(benchmark, width, item, item_text, block_chars):
+        out, later = _pass(out, patterns, text, later), True
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without the rows that hold a window of a benchmark item."""
-    return find_benchmark(docs, benchmark, text).where(F.size("hits") == 0).select(*docs.columns)
+    at = docs.columns.index(text)
+    for patterns in pattern_blocks(benchmark):
+        docs = keep_rows(docs, _clean(share(docs.sparkSession, patterns), at))
+    return docs
+
+
+def _clean(sent, at: int):
+    def start():
+        found = sent()
+        return lambda batch: [not found.search(words_of(x.as_py()))[0] for x in batch.column(at)]
+
+    return start
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

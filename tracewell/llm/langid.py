@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import append_columns, read_table, share
+from tracewell.llm.common import append_columns, keep_rows, read_table, share
 
 UNKNOWN = "und"
 
@@ -174,7 +174,18 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
 
 def drop_unknown_language(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.3) -> DataFrame:
     """`docs` without texts of no recognised language: 'und', or a score under `least`."""
-    return with_language(docs, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    sent, at = share(docs.sparkSession, model), docs.columns.index(text)
+
+    def start():
+        known = sent()
+
+        def keep(value: str | None) -> bool:
+            lang, score = known.predict(value)
+            return lang != UNKNOWN and score >= least
+
+        return lambda batch: [keep(x.as_py()) for x in batch.column(at)]
+
+    return keep_rows(docs, start)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

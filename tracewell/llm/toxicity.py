@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import append_columns, read_table, share
+from tracewell.llm.common import append_columns, keep_rows, read_table, share
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7, 8)
@@ -162,7 +162,8 @@ def train_severity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             chosen[r["toxic"]].append(r["__id"])
     if not (chosen[0] and chosen[1]):
         return fit([])
-    picked = docs.sparkSession.createDataFrame([(i, y) for y, ids in chosen.items() for i in ids], "__id long, toxic int")
+    kinds = T.StructType([T.StructField("__id", known.schema["__id"].dataType), T.StructField("toxic", T.IntegerType())])
+    picked = docs.sparkSession.createDataFrame([(i, y) for y, ids in chosen.items() for i in ids], kinds)
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id").groupBy("__id", "toxic").agg(F.min("text").alias("text")).orderBy("__id").collect()
     return fit([(r["text"], r["toxic"]) for r in texts])
 
@@ -180,7 +181,7 @@ def with_severity(docs: DataFrame, model: SeverityModel, text: str = "text") ->
         for batch in it:
             found = [known.judge(x.as_py(), cache) for x in batch.column(at)]
             grade = [int(np.argmax(np.subtract([1.0, *over], [*over, 0.0]))) for _, over in found]
-            yield batch, [pa.array([s for s, _ in found], pa.float64()), pa.array(grade, pa.int32()), pa.array([over[0] >= 0.5 for _, over in found])]
+            yield batch, [pa.array([s for s, _ in found], pa.float64()), pa.array(grade, pa.int32()), pa.array([bool(over[0] >= 0.5) for _, over in found], pa.bool_())]
 
     fields = [T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
     return append_columns(docs, fields, batches)
@@ -188,7 +189,13 @@ def with_severity(docs: DataFrame, model: SeverityModel, text: str = "text") ->
 
 def drop_toxic(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFrame:
     """`docs` without the rows judged toxic."""
-    return with_severity(docs, model, text).where(~F.col("toxic")).select(*docs.columns)
+    sent, at = share(docs.sparkSession, model), docs.columns.index(text)
+
+    def start():
+        known, cache = sent(), {}
+        return lambda batch: [known.judge(x.as_py(), cache)[1][0] < 0.5 for x in batch.column(at)]
+
+    return keep_rows(docs, start)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
