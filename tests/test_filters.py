@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tracewell.functions.filters import butter_highpass, filtfilt, kfilt_matrix, sosfilt
+from tracewell.functions.filters import butter_highpass, filtfilt, kfilt_matrix, sosfilt, sosfilt_from
 
 
 def scalar(sections, x):
@@ -42,6 +42,15 @@ def test_blocks_equal_recursion(n):
         assert np.allclose(filtfilt(sections, x), [scalar(sections, scalar(sections, r)[::-1])[::-1] for r in x], atol=1e-10)
 
 
+def test_states_carry_over():
+    sections, x = butter_highpass(3, 0.1), np.random.default_rng(5).normal(size=(2, 500))
+    states, parts = None, []
+    for lo, hi in ((0, 3), (3, 130), (130, 130), (130, 500)):
+        y, states = sosfilt_from(sections, x[:, lo:hi], states)
+        parts.append(y)
+    assert np.allclose(np.concatenate(parts, 1), sosfilt(sections, x), atol=1e-10)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
 def test_kfilt_matrix_equals_mirror_filter_crop(n):
     x, pad = np.random.default_rng(n).normal(size=n), min(60, n)

@@ -8,8 +8,11 @@ import zlib
 import numpy as np
 import pytest
 
+from tracewell.functions.filters import butter_highpass, sosfilt
 from tracewell.model import PreprocConfig
+from tracewell.operators import stats
 from tracewell.plans.queries import write_cbin
+from tracewell.recording import Recording
 from tracewell.sources import png, prefs, recording, sidecar, stimuli
 from tracewell.streaming import live
 
@@ -43,6 +46,28 @@ def test_raw_recording_with_meta(spark, tmp_path, x):
     assert sidecar.channels_frame(spark, meta).count() == 3
 
 
+def test_recording_from_file_to_spikes(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    n = 12_000
+    x = (rng.normal(size=(n, 4)) * 60).astype("<i2")
+    path = str(tmp_path / "b.ap.bin")
+    x.tofile(path)
+    (tmp_path / "b.ap.meta").write_text(META.format(size=x.nbytes))
+    r = Recording.open(spark, path)
+    cfg = r.config(avg_depths=False)
+    rows = r.rows(avg_depths=False)
+    whole = r.preprocessed(cfg)
+    tiles = r.preprocessed_tiles(cfg, size=4000)
+    a = {(v.row_idx, v.t): v.uv for v in whole.collect()}
+    b = {(v.row_idx, v.t): v.uv for v in r.explode(tiles, rows).collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-2
+    threshold = -250.0
+    sparse = r.below(tiles, rows, threshold)
+    assert sorted((v.row_idx, v.t) for v in sparse.collect()) == sorted(k for k in b if b[k] < threshold)
+    one, two = (sorted(map(tuple, stats.spike_count(t, rows, threshold, cfg.refractory).collect())) for t in (r.explode(tiles, rows), sparse))
+    assert one == two and sum(k[1] for k in one) > 0
+
+
 def test_time_limits_reach_the_reader():
     from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
@@ -60,6 +85,20 @@ def test_cbin_round_trip(spark, tmp_path, x, order, spatial, time):
     assert np.array_equal(values(df, rows=4)[250:350], x[250:350]) and df.count() == 400
 
 
+@pytest.mark.parametrize("kind", ["raw", "cbin"])
+def test_tiles_with_halo(spark, tmp_path, x, kind):
+    path = str(tmp_path / ("a.bin" if kind == "raw" else "a.cbin"))
+    x.tofile(path) if kind == "raw" else write_cbin(x, path, 300)
+    recording.register(spark)
+    options = {"channels": 4, "n_samples": 1000, "uv_per_bit": 1, "samples_per_task": 300, "form": "tile", "halo": 350, "first": 100, "n": 850}
+    rows = spark.read.format(f"tracewell_{kind}").options(**options).load(path).orderBy("t0").collect()
+    assert rows[0].t0 == 100 and rows[0].left is None and rows[-1].right is None and sum(r.n for r in rows) == 850
+    for r in rows:
+        parts = [np.frombuffer(p, "<i2").reshape(4, -1) if p is not None else x[:0].T for p in (r.left, r.x, r.right)]
+        lo, hi = max(100, r.t0 - 350), min(950, r.t0 + r.n + 350)
+        assert np.array_equal(np.concatenate(parts, 1), x[lo:hi].T) and parts[0].shape[1] == r.t0 - lo
+
+
 def test_broken_chunk(spark, tmp_path, x):
     path = str(tmp_path / "a.ap.cbin")
     write_cbin(x, path, 300)
@@ -208,9 +247,9 @@ def test_live_spikes(spark, tmp_path):
         got = sorted((r.ch, r.t) for r in spark.sql("SELECT * FROM spikes").collect())
     finally:
         query.stop()
-    sections, want = live.butter_highpass(3, cfg.highpass_wn), []
+    sections, want = butter_highpass(3, cfg.highpass_wn), []
     for ch in range(2):
-        y, _ = live._forward(sections, x[:, ch] * 0.1, [0.0] * 4)
+        y = sosfilt(sections, x[:, ch] * 0.1)[0]
         last = None
         for t in np.flatnonzero(y < -20.0):
             if last is None or t - last > cfg.refractory:

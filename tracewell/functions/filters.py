@@ -56,26 +56,42 @@ def _blocks(section: Section, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return _CACHE[section, size]
 
 
-def sosfilt(sections: tuple[Section, ...], x: np.ndarray, size: int = 64) -> np.ndarray:
-    """The sections one after the other over the last axis of a matrix, from a zero state."""
+def sosfilt_from(sections: tuple[Section, ...], x: np.ndarray, states: np.ndarray | None = None, size: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The sections one after the other over the last axis of a matrix (rows by samples), from given states.
+
+    `states` has two numbers per section and row (sections by rows by 2; none: zero). Returns the
+    output and the states after the last sample, with which the next samples go on.
+    """
     y = np.array(x, np.float64, ndmin=2)
     rows, n = y.shape
-    if n == 0:
-        return y
-    padded = -(-n // size) * size
-    work = np.zeros((rows, padded))
-    work[:, :n] = y
-    for section in sections:
-        out_in, out_state, state_in, through = _blocks(section, size)
-        blocks = work.reshape(rows, -1, size)
-        fresh = blocks @ state_in.T  # what each block adds to the state
-        states = np.zeros((blocks.shape[1], rows, 2))
-        state = np.zeros((rows, 2))
-        for k in range(blocks.shape[1]):
-            states[k] = state
-            state = state @ through.T + fresh[:, k]
-        work = (blocks @ out_in.T + states.transpose(1, 0, 2) @ out_state.T).reshape(rows, padded)
-    return work[:, :n]
+    states = np.zeros((len(sections), rows, 2)) if states is None else np.array(states, np.float64)
+    whole = n // size * size
+    for k, section in enumerate(sections):
+        b0, b1, b2, a1, a2 = section
+        state = states[k]
+        if whole:
+            out_in, out_state, state_in, through = _blocks(section, size)
+            blocks = y[:, :whole].reshape(rows, -1, size)
+            fresh = blocks @ state_in.T  # what each block adds to the state
+            at = np.zeros((blocks.shape[1], rows, 2))
+            for i in range(blocks.shape[1]):
+                at[i] = state
+                state = state @ through.T + fresh[:, i]
+            done = (blocks @ out_in.T + at.transpose(1, 0, 2) @ out_state.T).reshape(rows, whole)
+            y = np.concatenate((done, y[:, whole:]), 1)
+        z0, z1 = state[:, 0], state[:, 1]
+        for i in range(whole, n):  # fewer than a block
+            v = y[:, i].copy()
+            w = b0 * v + z0
+            z0, z1 = b1 * v - a1 * w + z1, b2 * v - a2 * w
+            y[:, i] = w
+        states[k] = np.stack((z0, z1), 1)
+    return y, states
+
+
+def sosfilt(sections: tuple[Section, ...], x: np.ndarray) -> np.ndarray:
+    """The sections over the last axis of a matrix, from a zero state."""
+    return sosfilt_from(sections, x)[0]
 
 
 def filtfilt(sections: tuple[Section, ...], x: np.ndarray) -> np.ndarray:

@@ -30,11 +30,14 @@ Keys = Sequence[str]
 def depth_average(samples: DataFrame, rows: DataFrame, keys: Keys = ()) -> DataFrame:
     """(*keys, shank, row_idx, t, uv): the mean of a row's channels per sample; runs before all else.
 
-    `samples` is (*keys, ch, t, uv). A row of one channel is copied. The rows of a probe are few, so
-    their channel list is broadcast.
+    `samples` is (*keys, ch, t, uv). Where each row has one channel, samples are copied and nothing is
+    shuffled. The rows of a probe are few, so their channel list is broadcast.
     """
+    widest = rows.agg(F.max(F.size("channels"))).first()[0] or 0
     members = rows.where("data_idx IS NOT NULL").select("shank", F.col("data_idx").alias("row_idx"), F.explode("channels").alias("ch"))
     own = samples.join(F.broadcast(members), "ch")
+    if widest <= 1:
+        return own.select(*keys, "shank", "row_idx", "t", F.coalesce(F.col("uv").cast("double"), F.lit(0.0)).alias("uv"))
     return own.groupBy(*keys, "shank", "row_idx", "t").agg(F.avg(F.coalesce(F.col("uv").cast("double"), F.lit(0.0))).alias("uv"))
 
 

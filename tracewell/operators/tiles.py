@@ -1,10 +1,11 @@
-"""The tile form of a recording: the whole pipeline with one shuffle, or none.
+"""The tile form of a recording: the whole pipeline without a shuffle of samples.
 
-A tile is one row (tile_id, t0, n, x): all channels over a span of samples, as bytes, the way the
-sources of `tracewell.sources.recording` yield it with `form=tile`. A task needs the samples on both
-sides of its span too (the halo): the zero-phase filter has settled after some hundred samples, and
-the gain looks half its span further. Tiles are read with their halo from the file, or get it from
-their neighbours by one shuffle of the edges only.
+A tile is one row (tile_id, t0, n, x): all channels over a span of samples, as bytes. A task needs the
+samples on both sides of its span too (the halo): the zero-phase filter has settled after some
+hundred samples, and the gain looks half its span further. The sources of
+`tracewell.sources.recording` read tiles with their halo from the file (`form=tile`, `halo`), so that
+nothing is shuffled. Tiles that come from elsewhere get it from their neighbours by `with_halo`, which
+joins tiles by their place and so does shuffle them.
 
 Two quantities belong to the whole window and not to a tile: the mean of each row, and the standard
 deviation in the floor of the gain. They are aggregates of per-tile sums, one small row per tile,
@@ -105,8 +106,8 @@ def spatial(x: np.ndarray, model: RowModel, cfg: PreprocConfig, floors: dict[int
 def with_halo(tiles: DataFrame, halo: int) -> DataFrame:
     """(tile_id, t0, n, x, left, right): each tile with up to `halo` samples of its neighbours on either side.
 
-    Tiles of equal length no shorter than the halo are numbered by t0. Only the edges are shuffled:
-    each tile sends its last samples to the next one and its first ones to the one before.
+    Each tile sends its last samples to the next one and its first ones to the one before; tiles and
+    edges meet by place, in one shuffle. Tiles must be no shorter than the halo, but for the last.
     """
     own = tiles.withColumn("tile_id", F.col("t0"))
 
@@ -164,12 +165,12 @@ def _sums(halved: DataFrame, model: RowModel, cfg: PreprocConfig, scale: float,
 def preprocess_tiles(tiles: DataFrame, rows: DataFrame, cfg: PreprocConfig, scale: float, halo: int | None = None, kind: str = "<f4") -> DataFrame:
     """(t0, n, y): preprocessed tiles, y the values of all rows as bytes of numpy type `kind`, row after row.
 
-    `tiles` (t0, n, x) must follow one another without gaps and be no shorter than the halo, but for
-    the last. One pass takes the row means if DC removal is on, a second the standard deviation if
-    the spatial filter is 'destripe'; the last makes the tiles. Only edges and sums move.
+    `tiles` come with their halo, or as (t0, n, x), which must follow one another without gaps and be
+    no shorter than the halo, but for the last. One pass takes the row means if DC removal is on, a second the standard deviation if
+    the spatial filter is 'destripe'; the last makes the tiles.
     """
     model = RowModel.of(rows)
-    halved = with_halo(tiles, halo or halo_of(cfg))
+    halved = tiles if "left" in tiles.columns else with_halo(tiles, halo or halo_of(cfg))
     means, floors = np.zeros(len(model.shank)), {}
     if cfg.dc_removal:
         total = _sums(tiles.select("t0", "n", "x"), model, cfg, scale, None)
@@ -207,6 +208,20 @@ def explode_tiles(done: DataFrame, model: RowModel, kind: str = "<f4") -> DataFr
     return done.mapInArrow(run, "shank int, row_idx int, t long, uv double")
 
 
+def below(done: DataFrame, model: RowModel, threshold: float, kind: str = "<f4") -> DataFrame:
+    """(shank, row_idx, t, uv) of the samples under a threshold: what spike counting needs of preprocessed tiles."""
+    shank = np.array(model.shank, np.int32)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for row in batch.to_pylist():
+                y = np.frombuffer(row["y"], kind).reshape(-1, row["n"])
+                i, t = np.nonzero(y < threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(shank[i]), pa.array(i.astype(np.int32)), pa.array(t + row["t0"]), pa.array(y[i, t].astype(np.float64))], names=["shank", "row_idx", "t", "uv"])
+
+    return done.mapInArrow(run, "shank int, row_idx int, t long, uv double")
+
+
 def tiles_of(samples: DataFrame, n_channels: int, n_samples: int, size: int, scale: float = 1.0) -> DataFrame:
     """Tiles (t0, n, x) from (ch, t, uv) that are whole multiples of `scale`: one shuffle by tile."""
 

@@ -2,7 +2,8 @@
 
 `tracewell_raw` reads interleaved int16 files and `tracewell_cbin` their chunk-compressed form.
 Both give (ch, t, uv), or with option `form=tile` one row per range of samples: (t0, n, x), x the
-int16 values of all signal channels as bytes, channel after channel. Only the asked window is read,
+int16 values of all signal channels as bytes, channel after channel; with `halo` also the samples of
+the window before and after the range, `left` and `right`, read from the file by the same task. Only the asked window is read,
 the trailing sync channels are left out, and each task opens the file for itself. Pass `paths` that
 all executors can open.
 
@@ -25,15 +26,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, Greater
 
 LONG = "ch int, t long, uv double"
 TILE = "t0 long, n int, x binary"
+HALO_TILE = "tile_id long, t0 long, n int, x binary, left binary, right binary"
 
 
 @dataclass
 class Span(InputPartition):
-    """Samples [first, last) of a file; for a compressed file also the chunk that holds them."""
+    """Samples [first, last) of a file."""
 
     first: int
     last: int
-    chunk: int = -1
 
 
 class _Reader(DataSourceReader):
@@ -42,6 +43,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.form = options.get("form", "long")
+        self.halo = int(options.get("halo", 0))
         if not {"channels", "n_samples", "uv_per_bit"} <= set(options):
             from tracewell.sources.sidecar import find_meta
 
@@ -74,17 +76,24 @@ class _Reader(DataSourceReader):
                     continue
             yield f
 
-    def samples(self, span: Span) -> np.ndarray:
+    def samples(self, first: int, last: int) -> np.ndarray:
+        """Samples by saved channels of [first, last)."""
         raise NotImplementedError
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
         if span.last <= span.first:
             return
-        x = self.samples(span)[:, : self.signal]
-        n = len(x)
         if self.form == "tile":
-            yield pa.RecordBatch.from_arrays([pa.array([span.first]), pa.array([n], pa.int32()), pa.array([np.ascontiguousarray(x.T).tobytes()], pa.binary())], names=["t0", "n", "x"])
+            lo, hi = max(self.first, span.first - self.halo), min(self.last, span.last + self.halo)
+            whole = self.samples(lo, hi)[:, : self.signal].T
+            a, b = span.first - lo, min(span.last - lo, whole.shape[1])
+            packed = lambda m: pa.array([np.ascontiguousarray(m).tobytes() if m.shape[1] else None], pa.binary())
+            columns = {"tile_id": pa.array([span.first]), "t0": pa.array([span.first]), "n": pa.array([b - a], pa.int32()), "x": packed(whole[:, a:b]), "left": packed(whole[:, :a]), "right": packed(whole[:, b:])}
+            names = ["tile_id", "t0", "n", "x", "left", "right"] if self.halo else ["t0", "n", "x"]
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
             return
+        x = self.samples(span.first, span.last)[:, : self.signal]
+        n = len(x)
         at = max(1, (1 << 18) // max(1, self.signal))
         for lo in range(0, n, at):
             part = x[lo : lo + at]
@@ -97,10 +106,10 @@ class RawReader(_Reader):
     def partitions(self) -> list[Span]:
         return [Span(lo, min(lo + self.per_task, self.last)) for lo in range(self.first, self.last, self.per_task)] or [Span(0, 0)]
 
-    def samples(self, span: Span) -> np.ndarray:
+    def samples(self, first: int, last: int) -> np.ndarray:
         with open(self.path, "rb") as f:
-            f.seek(span.first * self.channels * 2)
-            data = f.read((span.last - span.first) * self.channels * 2)
+            f.seek(first * self.channels * 2)
+            data = f.read((last - first) * self.channels * 2)
         return np.frombuffer(data[: len(data) // (2 * self.channels) * 2 * self.channels], "<i2").reshape(-1, self.channels)
 
 
@@ -136,30 +145,36 @@ class CbinReader(_Reader):
         bounds = self.header["chunk_bounds"]
         super().__init__({"channels": self.header["n_channels"], "n_samples": bounds[-1]} | options)
 
-    def partitions(self) -> list[Span]:
+    def _touched(self, first: int, last: int) -> list[tuple[int, int, int]]:
+        """(chunk, first, last) of the chunks that hold samples of [first, last)."""
         bounds = self.header["chunk_bounds"]
-        touched = [Span(max(lo, self.first), min(hi, self.last), k) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < self.last and hi > self.first]
-        return touched or [Span(0, 0)]
+        return [(k, max(lo, first), min(hi, last)) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < last and hi > first]
 
-    def samples(self, span: Span) -> np.ndarray:
-        lo, hi = self.header["chunk_bounds"][span.chunk : span.chunk + 2]
-        begin, end = self.header["chunk_offsets"][span.chunk : span.chunk + 2]
+    def partitions(self) -> list[Span]:
+        return [Span(lo, hi) for _, lo, hi in self._touched(self.first, self.last)] or [Span(0, 0)]
+
+    def _chunk(self, k: int) -> np.ndarray:
+        lo, hi = self.header["chunk_bounds"][k : k + 2]
+        begin, end = self.header["chunk_offsets"][k : k + 2]
         try:
             with open(self.path, "rb") as f:
                 f.seek(begin)
-                x = decode_chunk(f.read(end - begin), hi - lo, self.header)
+                return decode_chunk(f.read(end - begin), hi - lo, self.header)
         except (ValueError, zlib.error, OSError):
             if not self.zero:
                 raise
-            x = np.zeros((hi - lo, self.header["n_channels"]), np.int16)
-        return x[span.first - lo : span.last - lo]
+            return np.zeros((hi - lo, self.header["n_channels"]), np.int16)
+
+    def samples(self, first: int, last: int) -> np.ndarray:
+        bounds = self.header["chunk_bounds"]
+        return np.concatenate([self._chunk(k)[lo - bounds[k] : hi - bounds[k]] for k, lo, hi in self._touched(first, last)])
 
 
 class _Source(DataSource):
     made: type[_Reader]
 
     def schema(self) -> str:
-        return TILE if self.options.get("form") == "tile" else LONG
+        return (HALO_TILE if int(self.options.get("halo", 0)) else TILE) if self.options.get("form") == "tile" else LONG
 
     def reader(self, schema) -> _Reader:
         return self.made(dict(self.options))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewell.functions.filters import Section, butter_highpass
+from tracewell.functions.filters import butter_highpass, sosfilt_from
 from tracewell.model import FILTER_ORDER, PreprocConfig
 from tracewell.sources.recording import RawReader, RawSource, Span
 
@@ -64,21 +64,6 @@ def read_stream(spark, path: str, **options) -> DataFrame:
     return spark.readStream.format("tracewell_stream").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
-def _forward(sections: tuple[Section, ...], x: np.ndarray, state: list[float]) -> tuple[np.ndarray, list[float]]:
-    """One causal pass from a state of two numbers per section to the next."""
-    out, kept = x, []
-    for k, (b0, b1, b2, a1, a2) in enumerate(sections):
-        z0, z1 = state[2 * k : 2 * k + 2]
-        y = np.empty(len(out))
-        for i, v in enumerate(out):
-            w = b0 * v + z0
-            z0, z1 = b1 * v - a1 * w + z1, b2 * v - a2 * w
-            y[i] = w
-        out = y
-        kept += [float(z0), float(z1)]
-    return out, kept
-
-
 def live_spikes(stream: DataFrame, cfg: PreprocConfig, threshold: float) -> DataFrame:
     """(ch, t, uv) of each spike of each channel of a stream, as it comes in.
 
@@ -91,7 +76,8 @@ def live_spikes(stream: DataFrame, cfg: PreprocConfig, threshold: float) -> Data
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         numbers, last = (list(state.get[0]), state.get[1]) if state.exists else ([0.0] * (2 * len(sections)), None)
         rows = pd.concat(list(frames)).sort_values("t")
-        y, numbers = _forward(sections, rows["uv"].to_numpy(), numbers)
+        y, after = sosfilt_from(sections, rows["uv"].to_numpy(), np.array(numbers).reshape(len(sections), 1, 2))
+        y, numbers = y[0], after.ravel().tolist()
         hits = []
         for t, v in zip(rows["t"].to_numpy()[y < threshold], y[y < threshold], strict=True):
             if last is None or t - last > cfg.refractory:
