@@ -113,6 +113,20 @@ def test_event_windows():
     assert sample_of(0.0005, 1000) == 1 and view_sample(0.0009, 1000) == 0 and sample_of(-0.0005, 1000) == -1
 
 
+@pytest.mark.parametrize("kind", ["global_cmr", "local_cmr", "destripe", "off"])
+def test_event_average_equals_its_relational_form(spark, kind):
+    cfg = PreprocConfig(rec.RATE, spatial=kind, phase_shift=True)
+    rows, stims = geometry.display_rows(rec.channels(spark), True), rec.stims(spark, SF)
+    got = {(r.data_idx, r.k): r.mean_uv for r in events.event_average(rec.samples(spark, SF), rows, stims, cfg, 1600, -5, 20, 100, 300).collect()}
+    w = events.EventWindow.of(-5, 20, rec.RATE)
+    placed = events.place_windows(stims, w, rec.RATE, 1600)
+    cut = events.cut_windows(signal.depth_average(rec.samples(spark, SF), rows), placed, w).select("stim_idx", "shank", "row_idx", "t", "uv")
+    done = signal.preprocess(cut, rows, cfg, ("stim_idx",)).join(placed.where("valid"), "stim_idx").withColumn("k", (F.col("t") - F.col("read_first") - w.pad).cast("int"))
+    chosen = geometry.select_rows(rows, 100, 300).where("data_idx IS NOT NULL").select("data_idx", F.col("full_idx").alias("row_idx"))
+    want = done.where(F.col("k").between(0, w.n - 1)).join(chosen, "row_idx").groupBy("data_idx", "k").agg(F.avg("uv").alias("v")).collect()
+    assert got.keys() == {(r.data_idx, r.k) for r in want} and all(np.isclose(got[r.data_idx, r.k], r.v) for r in want)
+
+
 def test_repeated_stimuli_count_twice(spark, rows):
     cfg = PreprocConfig(rec.RATE, avg_depths=False, highpass=False)
     stims = spark.createDataFrame([(0, 0.4), (1, 0.4), (2, 0.6), (3, 0.0)], "stim_idx long, onset_s double")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.model import PSTH_PAD_S, PreprocConfig, round_half_away
+from tracewell.model import AGC_EPSILON, PSTH_PAD_S, PreprocConfig, round_half_away
 from tracewell.operators.geometry import select_rows
-from tracewell.operators.signal import depth_average, preprocess
+from tracewell.operators.signal import depth_average
+from tracewell.operators.tiles import RowModel, spatial, temporal
 
 
 @dataclass(frozen=True)
@@ -69,6 +73,49 @@ def cut_windows(samples: DataFrame, placed: DataFrame, window: EventWindow, tile
     return inside.withColumn("k", (F.col("t") - F.col("read_first") - window.pad).cast("int")).drop("tile", "read_first")
 
 
+def _sums(placed: DataFrame, rows: DataFrame, cfg: PreprocConfig, window: EventWindow) -> DataFrame:
+    """(row_idx, k, s, m): per task, sums over its windows of the preprocessed rows, and how many windows.
+
+    A window is a bounded matrix: all rows over some hundred milliseconds. The windows of a task come
+    one after the other and only their sum stays.
+    """
+    model = RowModel.of(rows)
+    span, height = window.n + 2 * window.pad, len(model.shank)
+
+    def preprocessed(row: np.ndarray, at: np.ndarray, uv: np.ndarray) -> np.ndarray:
+        x = np.zeros((height, span))  # a sample that is not there counts as 0
+        x[row, at] = np.nan_to_num(uv)
+        y = temporal(x, model, cfg, x.mean(1), True)
+        floors = {a: max(AGC_EPSILON * float(y[a:b].std()), 1e-8) for a, b in model.blocks()}
+        return spatial(y, model, cfg, floors, window.pad, window.pad + window.n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, m, held = np.zeros((height, window.n)), 0, []
+
+        def take(parts: list[list[np.ndarray]]) -> None:
+            nonlocal m
+            total[:] += preprocessed(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+            m += 1
+
+        for batch in batches:
+            row, at, uv, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            cuts = [0, *(k for k in np.flatnonzero(i == 1) if k), len(i)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if i[lo] == 1 and held:
+                    take(held)
+                    held = []
+                held.append([row[lo:hi], at[lo:hi], uv[lo:hi]])
+        if held:
+            take(held)
+        if m:
+            r, k = np.divmod(np.arange(height * window.n), window.n)
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total.ravel()), pa.array(np.full(height * window.n, m))], names=["row_idx", "k", "s", "m"])
+
+    number = F.row_number().over(Window.partitionBy("stim_idx").orderBy("row_idx", "at"))
+    dealt = placed.select("row_idx", "at", "uv", number.alias("i"))
+    return dealt.mapInArrow(run, "row_idx int, k int, s double, m long")
+
+
 def event_average(
     samples: DataFrame, rows: DataFrame, stims: DataFrame, cfg: PreprocConfig, n_samples: int, start_ms: float, end_ms: float, ch_first: int = 0, ch_last: int = 1 << 30
 ) -> DataFrame:
@@ -77,16 +124,17 @@ def event_average(
     Each window is preprocessed by itself, with its margins and with all rows, since the median and
     the spatial filter need them; the channel selection and the crop follow. Stimuli too close to the
     ends are left out; none left gives no rows. Repeated stimuli count each.
+
+    Windows are dealt out by stimulus in one shuffle, and a task passes on sums, not windows. What
+    `cut_windows` and `preprocess` with the key stim_idx give in relational form is the same.
     """
     window = EventWindow.of(start_ms, end_ms, cfg.sample_rate)
     placed = place_windows(stims, window, cfg.sample_rate, n_samples)
     # the mean over channels of a row is the same in every window: taken once, before windows multiply the samples
-    trace = cut_windows(depth_average(samples, rows), placed, window).select("stim_idx", "shank", "row_idx", "t", "uv")
-    done = preprocess(trace, rows, cfg, ("stim_idx",))
-    where = placed.where("valid").select("stim_idx", (F.col("read_first") + window.pad).alias("start"))
+    cut = cut_windows(depth_average(samples, rows), placed, window)
+    sums = _sums(cut.select("stim_idx", "row_idx", (F.col("k") + window.pad).alias("at"), "uv"), rows, cfg, window)
     chosen = select_rows(rows, ch_first, ch_last).where("data_idx IS NOT NULL").select("data_idx", F.col("full_idx").alias("row_idx"))
-    cropped = done.join(where, "stim_idx").withColumn("k", (F.col("t") - F.col("start")).cast("int")).where(F.col("k").between(0, window.n - 1))
-    return cropped.join(F.broadcast(chosen), "row_idx").groupBy("data_idx", "k").agg(F.avg("uv").alias("mean_uv"))
+    return sums.join(F.broadcast(chosen), "row_idx").groupBy("data_idx", "k").agg((F.sum("s") / F.sum("m")).alias("mean_uv"))
 
 
 def mean_trace(average: DataFrame) -> DataFrame:
