@@ -256,7 +256,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     named = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     once = docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])  # repeats go before the shuffle, and the join needs no other
-    kept = once.join(named, once[doc_id].eqNullSafe(named["__kept"]), "left_semi")
+    kept = once.join(named, once[doc_id] == named["__kept"], "left_semi")
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
