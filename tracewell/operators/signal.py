@@ -12,7 +12,7 @@ Null samples count as 0, the value of a sample that was never recorded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.filters import butter_highpass, filtfilt, kfilt_matrix
+from tracewell.functions.filters import butter_highpass, filtfilt, kfilt_matrix, sosfilt
 from tracewell.model import AGC_EPSILON, CMR_FAR_UM, CMR_NEAR_UM, FILTER_ORDER, KFILT_WN, PROBE_TYPES_2, PreprocConfig
 from tracewell.operators.geometry import neighbours
 
@@ -65,7 +65,17 @@ def phase_shift(trace: DataFrame, rows: DataFrame, probe_type: int, keys: Keys =
 
 
 def zero_phase_filter(trace: DataFrame, sections, keys: Keys = (), at_once: int = 1 << 20) -> DataFrame:
-    """filtfilt along time for each row of each window; the recursion has no SQL form.
+    """filtfilt along time for each row of each window; the recursion has no SQL form."""
+    return _along_rows(trace, lambda x: filtfilt(sections, x), keys, at_once)
+
+
+def forward_filter(trace: DataFrame, sections, keys: Keys = (), at_once: int = 1 << 20) -> DataFrame:
+    """One pass of the sections along time, from a zero state, for each row of each window."""
+    return _along_rows(trace, lambda x: sosfilt(sections, x), keys, at_once)
+
+
+def _along_rows(trace: DataFrame, of: Callable[[np.ndarray], np.ndarray], keys: Keys, at_once: int) -> DataFrame:
+    """`of` over the samples of each row of each window, given a matrix of rows of equal length.
 
     A window function numbers the samples of each row, which puts whole rows in order into one
     partition (the one that DC removal and phase shift need too). Python then takes about `at_once`
@@ -82,7 +92,7 @@ def zero_phase_filter(trace: DataFrame, sections, keys: Keys = (), at_once: int
         x = table.column(at).to_numpy().copy()
         for n in np.unique(sizes):
             places = starts[sizes == n][:, None] + np.arange(n)
-            x[places] = filtfilt(sections, x[places])
+            x[places] = of(x[places])
         yield from table.set_column(at, "uv", pa.array(x)).drop_columns(["__i"]).to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

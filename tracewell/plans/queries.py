@@ -123,20 +123,8 @@ def q_butter(spark, sf_dir):
 
 
 def q_sosfilt(spark, sf_dir):
-    """One forward pass, as the pure expression: a fold over each row, here of its first 64 samples."""
-    trace = raw_trace(spark, sf_dir).where("t < 64")
-    (b0, b1, b2, a1, a2), (c0, c1, c2, d1, d2) = butter_highpass(3, CFG.highpass_wn)
-
-    def step(s: Column, x: Column) -> Column:
-        y = b0 * x + s["z0"]
-        w = c0 * y + s["w0"]
-        return F.struct(
-            (b1 * x - a1 * y + s["z1"]).alias("z0"), (b2 * x - a2 * y).alias("z1"), (c1 * y - d1 * w + s["w1"]).alias("w0"), (c2 * y - d2 * w).alias("w1"), F.concat(s["out"], F.array(w)).alias("out")
-        )
-
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("z0", "z1", "w0", "w1")], F.array().cast("array<double>").alias("out"))
-    rows = trace.groupBy("shank", "row_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "uv"))), lambda e: e["uv"]).alias("x"))
-    return out(rows.select("shank", "row_idx", F.posexplode(F.aggregate("x", zero, step)["out"]).alias("t", "uv")))
+    """One forward pass over the whole of each row."""
+    return out(signal.forward_filter(raw_trace(spark, sf_dir), butter_highpass(3, CFG.highpass_wn)))
 
 
 def q_filtfilt(spark, sf_dir):
