@@ -31,7 +31,7 @@ def n_samples(spark: SparkSession, sf_dir: str) -> int:
 
 
 def stims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stim_idx, onset_s)"""
+    """(stim_idx, onset_s) for every signup event; ids beyond the recording wrap around, so onsets repeat."""
     n = n_samples(spark, sf_dir)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where((F.col("event_type") == "signup") & (F.col("event_id") < n))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == "signup")
     return events.select(F.col("event_id").alias("stim_idx"), (F.col("event_id") % n / 1000.0).alias("onset_s"))
