@@ -127,6 +127,13 @@ def test_event_average_equals_its_relational_form(spark, kind):
     assert got.keys() == {(r.data_idx, r.k) for r in want} and all(np.isclose(got[r.data_idx, r.k], r.v) for r in want)
 
 
+def test_percentiles_of_many_samples_use_all(spark):
+    n = 4_000_000
+    trace = spark.range(n).select(F.lit(0).alias("row_idx"), F.col("id").alias("t"), (F.col("id") % 2).cast("double").alias("uv"))
+    table = {r.p: r.vmax for r in stats.percentile_table(trace, n, 1).collect()}
+    assert table[0] == 0 and table[10_000] == 1
+
+
 def test_repeated_stimuli_count_twice(spark, rows):
     cfg = PreprocConfig(rec.RATE, avg_depths=False, highpass=False)
     stims = spark.createDataFrame([(0, 0.4), (1, 0.4), (2, 0.6), (3, 0.0)], "stim_idx long, onset_s double")

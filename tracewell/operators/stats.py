@@ -34,11 +34,11 @@ def at_ranks(values: DataFrame, wanted: DataFrame, column: str = "v") -> DataFra
     return wanted.join(ranked.select((F.col("start") + F.col("place")).alias("rank"), F.col("v").alias("value")), "rank")
 
 
-def percentile_table(trace: DataFrame, n_samples: int, n_rows: int, stride_above: int = 2_000_000) -> DataFrame:
+def percentile_table(trace: DataFrame, n_samples: int, n_rows: int, stride_above: int = 0) -> DataFrame:
     """(p, vmax), p = 0 .. 10000: the absolute value at rank floor(p (n - 1) / 10000).
 
-    Above 2 million samples only every k-th one counts, in the order of rows and times, as the
-    display's table is defined; `stride_above=0` uses all. No samples: no rows.
+    All samples count. With `stride_above=2_000_000`, as the reference's display has it, only every
+    k-th one does above that many, in the order of rows and times. No samples: no rows.
     """
     stride = max(1, n_rows * n_samples // stride_above) if stride_above else 1
     if stride > 1:
