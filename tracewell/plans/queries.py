@@ -373,7 +373,7 @@ def q_meta(spark, sf_dir):
 
 def q_geom_map(spark, sf_dir):
     maps = sidecar.parse_meta(_meta_texts(spark, sf_dir))
-    return sidecar.parse_geom_map(maps.select("path", "geom_map", F.least("n_chans", F.lit(5)).alias("n_chans")))
+    return sidecar.parse_geom_map(maps.select("path", "geom_map", "n_chans"))
 
 
 def q_oebin(spark, sf_dir):
