@@ -171,8 +171,6 @@ def test_simhash_edges(odd):
     got = sorted((r.doc_id or 0, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(odd).collect())
     assert [(g[0], g[1]) for g in got] == sorted((i or 0, slow_fingerprint(t)) for i, t in ODD)
     assert {g[2] for g in got if g[0] in (1, 2, 3)} == {1}
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 

@@ -3,8 +3,13 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
+from xxhash import xxh64_intdigest
+
 import corpus_pipeline
-from tracewell.llm import nearcopies
+from tracewell.llm import nearcopies, simhash
+from tracewell.llm.simhash import connected_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,13 +48,63 @@ def test_stage_finds_edited_copies_of_similarity_08(spark):
     assert pairs > 100 and sorted(r.doc_id for r in got.collect()) == want
 
 
-def test_failed_pairs_of_a_bucket_are_compared_again(spark):
-    """The smallest node of the bucket is near neither of the others, which are near each other."""
-    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
-    sets = [(n, bytearray(nearcopies.shingles(" ".join(t)).tobytes())) for n, t in enumerate((a, b, b[:39]))]
-    left = spark.createDataFrame([(7, n, 0) for n in range(3)], "key long, node long, rep long")
-    got = nearcopies._links(left, spark.createDataFrame(sets, "node long, hashes binary")).collect()
-    assert [tuple(r) for r in got] == [(2, 1)]
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def components(sets):
+    label = {i: i for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        if similar(sets[i], sets[j]):
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("large", [50_000, 4])
+def test_pairs_that_a_forest_leaves_out_are_compared(spark, large):
+    """Families of copies of copies: neighbours in a forest fail where other pairs of the group are similar."""
+    rng, sets = random.Random(11), {}
+    for family in range(12):
+        base = [(family, i) for i in range(400)]
+        for k in range(14):
+            kept = [w if rng.random() > rng.choice((0.02, 0.05, 0.08, 0.12)) else (family, k, i) for i, w in enumerate(base)]
+            sets[family * 100 + k] = set(kept)
+            if rng.random() < 0.3:
+                base = kept
+    hashed = {i: np.unique(np.array([xxh64_intdigest(repr(w).encode()) for w in x], np.uint64)) for i, x in sets.items()}
+    nodes = spark.createDataFrame([(i, nearcopies.fingerprint_of(h), nearcopies.trees_of(h)) for i, h in hashed.items()], "node long, fp long, trees array<long>")
+    whole = spark.createDataFrame([(i, bytearray(h.tobytes())) for i, h in hashed.items()], "node long, hashes binary")
+    edges = nearcopies._edges(nodes, lambda wanted: whole.join(wanted, "node", "left_semi"), large)
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    want = components(sets)
+    assert len(set(want.values())) > 12 and {i: got.get(i, i) for i in sets} == want
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_walk_finds_all_pairs_with_equal_fingerprints(every):
+    rng = random.Random(3)
+    f = np.sort(np.array([rng.choice((0, 1, 3, 255, 1 << 63, (1 << 63) + 7)) for _ in range(60)], np.uint64))
+    tree = np.zeros(60, np.int64)
+    seen, classes = set(), simhash.Classes(60)
+    simhash.walk(tree, f, 3, classes, lambda x, y: seen.update(zip(x.tolist(), y.tolist())) if every else classes.join(x, y), every=every)
+    want = {(i, j) for i, j in itertools.combinations(range(60), 2) if (int(f[i]) ^ int(f[j])).bit_count() <= 3}
+    if every:
+        assert {tuple(sorted(p)) for p in seen} == want
+    else:
+        label = list(range(60))
+        for i, j in want:
+            label = [label[i] if v == label[j] else v for v in label]
+        root = classes.settle().tolist()
+        assert all((root[i] == root[j]) == (label[i] == label[j]) for i, j in itertools.combinations(range(60), 2))
+
+
+def test_the_row_that_stays_is_chosen_by_group_and_text(spark):
+    one, two = "alpha beta gamma delta epsilon zeta eta theta iota", "completely different words stand in this other text here"
+    rows = [(1, one, 7), (1, two, 8), (2, one, 9), (None, one, 1), (None, "no id at all", 2), (None, "no id at all", 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __id long")
+    kept = sorted((r.doc_id or 0, r.text) for r in nearcopies.drop_near_copies(table).collect())
+    assert kept == sorted([(1, one), (1, two), (0, "no id at all")]) and nearcopies.drop_near_copies(table).columns == table.columns
 
 
 def test_odd_tables(spark):

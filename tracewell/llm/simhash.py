@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -68,44 +68,61 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = above
 
 
-def trie_links(tree: np.ndarray, fps: np.ndarray, max_bits: int = 3, frontier: int = 1 << 17) -> np.ndarray:
-    """For each leaf the position of its class's first leaf.
+class Classes:
+    """Leaves in classes: a forest of parents, each class named by its first leaf."""
 
-    `tree` and `fps` (unsigned) are sorted by (tree, fp), without repeats; leaves of different trees
-    are never paired. A node is an interval of leaves. Node pairs wait on a stack in blocks of at
-    most `frontier`, so that memory stays bounded, and the pairs with the fewest differing bits go
-    first, so that dense groups become one class early and are cut off.
-    """
-    n = len(fps)
-    parent = np.arange(n)
-    if n < 2:
-        return parent
-    edge = np.flatnonzero(np.diff(tree)) + 1
-    lo, hi = np.concatenate(([0], edge)), np.concatenate((edge, [n]))
-    keep = hi - lo > 1
-    lo, hi = lo[keep], hi[keep]
-    stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int8))] if len(lo) else []
-    ones: dict[int, np.ndarray] = {}
-    linked, change = False, np.arange(n)  # change: how often neighbouring leaves differ in class, up to here
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.change = np.arange(n)  # how often neighbouring leaves differ in class, up to here
+        self.stale = False
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal linked
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    def join(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Put leaves a[i] and b[i] into one class; the places i that joined two."""
+        parent, made = self.parent, []
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
             while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             while parent[y] != y:
                 parent[y] = y = parent[parent[y]]
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                linked = True
-
+                made.append(i)
+        self.stale |= bool(made)
+        return made
+
+    def settle(self) -> np.ndarray:
+        self.parent[:] = _roots(self.parent)
+        self.change[1:] = np.cumsum(self.parent[1:] != self.parent[:-1])
+        self.stale = False
+        return self.parent
+
+    def one(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> np.ndarray:
+        """Which node pairs hold leaves of a single class."""
+        if self.stale:
+            self.settle()
+        c = self.change
+        return (c[alo] == c[ahi - 1]) & (c[blo] == c[bhi - 1]) & (self.parent[alo] == self.parent[blo])
+
+
+def walk(tree: np.ndarray, fps: np.ndarray, max_bits: int, classes: Classes, near: Callable[[np.ndarray, np.ndarray], None], frontier: int = 1 << 17, every: bool = False) -> None:
+    """Call `near` with the leaf pairs that differ in at most `max_bits` bits and are not in one class yet.
+
+    `tree` and `fps` (unsigned) are sorted by (tree, fp); leaves of different trees are never paired.
+    A node is an interval of leaves. Node pairs descend together and are cut off beyond the budget of
+    differing bits or when all their leaves are of one class. They wait on a stack in blocks of at most
+    `frontier`, so that memory stays bounded, and the pairs with the fewest differing bits go first, so
+    that dense groups become one class early. Of equal fingerprints of a tree each is paired with the
+    first one only, unless `every` pair is asked for.
+    """
+    edge = np.flatnonzero(np.diff(tree)) + 1
+    lo, hi = np.concatenate(([0], edge)), np.concatenate((edge, [len(fps)]))
+    keep = hi - lo > 1
+    lo, hi = lo[keep], hi[keep]
+    stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int8))] if len(lo) else []
+    ones: dict[int, np.ndarray] = {}
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
-        if linked:
-            parent[:] = _roots(parent)
-            change[1:] = np.cumsum(parent[1:] != parent[:-1])
-            linked = False
-        one = (change[alo] == change[ahi - 1]) & (change[blo] == change[bhi - 1]) & (parent[alo] == parent[blo])
+        one = classes.one(alo, ahi, blo, bhi)
         alo, ahi, blo, bhi, err = (x[~one] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
@@ -118,19 +135,24 @@ def trie_links(tree: np.ndarray, fps: np.ndarray, max_bits: int = 3, frontier: i
         leaf = (ahi - alo == 1) & (bhi - blo == 1)
         if leaf.any():
             x, y = alo[leaf], blo[leaf]
-            near = np.bitwise_count(fps[x] ^ fps[y]) <= max_bits
-            near &= x != y
-            join(x[near], y[near])
+            found = np.bitwise_count(fps[x] ^ fps[y]) <= max_bits
+            found &= x != y
+            near(x[found], y[found])
             alo, ahi, blo, bhi, err = (v[~leaf] for v in (alo, ahi, blo, bhi, err))
             if not len(alo):
                 continue
+        if depth == 64:  # equal fingerprints
+            for a0, a1, b0, b1 in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist(), strict=True):
+                for x in range(a0, a1 if every else a0 + 1):
+                    rest = np.arange(x + 1, a1) if a0 == b0 else np.arange(b0, b1 if every else b0 + 1)
+                    near(np.full(len(rest), x), rest)
+            continue
         if depth not in ones:
             ones[depth] = np.concatenate(([0], np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1)))).astype(np.int64)
         c = ones[depth]
         amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
-        own = alo == blo
+        cross = alo != blo
         more = err + 1
-        cross = ~own
         parts = [
             (alo, amid, blo, bmid, err),
             (amid, ahi, bmid, bhi, err),
@@ -141,13 +163,44 @@ def trie_links(tree: np.ndarray, fps: np.ndarray, max_bits: int = 3, frontier: i
         good = (ahi > alo) & (bhi > blo) & (err <= max_bits) & ~((alo == blo) & (ahi - alo == 1))
         if good.any():
             stack.append((depth + 1, *(x[good] for x in (alo, ahi, blo, bhi, err))))
-    return _roots(parent)
 
 
-def _links(it: Iterator[pa.RecordBatch], max_bits: int, at_once: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, sub, fp) sorted by all three: complete trees are joined some at a time."""
+def trie_links(tree: np.ndarray, fps: np.ndarray, max_bits: int = 3, frontier: int = 1 << 17) -> np.ndarray:
+    """For each leaf, sorted by (tree, fp) and without repeats, the position of its class's first leaf."""
+    classes = Classes(len(fps))
+    walk(tree, fps, max_bits, classes, classes.join, frontier)
+    return classes.settle()
+
+
+def whole_trees(it: Iterator[pa.RecordBatch], keys: int, at_once: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """The columns of complete trees, about `at_once` rows at a time; rows are sorted by their first `keys` columns, which name a tree.
 
-    def joined(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    Batches are held in a list until one begins another tree, so a long tree is put together once.
+    """
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in it:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if not batch.num_rows:
+            continue
+        if rows >= at_once:
+            same = np.ones(batch.num_rows, bool)
+            for k in range(keys):
+                same &= columns[k] == held[-1][k][-1]
+            cut = batch.num_rows if same.all() else int(np.argmin(same))
+            if cut < batch.num_rows:
+                held.append([c[:cut] for c in columns])
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, rows, columns = [], 0, [c[cut:] for c in columns]
+        held.append(columns)
+        rows += len(columns[0])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _links(it: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, sub, fp) sorted by all three: complete trees are joined some at a time."""
+    for a, b, f in whole_trees(it, 2):
         first = np.ones(len(f), bool)
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (f[1:] != f[:-1])
         a, b, f = a[first], b[first], f[first].view("<u8")
@@ -156,20 +209,7 @@ def _links(it: Iterator[pa.RecordBatch], max_bits: int, at_once: int = 1 << 18)
         f, tree = f[order], tree[order]
         root = trie_links(tree, f, max_bits)
         away = root != np.arange(len(root))
-        return pa.RecordBatch.from_arrays([pa.array(f[away].view("<i8")), pa.array(f[root[away]].view("<i8"))], names=["u", "v"])
-
-    held: list[np.ndarray] = [np.zeros(0, "<i8")] * 3
-    for batch in it:
-        held = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
-        if len(held[0]) < at_once:
-            continue
-        last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-        if len(last):
-            cut = last[-1] + 1
-            yield joined(*(h[:cut] for h in held))
-            held = [h[cut:] for h in held]
-    if len(held[0]):
-        yield joined(*held)
+        yield pa.RecordBatch.from_arrays([pa.array(f[away].view("<i8")), pa.array(f[root[away]].view("<i8"))], names=["u", "v"])
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = 3, large: int = 50_000) -> DataFrame:
@@ -249,17 +289,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each component: the one whose id names it.
-
-    Rows without a doc_id cannot be named and stay. Of rows that repeat a doc_id one stays.
-    """
-    named = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    once = docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])  # repeats go before the shuffle, and the join needs no other
-    kept = once.join(named, once[doc_id] == named["__kept"], "left_semi")
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
