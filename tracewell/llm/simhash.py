@@ -148,7 +148,7 @@ def walk(tree: np.ndarray, fps: np.ndarray, max_bits: int, classes: Classes, nea
                     near(np.full(len(rest), x), rest)
             continue
         if depth not in ones:
-            ones[depth] = np.concatenate(([0], np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1)))).astype(np.int64)
+            ones[depth] = np.concatenate(([0], np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1)))).astype(np.int32)
         c = ones[depth]
         amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
         cross = alo != blo
