@@ -76,6 +76,17 @@ class Classes:
         self.change = np.arange(n)  # how often neighbouring leaves differ in class, up to here
         self.stale = False
 
+    @staticmethod
+    def of(tree: np.ndarray, label: np.ndarray) -> Classes:
+        """Leaves of one tree and label in one class."""
+        made = Classes(len(tree))
+        order = np.lexsort((np.arange(len(tree)), label, tree))
+        first = np.ones(len(order), bool)
+        first[1:] = (tree[order][1:] != tree[order][:-1]) | (label[order][1:] != label[order][:-1])
+        made.parent[order] = order[first][np.cumsum(first) - 1]
+        made.settle()
+        return made
+
     def join(self, a: np.ndarray, b: np.ndarray) -> list[int]:
         """Put leaves a[i] and b[i] into one class; the places i that joined two."""
         parent, made = self.parent, []
