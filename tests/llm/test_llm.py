@@ -330,6 +330,43 @@ def test_cumulative_link_recovers_order():
     assert w[0] > 0 > w[1] and abs(w[2]) < 0.5 and (np.diff(theta) > 0).all()
 
 
+def test_gradient_equals_differences_of_the_loss():
+    rng = np.random.default_rng(2)
+    x, y, p = rng.normal(size=(80, 4)), rng.integers(0, 4, 80), rng.normal(size=7) * 0.3
+    balance = np.where(y > 0, 0.7, 2.0)
+    _, g = toxicity.loss(p, x, y, balance, 4, 0.05)
+    for k in range(len(p)):
+        step = np.eye(len(p))[k] * 1e-6
+        slope = (toxicity.loss(p + step, x, y, balance, 4, 0.05)[0] - toxicity.loss(p - step, x, y, balance, 4, 0.05)[0]) / 2e-6
+        assert abs(slope - g[k]) < 1e-6
+
+
+def test_texts_with_equal_extremes_of_word_hashes_all_count(monkeypatch):
+    """Words of least and greatest hash are shared by texts that have nothing else in common."""
+    words = sorted({f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"}, key=lambda w: zlib.crc32(w.encode()))
+    inner = words[1:-1]
+    texts = [(" ".join([words[0], *inner[k * 20 : k * 20 + 20], words[-1]]), k % 2) for k in range(20)]
+    seen = []
+    real = toxicity.select_features
+    monkeypatch.setattr(toxicity, "select_features", lambda samples, **k: seen.append(len(samples)) or real(samples, **k))
+    toxicity.fit(texts)
+    assert seen == [20]
+    toxicity.fit([*texts, texts[0]])  # an exact repeat counts once
+    assert seen == [20, 20]
+
+
+def test_toxicity_query_equals_a_plain_scorer(spark):
+    """The query against weights applied word by word, for the same model."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    m = toxicity.train_severity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.op2_toxicity(spark, SF).collect()}
+    for r in docs.collect():
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        eta = sum(m.weights.get(w, 0) + sum(m.weights.get(w[:k] + "*", 0) for k in (4, 5, 6, 7, 8) if len(w) > k) for w in words) * 10 / (len(words) + 40) ** 0.5
+        want = sum(1 / (1 + np.exp(t - eta)) for t in m.thresholds) if words else 0.0
+        assert abs(got[r.doc_id].severity - want) < 1e-9
+
+
 def test_toxicity_edges(spark, odd):
     m = toxicity.train_severity(odd, spark.createDataFrame([(1, None), (77, 1)], "doc_id long, toxic int"))
     assert all(r.severity == 0 or not r.toxic for r in toxicity.with_severity(odd, m).collect())

@@ -10,7 +10,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +21,16 @@ from tracewell.llm.common import append_columns, keep_rows, read_table, share
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7, 8)
-_LEAST, _MOST = 20, 500  # shorter texts count as so long, lest one word decide; longer ones too, lest many words hide a few
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _length(words: list[str]) -> int:
-    return min(_MOST, max(_LEAST, len(words)))
+def _rate(count: float, words: int, prior: float, power: float) -> float:
+    """What `count` words weigh in a text: per hundred words, `prior` words added lest a single one decide, and
+    the length to a power under 1, lest many words hide a few. One formula for texts of every length."""
+    return count * 100.0 ** power / (words + prior) ** power
 
 
 def features_of(word: str) -> list[str]:
@@ -41,6 +41,8 @@ def features_of(word: str) -> list[str]:
 class SeverityModel:
     weights: dict[str, float]
     thresholds: list[float]  # ascending; one fewer than grades
+    prior: float = 40.0
+    power: float = 0.5
 
     def word_weight(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features_of(word))
@@ -56,7 +58,7 @@ class SeverityModel:
                 if len(cache) < 300_000:
                     cache[w] = s
             total += n * s
-        eta = 100.0 * total / _length(words)
+        eta = _rate(total, len(words), self.prior, self.power)
         over = [1 / (1 + np.exp(min(60.0, t - eta))) for t in self.thresholds] if words else [0.0] * len(self.thresholds)
         return float(sum(over)), over
 
@@ -78,49 +80,52 @@ def select_features(samples: list[tuple[list[str], int]], most: int = 2048, leas
     return [f for _, f in sorted(out, reverse=True)[:most]]
 
 
-def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-3, steps: int = 250, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds that maximise the penalised likelihood of ordered grades; Adam on the whole sample.
+def loss(p: np.ndarray, x: np.ndarray, y: np.ndarray, balance: np.ndarray, grades: int, ridge: float) -> tuple[float, np.ndarray]:
+    """The penalised mean negative log-likelihood of ordered grades, and its gradient.
 
-    Thresholds are kept in order as a first one plus positive gaps.
+    `p` holds the weights, the first threshold and the logarithms of the gaps above it, which keeps the
+    thresholds in order; `balance` weighs the rows.
     """
     n, d = x.shape
+    w, base, gaps = p[:d], p[d], np.exp(p[d + 1 :])
+    theta = base + np.concatenate(([0.0], np.cumsum(gaps)))
+    eta = x @ w
+    s = 1 / (1 + np.exp(-np.clip(eta[:, None] - theta[None, :], -40, 40)))  # P(y > k)
+    full = np.concatenate((np.ones((n, 1)), s, np.zeros((n, 1))), 1)
+    rows = np.arange(n)
+    prob = np.maximum(full[rows, y] - full[rows, y + 1], 1e-12)
+    slope = np.concatenate((np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))), 1)
+    scale = -balance / prob / n
+    d_eta = scale * (slope[rows, y] - slope[rows, y + 1])
+    d_theta = np.array([(scale * slope[:, k + 1])[y == k].sum() - (scale * slope[:, k + 1])[y == k + 1].sum() for k in range(grades - 1)])
+    gradient = np.concatenate((x.T @ d_eta + ridge * w, [d_theta.sum()], [gaps[k] * d_theta[k + 1 :].sum() for k in range(grades - 2)]))
+    return float(-(balance * np.log(prob)).mean() + ridge * (w @ w) / 2), gradient
+
+
+def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-3, steps: int = 250, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds that minimise `loss`, both classes weighted alike; Adam on the whole sample."""
+    n, d = x.shape
     balance = np.where(y > 0, n / max(1, 2 * (y > 0).sum()), n / max(1, 2 * (y == 0).sum()))
     p = np.concatenate((np.zeros(d), [1.0], np.full(grades - 2, 0.5)))
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
-        w, base, gaps = p[:d], p[d], np.exp(p[d + 1 :])
-        theta = base + np.concatenate(([0.0], np.cumsum(gaps)))
-        eta = x @ w
-        s = 1 / (1 + np.exp(-np.clip(eta[:, None] - theta[None, :], -40, 40)))  # P(y > k)
-        full = np.concatenate((np.ones((n, 1)), s, np.zeros((n, 1))), 1)
-        rows = np.arange(n)
-        prob = np.maximum(full[rows, y] - full[rows, y + 1], 1e-12)
-        slope = np.concatenate((np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))), 1)
-        scale = -balance / prob / n
-        d_eta = scale * (slope[rows, y] - slope[rows, y + 1])
-        d_theta = np.array([-(scale * slope[:, k + 1])[y == k + 1].sum() + (scale * slope[:, k + 1])[y == k].sum() for k in range(grades - 1)])
-        g = np.concatenate((x.T @ d_eta + ridge * w, [d_theta.sum()], [gaps[k] * d_theta[k + 1 :].sum() for k in range(grades - 2)]))
+        _, g = loss(p, x, y, balance, grades, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) / np.sqrt(1 + step / 100)
     return p[:d], p[d] + np.concatenate(([0.0], np.cumsum(np.exp(p[d + 1 :]))))
 
 
-def fit(samples: list[tuple[str | None, int]], grades: int = 4) -> SeverityModel:
-    """A model from (text, toxic 0 or 1).
+def fit(samples: list[tuple[str | None, int]], grades: int = 4, prior: float = 40.0, power: float = 0.5) -> SeverityModel:
+    """A model from (text, toxic 0 or 1). A text that repeats another one exactly, with the same label, counts once.
 
     The labels have two values; the grades above 0 split the toxic texts by the share of their words
     that the selected features cover, into equal parts. Without both classes nothing is learned, and
     every severity is 0.
     """
-    once: dict[tuple, tuple[list[str], int]] = {}
-    for t, y in samples:  # copies count once: near copies share the least and the greatest hash of their words
-        words = words_of(t)
-        hashes = [crc32(w.encode("utf-8", "surrogatepass")) for w in set(words)] or [0]
-        once.setdefault((int(y), min(hashes), max(hashes)), (words, int(y)))
-    split = list(once.values())
+    split = [(words_of(t), y) for t, y in dict.fromkeys((t, int(y)) for t, y in samples)]
     chosen = select_features(split) if len({y for _, y in split}) == 2 else []
     if not chosen:
-        return SeverityModel({}, [50.0] * (grades - 1))
+        return SeverityModel({}, [50.0] * (grades - 1), prior, power)
     at = {f: i for i, f in enumerate(chosen)}
     rows, share_of = [], []
     for words, _ in split:
@@ -131,7 +136,7 @@ def fit(samples: list[tuple[str | None, int]], grades: int = 4) -> SeverityModel
                 counts[f] += n
             hit += n * bool(fs)
         rows.append(counts)
-        share_of.append(100.0 * hit / _length(words))
+        share_of.append(_rate(hit, len(words), prior, power))
     toxic = np.array([y for _, y in split])
     share_of = np.array(share_of)
     cuts = np.quantile(share_of[toxic == 1], np.arange(1, grades - 1) / (grades - 1))
@@ -139,9 +144,9 @@ def fit(samples: list[tuple[str | None, int]], grades: int = 4) -> SeverityModel
     x = np.zeros((len(split), len(chosen)), np.float64)
     for i, counts in enumerate(rows):
         for f, n in counts.items():
-            x[i, f] = 100.0 * n / _length(split[i][0])
+            x[i, f] = _rate(n, len(split[i][0]), prior, power)
     w, theta = fit_cumulative(x, y, grades)
-    return SeverityModel({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, theta.tolist())
+    return SeverityModel({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, theta.tolist(), prior, power)
 
 
 def train_severity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = 1500) -> SeverityModel:
@@ -188,7 +193,11 @@ def with_severity(docs: DataFrame, model: SeverityModel, text: str = "text") ->
 
 
 def drop_toxic(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFrame:
-    """`docs` without the rows judged toxic."""
+    """`docs` without the rows judged toxic; all columns stay as they came, whatever their names. No shuffle.
+
+    Null texts and texts without words are not toxic. Repeated rows are judged alike, texts of any
+    length whole; an empty table gives no rows.
+    """
     sent, at = share(docs.sparkSession, model), docs.columns.index(text)
 
     def start():
