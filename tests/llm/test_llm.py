@@ -255,7 +255,7 @@ def test_pieces_equal_the_library(model, docs):
     library = SentencePieceProcessor(model_file=pieces.model_path())
     rng = random.Random(5)
     parts = ["a", "e", "th", "ing", " ", "  ", "▁", "\n", "é", "日本", "😀", "1", "==", "    ", "\t", "\\", "𝔘", "the "]
-    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(1500)] + [r.text or "" for r in docs.collect()] + ["x" * 5000, "ab" * 3000]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(1500)] + [r.text or "" for r in docs.collect()] + ["x" * 5000, "ab" * 3000, "abc. de\n" * 2000, "word " * 900 + "y" * 9000 + " end. " * 900]
     for text in texts:
         ids = model.encode(text)
         assert ids == library.encode(text)
@@ -273,13 +273,38 @@ def test_streaming_search_commits_early_and_agrees(model):
             yield c
 
     out, first = [], None
-    for p in model.viterbi(characters()):
+    for p in itertools.chain.from_iterable(model.viterbi(characters())):
         first = first or fed
         out.append(p)
     assert first < 200  # ids leave while the text still comes in
     assert [i for p in out for i in model.ids_of(p)] == list(itertools.chain.from_iterable(map(model.ids_of, model.merged(text))))
 
 
+def test_window_of_a_text_of_millions_of_characters(model):
+    rng, alphabet = random.Random(8), "abcdetinghosé"
+    text = "".join(rng.choices(alphabet, k=50_000))
+    fed = (text[k : k + 1000] for _ in range(60) for k in range(0, len(text), 1000))  # three million characters without a boundary
+    model.widest, n = 0, 0
+    tail: list[str] = []
+    for p in itertools.chain.from_iterable(model.viterbi(fed)):
+        n += len(p)
+        tail = [*tail[-50:], p]
+    assert n == 60 * len(text) and text.endswith("".join(tail[1:]))
+    assert model.longest == 16 and model.widest <= 1000 + 8 * model.longest  # one block and a few pieces
+
+
+def test_user_defined_pieces_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(pieces.model_path(), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.pieces[-1].type = pb.ModelProto.SentencePiece.USER_DEFINED
+    (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.PieceModel(str(tmp_path / "m.model"))
+
+
 def test_pieces_edges(odd):
     got = {r.doc_id: r for r in pieces.decode_pieces(pieces.with_pieces(odd, pieces.model_path()), pieces.model_path()).collect()}
     assert all(r.round_trip and r.decoded == (r.text or "") for r in got.values())

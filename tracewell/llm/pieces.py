@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -28,7 +27,7 @@ from tracewell.llm.common import append_columns, read_table
 
 SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-_WINDOW = 64  # characters held; the longest piece has fewer
+_SLICE = 1 << 16  # characters of a text that are cut into stretches at a time
 
 
 class PieceModel:
@@ -59,12 +58,14 @@ class PieceModel:
                 self.bytes_of.append(bytes([value]))
             elif library.is_control(i) or library.is_unknown(i):
                 self.bytes_of.append(b"")
+            elif p.type not in (0, pb.ModelProto.SentencePiece.NORMAL):
+                raise ValueError(f"{path}: piece {i} is user-defined or unused; only plain pieces are searched for")
             else:
                 self.ids[p.piece] = i
                 self.rank[p.piece] = p.score
                 self.bytes_of.append(p.piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids))
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}  # beginnings of pieces
+        self.widest = 0  # characters that the window has held at most
         self.trie: dict[str, tuple] = {}  # character -> (the trie below it, [the piece that ends there])
         for p in self.ids:
             below = self.trie
@@ -131,126 +132,141 @@ class PieceModel:
         i = self.ids.get(piece)
         return [i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def viterbi(self, characters: Iterable[str]) -> Iterator[str]:
-        """The pieces of a stream of characters, each as soon as all surviving paths share it."""
-        window: deque[str] = deque()  # characters from `base` on
-        last: dict[int, str | None] = {0: None}  # position -> the piece that ends there; None at the start
-        base = read = committed = 0
-        longest, ids, starts = self.longest, self.ids, self.starts
-
-        def extend(start: int) -> None:
-            """All pieces that start at `start` and pair with the piece that ends there."""
-            if start not in last:
-                return
-            before, text = last[start], ""
-            for k in range(start - base, len(window)):
-                text += window[k]
-                if text not in starts:
-                    break
-                if text in ids and (before is None or self.pair(before, text)):
-                    last[start + len(text)] = text
-            first = window[start - base]
-            if first not in ids:  # a character outside the vocabulary stands alone
-                last[start + 1] = first
-
-        def path(end: int, stop: int) -> list[tuple[int, str]]:
-            out = []
-            while end > stop:
-                piece = last[end]
-                out.append((end, piece))
-                end -= len(piece)
-            return out[::-1]
-
-        def commit(upto: int) -> list[str]:
-            nonlocal base, committed
-            out = [p for _, p in path(upto, committed)]
-            committed = upto
-            while base < committed:
-                window.popleft()
-                base += 1
-            for p in [p for p in last if p < committed]:
-                del last[p]
-            return out
-
-        done = 0  # positions below are extended
-        for c in characters:
-            window.append(c)
-            read += 1
-            if read - done <= longest:
-                continue
-            extend(done)
-            done += 1
-            if done - committed >= longest and done % 8 == 0:
-                alive = [p for p in last if p >= done]
-                shared: set[int] | None = None
-                for p in alive:
-                    ends = {e for e, _ in path(p, committed) if e <= done}
-                    shared = ends if shared is None else shared & ends
-                if shared:
-                    yield from commit(max(shared))
-        while done < read:
-            extend(done)
-            done += 1
-        yield from commit(read)
-
-    def _in_window(self, text: str) -> list[str]:
-        """The same search for a stretch that fits the window: all of it is read before a commit is due."""
-        n, root, stable = len(text), self.trie, self.stable_after
-        last: list[str | None] = [""] + [None] * n
-        for i in range(n):
-            before = last[i]
-            after = stable.get(before)
-            if after is None:
-                after = stable[before] = {}
-            node = root.get(text[i])
-            if node is None or node[1] is None:
-                last[i + 1] = text[i]  # a character outside the vocabulary stands alone
-                if node is None:
+    def viterbi(self, blocks: Iterable[str]) -> Iterator[list[str]]:
+        """The pieces of a text that comes in blocks of characters, some at a time, as soon as all surviving paths share them.
+
+        The window holds the characters from the last commit on. A position is extended once the
+        characters of the longest piece from there are read. When twice that many are extended, the
+        backpointer paths of all positions that can still be extended are followed to the boundary that
+        they share; what lies before it is committed and leaves the window.
+        """
+        longest, root, stable = self.longest, self.trie, self.stable_after
+        source = iter(blocks)
+        window, i, due, ended = "", 0, 2 * longest, False
+        last: list[str | None] = [""]  # the piece that ends at a position of the window; for its start, the piece before it
+        while True:
+            while not ended and len(window) - i < longest:
+                block = next(source, None)
+                if block is None:
+                    ended = True
+                else:
+                    window += block
+                    last += [None] * len(block)
+                    self.widest = max(self.widest, len(window))
+            n = len(window)
+            if i == n:
+                break
+            for i in range(i, min(n if ended else n - longest + 1, due)):  # noqa: B020
+                before = last[i]
+                if before is None:
                     continue
-            j = i + 1
-            while True:
-                below, t = node
-                if t is not None:
-                    good = after.get(t)
-                    if good is None:
-                        good = after[t] = not before or self.pair(before, t)
-                    if good:
-                        last[j] = t
-                if j == n:
-                    break
-                node = below.get(text[j])
-                if node is None:
-                    break
-                j += 1
+                after = stable.get(before)
+                if after is None:
+                    after = stable[before] = {}
+                node = root.get(window[i])
+                if node is None or node[1] is None:
+                    last[i + 1] = window[i]  # a character outside the vocabulary stands alone
+                    if node is None:
+                        continue
+                j = i + 1
+                while True:
+                    below, t = node
+                    if t is not None:
+                        good = after.get(t)
+                        if good is None:
+                            good = after[t] = not before or self.pair(before, t)
+                        if good:
+                            last[j] = t
+                    if j == n:
+                        break
+                    node = below.get(window[j])
+                    if node is None:
+                        break
+                    j += 1
+            i += 1
+            if i >= due:
+                cut = self._shared(last, i)
+                if cut:
+                    yield self._path(last, cut)
+                    window, last, i = window[cut:], last[cut:], i - cut
+                due = max(i, longest) + longest
+        yield self._path(last, i)
+
+    @staticmethod
+    def _path(last: list[str | None], end: int) -> list[str]:
         out = []
-        while n:
-            out.append(last[n])
-            n -= len(out[-1])
+        while end:
+            out.append(last[end])
+            end -= len(out[-1])
         return out[::-1]
 
-    def word(self, text: str) -> tuple[int, ...]:
-        if len(text) <= _WINDOW:
-            pieces = self._in_window(text)
-            if len(self.stable_after) > 20_000:
-                self.stable_after.clear()
-            return tuple(chain.from_iterable(map(self.ids_of, pieces)))
-        return tuple(chain.from_iterable(map(self.ids_of, self.viterbi(text))))
+    @staticmethod
+    def _shared(last: list[str | None], upto: int) -> int:
+        """The last boundary, `upto` or before, that the paths of all positions from `upto` on have in common; 0: none yet."""
+        ends: list[int] | None = None
+        for end in range(upto, len(last)):
+            if last[end] is None:
+                continue
+            while end > upto:
+                end -= len(last[end])
+            if ends is None:
+                ends = [end]
+                while ends[-1]:
+                    ends.append(ends[-1] - len(last[ends[-1]]))
+                shared = 0  # place in the ends, which falls towards the start
+            while shared < len(ends) and ends[shared] != end:
+                if ends[shared] > end:
+                    shared += 1
+                else:
+                    end -= len(last[end])
+        return ends[shared] if ends else 0
+
+    def search(self, text: str) -> tuple[int, ...]:
+        """Ids of a stretch of any length by the streaming search."""
+        step, ids = 4 * self.longest, self.ids
+        out: list[int] = []
+        for pieces in self.viterbi(text[k : k + step] for k in range(0, len(text), step)):
+            found = [ids.get(p) for p in pieces]
+            out += chain.from_iterable(map(self.ids_of, pieces)) if None in found else found
+        if len(self.stable_after) > 20_000:
+            self.stable_after.clear()
+        return tuple(out)
+
+    def stretches(self, text: str) -> Iterator[list[str]]:
+        """The text's stretches between forced boundaries, some at a time.
+
+        They are cut from slices of the text; the last one of a slice may go on and begins the next.
+        """
+        at, size = 0, _SLICE
+        while at < len(text):
+            found = self.chunk.findall(text, at, at + size)
+            if at + size < len(text):
+                last = found.pop()
+                if not found:  # one stretch fills the slice
+                    size *= 2
+                    continue
+                at += size - len(last)
+            else:
+                at = len(text)
+            size = _SLICE
+            yield found
 
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text. Where the vocabulary forces a boundary, all paths meet: the stretches
-        between such places are committed one by one, and those seen before are looked up."""
+        """Ids of a whole text. Where the vocabulary forces a boundary, all paths meet: the stretches between
+        such places are taken from the text one after the other and searched, short ones that were met before looked up."""
         if not text:
             return []
         text = (self.prefix + text).replace(" ", SPACE)
         out: list[int] = []
-        known, word = self.known, self.word
-        for w in self.chunk.findall(text):
-            ids = known.get(w)
-            if ids is None:
-                ids = self.older.get(w) or word(w)
-                if len(w) <= _WINDOW:
-                    known[w] = ids
-            out += ids
+        known, search, short = self.known, self.search, 4 * self.longest
+        for some in self.stretches(text):
+            for w in some:
+                ids = known.get(w)
+                if ids is None:
+                    ids = self.older.get(w) or search(w)
+                    if len(w) <= short:
+                        known[w] = ids
+                out += ids
         if len(known) >= self.most_cached:
             self.older, self.known = known, {}
         return out
