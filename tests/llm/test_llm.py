@@ -191,19 +191,21 @@ def test_wu_manber_equals_plain_search(spark):
     texts = [(i, "! ".join(word() for _ in range(rng.randrange(60)))) for i in range(150)] + [(900, None), (901, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     table = spark.createDataFrame(texts, "doc_id long, text string")
-    for block in (32_000_000, 10):
-        got = {r.doc_id: r for r in decontaminate.find_benchmark(table, bench, block_chars=block).collect()}
+    for block in (150_000, 7):
+        got = {r.doc_id: r for r in decontaminate.find_benchmark(table, bench, block_windows=block).collect()}
+        clean = {r.doc_id for r in decontaminate.drop_contaminated(table, bench, block_windows=block).collect()}
+        assert clean == {i for i, r in got.items() if not r.hits}
         for i, text in texts:
             words = re.findall("[a-z0-9]+", text or "")
             hit, found = set(), set()
             for k, item in items:
                 own = re.findall("[a-z0-9]+", item or "")
                 m = min(10, len(own))
-                for at in range(len(own) - m + 1 if own and k is not None else 0):
+                for at in range(len(own) - m + 1 if own else 0):
                     for p in range(len(words) - m + 1):
                         if words[p : p + m] == own[at : at + m]:
                             hit |= set(range(p, p + m))
-                            found.add(str(k))
+                            found |= set() if k is None else {str(k)}
             assert sum(s.end - s.start for s in got[i].hits) == len(hit) and got[i]["items"] == sorted(found)
 
 
@@ -323,6 +325,40 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_svm_equals_a_plain_solver():
+    """The dual by coordinate descent over sparse rows against projected gradient steps over dense ones."""
+    rng = np.random.default_rng(4)
+    n, width, c = 60, 40, 10.0
+    x = np.abs(rng.normal(size=(n, width))) * (rng.random((n, width)) < 0.3)
+    x[:, 0] += 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.where(x[:, 1:6].sum(1) + 0.2 * rng.normal(size=n) > x[:, 6:12].sum(1), 1.0, -1.0)
+    cap = np.where(y > 0, c * n / (2 * (y > 0).sum()), c * n / (2 * (y < 0).sum()))
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    a, step = np.zeros(n), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        a = np.clip(a + step * (1 - q @ a), 0, cap)
+    best = (a * y) @ x
+    primal = lambda w: w @ w / 2 + (cap * np.maximum(0, 1 - y * (x @ w))).sum()
+    got = langid.train_svm([(np.flatnonzero(r).astype(np.uint32), r[r > 0]) for r in x], y, width, c, epochs=3000)
+    assert primal(got) <= 1.005 * primal(best) and np.linalg.norm(got - best) <= 0.05 * np.linalg.norm(best)
+
+
+def test_language_query_equals_a_plain_prediction(spark):
+    """The query against family and pair votes written out, for the same model."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    m = langid.train_language_model(docs)
+    got = {r.doc_id: r for r in langid.op8_language_id(spark, SF).collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        out = langid.features(r.text, m.bits).astype(float) @ m.weights
+        fam = m.families[int(np.argmax(out[: len(m.families)]))]
+        won = {g: sum((out[len(m.families) + k] > 0) == (g == a) for k, (a, b) in enumerate(m.pairs) if g in (a, b)) for g in m.langs if langid.family(g) == fam}
+        assert got[r.doc_id].lang_pred in won and (len(won) > 2 or won[got[r.doc_id].lang_pred] == max(won.values()))
+
+
 def test_language_edges(spark, odd, docs):
     m = langid.train_language_model(docs)
     got = {r.doc_id: r for r in langid.with_language(odd, m).collect()}

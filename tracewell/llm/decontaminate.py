@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import append_columns, keep_rows, read_table, share
+from tracewell.llm.common import append_columns, keep_rows, materialize, read_table, share
 
 #: A-Z to lower case; ASCII characters other than letters and digits to a space; the rest as it is.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -34,13 +34,14 @@ class _Length:
         self.m, self.block = m, min(block, m)
         self.default = m - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[tuple[bytes, ...]]]] = {}
+        self.buckets: dict[tuple[bytes, ...], tuple[tuple[bytes, ...], ...]] = {}  # by suffix block and first block
         b = self.block
         for p in patterns:
             for end in range(b, m + 1):
                 key = p[end - b : end]
                 self.shift[key] = min(self.shift.get(key, self.default), m - end)
-            self.buckets.setdefault(p[m - b :], {}).setdefault(p[:b], set()).add(p)
+            key = p[m - b :] + p[:b]
+            self.buckets[key] = (*self.buckets.get(key, ()), p)
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
         """(start, pattern) of each occurrence."""
@@ -53,7 +54,7 @@ class _Length:
                 end += step
                 continue
             start = end - m
-            candidates = self.buckets[suffix].get(tuple(words[start : start + b]))
+            candidates = self.buckets.get(suffix + tuple(words[start : start + b]))
             if candidates:
                 window = tuple(words[start:end])
                 if window in candidates:
@@ -62,18 +63,34 @@ class _Length:
 
 
 class PatternSet:
-    """The windows of a block of benchmark items, ready to search."""
+    """Windows of benchmark items, ready to search after `build`."""
 
-    def __init__(self, items: Iterable[tuple[object, str | None]], width: int = 10, block: int = 3):
-        self.owners: dict[tuple[bytes, ...], set] = {}
+    def __init__(self, items: Iterable[tuple[object, str | None]] = (), width: int = 10, block: int = 3):
+        self.width, self.block = width, block
+        self.owners: dict[tuple[bytes, ...], tuple] = {}
+        self.lengths: list[_Length] = []
         for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - width + 1) if words else 0):
-                self.owners.setdefault(tuple(words[i : i + width]), set()).add(item)
+            for window in self.windows(text):
+                self.add(item, window)
+        self.build()
+
+    def windows(self, text: str | None) -> Iterator[tuple[bytes, ...]]:
+        words = words_of(text)
+        for i in range(max(1, len(words) - self.width + 1) if words else 0):
+            yield tuple(words[i : i + self.width])
+
+    def add(self, item: object, window: tuple[bytes, ...]) -> None:
+        """A window of an item; None for an item without an id, whose windows are found but not named."""
+        own = self.owners.setdefault(window, ())
+        if item is not None and item not in own[-1:]:  # repeats of an item that is not the last are told apart when found
+            self.owners[window] = (*own, item)
+
+    def build(self) -> PatternSet:
         by: dict[int, list[tuple[bytes, ...]]] = {}
         for p in self.owners:
             by.setdefault(len(p), []).append(p)
-        self.lengths = [_Length(ps, block) for ps in by.values()]
+        self.lengths = [_Length(ps, self.block) for ps in by.values()]
+        return self
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans [start, end) of document words inside occurrences, and the items found."""
@@ -81,7 +98,7 @@ class PatternSet:
         for x in self.lengths:
             for start, window in x.find(words):
                 spans.append((start, start + x.m))
-                items |= self.owners[window]
+                items.update(self.owners[window])
         return spans, items
 
 
@@ -125,46 +142,48 @@ def _pass(docs: DataFrame, patterns: PatternSet, text: str, later: bool) -> Data
     return append_columns(docs, _FIELDS, batches)
 
 
-def pattern_blocks(benchmark: DataFrame, width: int = 10, item: str = "item_id", item_text: str = "text", block_chars: int = 32_000_000) -> Iterator[PatternSet]:
-    """The windows of all items, in blocks of at most `block_chars` characters or one item; one empty block without items."""
-    queries = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
+def pattern_blocks(benchmark: DataFrame, width: int = 10, item: str = "item_id", item_text: str = "text", block_windows: int = 150_000) -> Iterator[PatternSet]:
+    """The windows of all items, in blocks of `block_windows` distinct ones at most; one empty block without items.
 
-    def block(ids: list) -> PatternSet:
-        rows = queries.where(F.col("i").isin(ids)).collect() if ids else []
-        return PatternSet(((r["i"], r["t"]) for r in rows), width)
-
-    ids, held = [], 0
-    for row in queries.groupBy("i").agg(F.sum(F.length("t")).alias("n")).orderBy("i").toLocalIterator():
-        if ids and held + row["n"] > block_chars:
-            yield block(ids)
-            ids, held = [], 0
-        ids.append(row["i"])
-        held += row["n"]
-    yield block(ids)
+    The benchmark comes to the driver a partition at a time. A block takes some 900 bytes a window there
+    and in each Python worker; an item with more windows than a block has goes on in the next.
+    """
+    made = PatternSet(width=width)
+    for row in benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).toLocalIterator():
+        for window in made.windows(row["t"]):
+            if len(made.owners) >= block_windows and window not in made.owners:
+                yield made.build()
+                made = PatternSet(width=width)
+            made.add(row["i"], window)
+    yield made.build()
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, item: str = "item_id", item_text: str = "text", block_chars: int = 32_000_000) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, item: str = "item_id", item_text: str = "text", block_windows: int = 150_000) -> DataFrame:
     """`docs` with `n_words`, `hits` (merged spans of hit words) and `items` (ids, sorted as strings).
 
-    The benchmark is the query set. Its texts reach the executors in blocks of at most `block_chars`
-    characters or one item, so a broadcast is bounded; each block is one more pass over the rows, in
-    place and without a shuffle. Every block searches all windows of its items.
+    The benchmark is the query set. Its windows reach the executors in blocks of at most `block_windows`,
+    so a broadcast is bounded; each block is a pass over the rows, in place and without a shuffle. Between
+    passes the rows are written to the shared folder, so that a worker holds one block at a time.
 
-    Nulls: a null text, of a document or an item, has no words; items with a null id are ignored.
-    Repeated items count once, repeated rows each. An empty benchmark finds nothing. Columns of the
-    same names give way.
+    Nulls: a null text, of a document or an item, has no words; windows of items with a null id are hit
+    like any other but name no item. Repeated items count once, repeated rows each. An empty benchmark
+    finds nothing, an empty table gives no rows. Columns of the same names give way.
     """
     out, later = docs, False
-    for patterns in pattern_blocks(benchmark, width, item, item_text, block_chars):
-        out, later = _pass(out, patterns, text, later), True
+    for patterns in pattern_blocks(benchmark, width, item, item_text, block_windows):
+        out, later = _pass(materialize(out, "decontamination") if later else out, patterns, text, later), True
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` without the rows that hold a window of a benchmark item."""
-    at = docs.columns.index(text)
-    for patterns in pattern_blocks(benchmark):
-        docs = keep_rows(docs, _clean(share(docs.sparkSession, patterns), at))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_windows: int = 150_000) -> DataFrame:
+    """`docs` without the rows that hold a window of a benchmark item; all columns stay as they came, whatever their names.
+
+    Blocks, nulls and repeats are as in `find_benchmark`: a null text holds nothing and stays, repeated
+    rows stay or go together, texts of any length are searched whole. An empty benchmark drops nothing.
+    """
+    at, later = docs.columns.index(text), False
+    for patterns in pattern_blocks(benchmark, block_windows=block_windows):
+        docs, later = keep_rows(materialize(docs, "decontamination") if later else docs, _clean(share(docs.sparkSession, patterns), at)), True
     return docs
 
 
@@ -197,7 +216,7 @@ WITH d AS (
   FROM documents
 ), b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), p AS (
   SELECT DISTINCT item_id, least(len(words), 10) AS m, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS gram
   FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)
@@ -209,7 +228,7 @@ WITH d AS (
 ), hit AS (
   SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(i, i + m)) AS pos FROM (SELECT DISTINCT rid, i, m FROM found)) GROUP BY rid
 ), items AS (
-  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY rid
+  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(list, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated

@@ -55,27 +55,46 @@ def features(text: str, bits: int) -> np.ndarray:
     return np.sqrt(counts / max(1, len(grams)), dtype=np.float32)
 
 
-def train_svm(x: np.ndarray, gram: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 60, seed: int = 5) -> np.ndarray:
+Row = tuple[np.ndarray, np.ndarray]  # places and values of a text's features that are not zero
+
+
+def sparse(text: str, bits: int) -> Row:
+    x = features(text, bits)
+    at = np.flatnonzero(x)
+    return at.astype(np.uint32), x[at]
+
+
+def train_svm(rows: list[Row], y: np.ndarray, width: int, c: float = 10.0, epochs: int = 60, seed: int = 5) -> np.ndarray:
     """Weights of a linear SVM (hinge loss) by dual coordinate descent; y is +1 or -1, classes weighted to balance.
 
-    `gram` is x x^T: the outputs on the sample are kept up to date from it, so that a step costs one
-    row of it and not a pass over the features.
+    The rows have length 1. Each step changes one row's coefficient and the weights at its places, so
+    that nothing but the rows and one weight vector is held. Rows at a bound of their coefficient that
+    stay there are left out until the others have settled, then looked at once more.
     """
     n = len(y)
     cap = np.where(y > 0, c * n / max(1, 2 * (y > 0).sum()), c * n / max(1, 2 * (y < 0).sum()))
-    a, out, q = np.zeros(n), np.zeros(n), np.diag(gram) + 1e-12
+    a, w = np.zeros(n), np.zeros(width)
     rng = np.random.default_rng(seed)
+    active, whole = np.arange(n), True
     for _ in range(epochs):
-        moved = 0.0
-        for i in rng.permutation(n):
-            new = min(max(a[i] - (y[i] * out[i] - 1) / q[i], 0.0), cap[i])
+        moved, kept = 0.0, []
+        for i in rng.permutation(active):
+            at, x = rows[i]
+            slope = y[i] * (w[at] @ x) - 1
+            if not (a[i] == 0.0 and slope > 0.1 or a[i] == cap[i] and slope < -0.1):
+                kept.append(i)
+            new = min(max(a[i] - slope, 0.0), cap[i])
             if new != a[i]:
-                out += (new - a[i]) * y[i] * gram[i]
+                w[at] += (new - a[i]) * y[i] * x
                 moved = max(moved, abs(new - a[i]))
                 a[i] = new
         if moved < 1e-3:
-            break
-    return (a * y).astype(x.dtype) @ x
+            if whole:
+                break
+            active, whole = np.arange(n), True
+        else:
+            active, whole = np.array(kept, np.int64), len(kept) == n
+    return w
 
 
 @dataclass
@@ -108,25 +127,26 @@ class LanguageModel:
         return lang, score * votes[lang] / (len(own) - 1)
 
 
-def fit(samples: list[tuple[str, str]], bits: int = 14) -> LanguageModel:
+def fit(samples: list[tuple[str | None, str]], bits: int = 14) -> LanguageModel:
     """A model from (text, lang); texts without a letter are left out."""
-    samples = [(t, g) for t, g in samples if t and has_letter(t)]
+    return fit_rows([(sparse(t, bits), g) for t, g in samples if t and has_letter(t)], bits)
+
+
+def fit_rows(samples: list[tuple[Row, str]], bits: int) -> LanguageModel:
     langs = sorted({g for _, g in samples})
     model = LanguageModel(langs, bits, sorted({family(g) for g in langs}))
     if not langs:
         return model
-    x = np.stack([features(t, bits) for t, _ in samples])
-    lang = np.array([g for _, g in samples])
+    rows, lang, width = [r for r, _ in samples], np.array([g for _, g in samples]), 1 << bits
     of = np.array([family(g) for g in lang])
-    gram = (x @ x.T).astype(np.float64)
-    columns = [train_svm(x, gram, np.where(of == f, 1.0, -1.0)) if len(model.families) > 1 else np.zeros(x.shape[1]) for f in model.families]
+    columns = [train_svm(rows, np.where(of == f, 1.0, -1.0), width) if len(model.families) > 1 else np.zeros(width) for f in model.families]
     for i, a in enumerate(langs):
         for b in langs[i + 1 :]:
             if family(a) == family(b):
-                both = (lang == a) | (lang == b)
+                both = np.flatnonzero((lang == a) | (lang == b))
                 model.pairs.append((a, b))
-                columns.append(train_svm(x[both], gram[np.ix_(both, both)], np.where(lang[both] == a, 1.0, -1.0)))
-    model.weights = np.stack(columns, 1).astype(np.float64)
+                columns.append(train_svm([rows[k] for k in both], np.where(lang[both] == a, 1.0, -1.0), width))
+    model.weights = np.stack(columns, 1)
     return model
 
 
@@ -134,12 +154,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300, most_langs: int = 200, bits: int = 14) -> LanguageModel:
+def train_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300, most_langs: int = 100, bits: int = 14) -> LanguageModel:
     """Fit on a bounded sample of the rows that are not held out: `per_lang` texts or fewer of each language.
 
     The sample of a language is drawn by a hash of the id, so it is the same in every run. At most
-    `most_langs` languages are learned, the most frequent ones; so at most their product in texts
-    reaches the driver.
+    `most_langs` languages are learned, the most frequent ones. What reaches the driver is one row of
+    features for each text of the sample, some ten kilobytes whatever the text's length, and per
+    language a count.
     """
     usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
@@ -149,10 +170,20 @@ def train_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     share_of = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1 << 30, int((1 << 30) * 1.3 * per_lang / r["count"])))])
     drawn = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang"), draw.alias("draw")).where(F.col("draw") < F.element_at(share_of, F.col("lang")))
     once = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))  # an id that many rows repeat is drawn once
+
+    def featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [(r["lang"], r["draw"], *sparse(r["text"], bits)) for r in batch.to_pylist() if has_letter(r["text"])]
+            columns = [[f[0] for f in found], [f[1] for f in found], [f[2].tobytes() for f in found], [f[3].tobytes() for f in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["lang", "draw", "at", "x"])
+
     taken: dict[str, list] = {}
-    for r in sorted(once.orderBy("draw", "lang").limit(2 * per_lang * len(sizes)).collect(), key=lambda r: (r["draw"], r["text"])):
-        taken.setdefault(r["lang"], []).append(r["text"])
-    return fit([(t, g) for g, texts in taken.items() for t in texts[:per_lang]], bits)
+    for r in once.mapInArrow(featured, "lang string, draw long, at binary, x binary").toLocalIterator():
+        taken.setdefault(r["lang"], []).append((r["draw"], bytes(r["at"]), bytes(r["x"])))
+    samples = []
+    for g, rows in sorted(taken.items()):
+        samples += [((np.frombuffer(at, np.uint32), np.frombuffer(x, np.float32)), g) for _, at, x in sorted(rows)[:per_lang]]
+    return fit_rows(samples, bits)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -173,7 +204,11 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
 
 
 def drop_unknown_language(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.3) -> DataFrame:
-    """`docs` without texts of no recognised language: 'und', or a score under `least`."""
+    """`docs` without texts of no recognised language: 'und', or a score under `least`; all columns stay as they came.
+
+    Null texts and texts without a letter go, as do all texts under a model that learned nothing.
+    Repeated rows are judged alike, texts of any length whole; an empty table gives no rows. No shuffle.
+    """
     sent, at = share(docs.sparkSession, model), docs.columns.index(text)
 
     def start():
