@@ -13,13 +13,21 @@ from pyspark.sql import types as T
 
 from tracewell.session import materialize, shared_path
 
-__all__ = ["append_columns", "keep_rows", "let", "materialize", "read_table", "share", "shared_path"]
+__all__ = ["append_columns", "keep_rows", "let", "materialize", "read_table", "share", "shared_path", "unused"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -67,7 +67,7 @@ class PatternSet:
 
     def __init__(self, items: Iterable[tuple[object, str | None]] = (), width: int = 10, block: int = 3):
         self.width, self.block = width, block
-        self.owners: dict[tuple[bytes, ...], tuple] = {}
+        self.owners: dict[tuple[bytes, ...], tuple | set] = {}
         self.lengths: list[_Length] = []
         for item, text in items:
             for window in self.windows(text):
@@ -82,8 +82,11 @@ class PatternSet:
     def add(self, item: object, window: tuple[bytes, ...]) -> None:
         """A window of an item; None for an item without an id, whose windows are found but not named."""
         own = self.owners.setdefault(window, ())
-        if item is not None and item not in own[-1:]:  # repeats of an item that is not the last are told apart when found
-            self.owners[window] = (*own, item)
+        if item is not None and item not in own:
+            if isinstance(own, set):
+                own.add(item)
+            else:  # few items share a window; many are held as a set
+                self.owners[window] = (*own, item) if len(own) < 8 else {*own, item}
 
     def build(self) -> PatternSet:
         by: dict[int, list[tuple[bytes, ...]]] = {}

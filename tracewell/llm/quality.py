@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import let, read_table
+from tracewell.llm.common import let, read_table, unused
 
 _SPACE = r"[ \t-\r]+"
 
@@ -86,15 +86,16 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
     judged whole. Columns of the same names give way; other columns are carried along.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    judged = docs.withColumn("__lines", F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), line_verdict(x, rules).alias("why"))))
-    count = lambda why: F.size(F.filter("__lines", lambda x: x["why"] == why)).alias(why)
-    kept = F.array_join(F.transform(F.filter("__lines", lambda x: x["why"].isNull()), lambda x: x["line"]), "\n")
+    lines = unused(docs, "__lines")
+    judged = docs.withColumn(lines, F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), line_verdict(x, rules).alias("why"))))
+    count = lambda why: F.size(F.filter(lines, lambda x: x["why"] == why)).alias(why)
+    kept = F.array_join(F.transform(F.filter(lines, lambda x: x["why"].isNull()), lambda x: x["line"]), "\n")
     judged = judged.withColumn("clean_text", F.when(F.col(text).isNotNull(), kept)).withColumn("removed", F.struct(count("navigation"), count("punctuation"), count("boilerplate")))
     all_chars = _letters(t)
     lost = F.when(F.col("removed.navigation") + F.col("removed.punctuation") + F.col("removed.boilerplate") == 0, 0.0).otherwise(
         let(all_chars, lambda n: F.when(n == 0, 0.0).otherwise(1 - _letters(F.coalesce(F.col("clean_text"), F.lit(""))) / n))
     )
-    return judged.withColumn("lost_share", lost).drop("__lines")
+    return judged.withColumn("lost_share", lost).drop(lines)
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -114,17 +115,18 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = LineRu
             repeated_words(w).alias("n_repeat_words"),
         ),
     )
+    own = unused(docs, "__base")
     found = (
         clean_lines(docs, text, rules)
-        .withColumn("__base", base)
-        .withColumn("n_words", F.col("__base.n_words"))
-        .withColumn("word_chars", F.col("__base.word_chars"))
+        .withColumn(own, base)
+        .withColumn("n_words", F.col(f"{own}.n_words"))
+        .withColumn("word_chars", F.col(f"{own}.word_chars"))
         .withColumn("n_symbols", sum(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit(""))) for c in "#*$%&|<>").cast("long"))
         .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", F.col("__base.n_repeat_words"))
+        .withColumn("n_repeat_words", F.col(f"{own}.n_repeat_words"))
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_share") <= rules.max_lost)).drop("__base")
+    return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_share") <= rules.max_lost)).drop(own)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import read_table, shared_path
+from tracewell.llm.common import materialize, read_table, shared_path
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -32,7 +32,7 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def bucket_size(spark: SparkSession) -> int:
-    """Bytes of text that a task can hold and shuffle: a twelfth of a core's share of executor memory, 16 MB to 1 GB.
+    """Bytes of rows that a task can hold and shuffle: a twelfth of a core's share of executor memory, 16 MB to 1 GB.
 
     Larger executors get larger and fewer buckets, which is what keeps the number of partitions of a
     very large shuffle in hand.
@@ -45,22 +45,53 @@ def bucket_size(spark: SparkSession) -> int:
     return min(1 << 30, max(16 << 20, number // max(1, cores) // 12))
 
 
-def shuffle_to(docs: DataFrame, path: str, seed: int = 17, bucket_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
+def _plain(field: T.StructField):
+    """A column as something that has a length and a hash."""
+    return F.to_json(f"`{field.name}`") if isinstance(field.dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(f"`{field.name}`")
+
+
+def _row_size(docs: DataFrame):
+    """Bytes of a row, about: those of its strings, binaries and nested values, and 8 for each column."""
+    long = [f for f in docs.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.MapType, T.ArrayType, T.StructType))]
+    return sum((F.coalesce(F.octet_length(_plain(f)), F.lit(0)).cast("long") for f in long), F.lit(8 * len(docs.columns)).cast("long"))
+
+
+def _drawn(docs: DataFrame, seed: int) -> DataFrame:
+    """`docs` with `__draw`, a seeded hash of the whole row.
+
+    A task that runs again draws the same numbers, whatever the order in which its rows come. Rows that
+    repeat as a whole would all draw the same: those are numbered in a table of their own, which is
+    written once, and draw by their number too.
+    """
+    fields = docs.schema.fields
+    # a null is hashed by its place, which xxhash64 alone would skip
+    whole = F.xxhash64(F.lit(seed), *[x for f in fields for x in (_plain(f), F.col(f"`{f.name}`").isNull())])
+    drawn = docs.withColumn("__draw", whole)
+    repeated = materialize(drawn.groupBy("__draw").count().where(F.col("count") > 1).select("__draw"), "repeated-rows")
+    n = repeated.count()
+    if not n:
+        return drawn
+    few = F.broadcast(repeated) if n <= 100_000 else repeated  # 8 bytes each
+    own = materialize(drawn.join(few, "__draw", "left_semi").withColumn("__number", F.monotonically_increasing_id()), "numbered-rows")
+    own = own.withColumn("__draw", F.xxhash64(F.lit(seed), "__draw", "__number")).drop("__number")
+    return drawn.join(few, "__draw", "left_anti").select(*drawn.columns).unionByName(own.select(*drawn.columns))
+
+
+def shuffle_to(docs: DataFrame, path: str, seed: int = 17, bucket_bytes: int | None = None) -> None:
     """Write `docs` in shuffled order to Parquet at `path`, with `__bucket` and `__at` (place in the bucket).
 
-    The scatter hash covers the id, the text's checksum and the row's place in its input split, so
-    that repeated rows and groups of copies spread over all buckets like any other rows. In a bucket
-    rows are put in the order of that hash before the shuffle; so the same input files and split
-    size give the same order, whatever the order in which rows arrive.
+    Each row is scattered by a hash of the whole row, so copies of a text that differ in anything else
+    spread over all buckets like any other rows, as do rows that repeat as a whole. In a bucket rows
+    are put in the order of that hash before the shuffle; so the same rows, none repeated as a whole,
+    give the same order, whatever the order, files or splits in which they come.
     """
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
+    names = [c for c in docs.columns if c not in ("__draw", "__number", "__bucket", "__at")]
+    docs = docs.select(*[f"`{c}`" for c in names])
     bucket_bytes = bucket_bytes or bucket_size(docs.sparkSession)
-    total = docs.agg(F.sum(size)).first()[0] or 0
+    total = docs.agg(F.sum(_row_size(docs))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    draw = F.xxhash64(F.lit(seed), F.col(doc_id), F.crc32(F.coalesce(F.col(text), F.lit(""))), F.monotonically_increasing_id())
-    names = [c for c in docs.columns if c not in ("__draw", "__bucket", "__at")]
-    dealt = docs.select(*names).withColumn("__draw", draw).repartition(buckets, "__draw")
-    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("__bucket", T.IntegerType()), T.StructField("__at", T.LongType())])
+    dealt = _drawn(docs, seed).repartition(buckets, "__draw")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__bucket", T.IntegerType()), T.StructField("__at", T.LongType())])
 
     def shuffled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(it)
@@ -101,7 +132,7 @@ def assign_shards(written: DataFrame, shards: int) -> DataFrame:
     return placed.withColumn("slot", place - F.expr(f"(shard * {total}L) DIV {shards}")).drop("__start")
 
 
-def shard_documents(docs: DataFrame, path: str, shards: int = 24, seed: int = 17, bucket_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, path: str, shards: int = 24, seed: int = 17, bucket_bytes: int | None = None) -> DataFrame:
     """All rows of `docs`, shuffled and written at `path`, with `shard` (from 0) and `slot` (from 0 in its shard).
 
     Law: the counts of any two shards differ by one at most. Nulls, empty texts and repeated rows are
@@ -109,7 +140,7 @@ def shard_documents(docs: DataFrame, path: str, shards: int = 24, seed: int = 17
     rows. Columns named shard, slot or starting with two underscores as above give way.
     """
     docs = docs.drop("shard", "slot")
-    shuffle_to(docs, path, seed, bucket_bytes, doc_id, text)
+    shuffle_to(docs, path, seed, bucket_bytes)
     return assign_shards(docs.sparkSession.read.parquet(path), shards).drop("__bucket", "__at")
 
 
