@@ -33,7 +33,7 @@ _SLICE = 1 << 16  # characters of a text that are cut into stretches at a time
 class PieceModel:
     """The pieces of a .model file of kind BPE with byte fallback and without text normalisation."""
 
-    def __init__(self, path: str, most_cached: int = 300_000):
+    def __init__(self, path: str, most_cached: int = 150_000):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as pb
 

@@ -55,7 +55,7 @@ class SeverityModel:
             s = cache.get(w)
             if s is None:
                 s = self.word_weight(w)
-                if len(cache) < 300_000:
+                if len(cache) < 100_000:
                     cache[w] = s
             total += n * s
         eta = _rate(total, len(words), self.prior, self.power)
