@@ -182,3 +182,49 @@ def test_scales():
 
 def test_latest_only(spark):
     assert windows.latest_only(spark, "view", lambda: spark.range(5).count()) == 5
+
+
+def test_tiles_that_would_come_out_wrong_raise(spark):
+    cut = spark.createDataFrame([(0, 100, bytearray(200)), (100, 100, bytearray(200)), (200, 30, bytearray(60))], "t0 long, n int, x binary")
+    assert tiles.with_halo(cut, 100).count() == 3
+    with pytest.raises(ValueError, match="shorter than the halo"):
+        tiles.with_halo(cut, 101)
+    with pytest.raises(ValueError, match="gaps"):
+        tiles.with_halo(cut.where("t0 <> 100"), 50)
+    assert 900 < tiles.halo_of(PreprocConfig(30_000.0)) < 1200 and tiles.halo_of(PreprocConfig(30_000.0, highpass=False)) == 1
+
+
+def test_missing_samples_of_a_time(trace, rows):
+    some = trace.where("t < 20 AND NOT (t = 3 AND row_idx = 2)")
+    x = matrix(trace.where("t < 20"), 20)
+    got = {(r.row_idx, r.t): r.uv for r in signal.cmr_local(some, rows).collect()}
+    assert len(got) == x.size - 1
+    near = {r.data_idx: [j for j in r.others] for r in geometry.neighbours(rows, 100.0, 400.0).collect()}
+    for i, others in near.items():
+        if i != 2:
+            assert np.isclose(got[i, 3], x[i, 3] - np.median([x[j, 3] for j in others if j != 2]))
+
+
+def test_a_newer_plan_of_a_slot_cancels_the_one_that_runs(spark):
+    import threading
+    import time
+
+    from pyspark import InheritableThread
+
+    ended = []
+
+    def slow():
+        try:
+            windows.latest_only(spark, "view", lambda: spark.range(1 << 40).selectExpr("max(crc32(cast(id AS string)))").collect())
+            ended.append("finished")
+        except Exception as e:
+            ended.append(str(e))
+
+    thread = InheritableThread(target=slow)
+    thread.start()
+    while not spark.sparkContext.statusTracker().getActiveJobsIds():
+        time.sleep(0.1)
+    assert windows.latest_only(spark, "view", lambda: spark.range(5).count()) == 5
+    thread.join(30)
+    spark.sparkContext.cancelAllJobs()  # should the other still run
+    assert isinstance(thread, threading.Thread) and not thread.is_alive() and ended and "cancel" in ended[0].lower()

@@ -235,7 +235,7 @@ def test_live_spikes(spark, tmp_path):
     x = rng.normal(scale=300, size=(900, 2)).astype("<i2")
     path = str(tmp_path / "live.bin")
     x[:500].tofile(path)
-    stream = live.read_stream(spark, path, channels=2, uv_per_bit=0.1, samples_per_batch=200)
+    stream = live.read_stream(spark, path, channels=2, uv_per_bit=0.1, samples_per_task=200)
     query = live.live_spikes(stream, cfg, -20.0).writeStream.format("memory").queryName("spikes").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     try:
         for _ in range(3):
@@ -256,3 +256,42 @@ def test_live_spikes(spark, tmp_path):
                 last = int(t)
                 want.append((ch, last))
     assert got == want
+
+
+def test_a_stream_started_again_goes_on_where_it_stopped(spark, tmp_path):
+    x = np.random.default_rng(1).integers(-99, 99, (7000, 2)).astype("<i2")
+    path, target = str(tmp_path / "live.bin"), str(tmp_path / "out")
+    x[:5000].tofile(path)
+
+    def run():
+        stream = live.read_stream(spark, path, channels=2, uv_per_bit=1, samples_per_task=700)
+        query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+        query.processAllAvailable()
+        query.stop()
+
+    run()
+    with open(path, "ab") as f:
+        f.write(x[5000:].tobytes())
+    run()
+    got = spark.read.parquet(target)
+    assert got.count() == 14_000 and got.distinct().count() == 14_000
+    assert np.array_equal(values(got, 7000, 2), x)
+
+
+def test_short_file_is_read_as_if_zeros_followed(spark, tmp_path):
+    x = np.arange(1, 301, dtype="<i2").reshape(100, 3)
+    path = str(tmp_path / "a.bin")
+    x.tofile(path)
+    recording.register(spark)
+    options = {"channels": 3, "n_samples": 150, "uv_per_bit": 1, "samples_per_task": 60}
+    whole = spark.read.format("tracewell_raw").options(**options).load(path)
+    assert whole.count() == 450 and whole.where("t >= 100 AND uv <> 0").count() == 0 and whole.where("t < 100 AND uv = 0").count() == 0
+    tiles = spark.read.format("tracewell_raw").options(form="tile", **options).load(path).orderBy("t0").collect()
+    assert [(r.t0, r.n, len(r.x)) for r in tiles] == [(0, 60, 360), (60, 60, 360), (120, 30, 180)]
+
+
+def test_tabs_around_fields(spark):
+    texts = spark.createDataFrame([("a", "\t5\t6\n\u00a0 7 8\t"), ("b", "1,\t2\n\t3 ,4\t")], "path string, text string")
+    for col, want in ((0, [5.0, 7.0, 1.0, 3.0]), (1, [6.0, 8.0, 2.0, 4.0])):
+        got = stimuli.stims_of(texts, stimuli.StimLayout(0, (col,))).orderBy("path", "stim_idx").collect()
+        assert [r.onset_s for r in got] == want

@@ -21,17 +21,21 @@ def pixel_rows(rows: DataFrame, height: int) -> DataFrame:
 def bin_means(trace: DataFrame, view_first: int, n_view: int, width: int) -> DataFrame:
     """(row_idx, px, v): the mean of the samples of each pixel column, from floor(px N / w) up to the next, one at least.
 
-    A column whose samples are not all there has no row. The table of columns has max(view, width)
-    rows and is broadcast up to a view of 16 million samples, else joined by its time.
+    A column whose samples are not all there has no row. A sample's columns follow from its time by
+    arithmetic: one where there are no more columns than samples, else the few that show it alone.
     """
-    spark = trace.sparkSession
-    columns = spark.range(width).select(F.col("id").alias("px"), F.expr(f"(id * {n_view}L) DIV {width}").alias("t0"), F.expr(f"least(((id + 1) * {n_view}L) DIV {width}, {n_view}L)").alias("t1"))
-    bins = columns.select("px", F.greatest(F.col("t1") - F.col("t0"), F.lit(1)).alias("need"), F.explode(F.expr("sequence(t0, greatest(t1 - 1, t0))")).alias("at")).where(F.col("at") < n_view)
-    bins = bins.select("px", "need", (F.col("at") + view_first).alias("t"))
-    inside = trace.where(F.col("t").between(view_first, view_first + n_view - 1))
-    joined = inside.join(F.broadcast(bins) if max(n_view, width) <= 1 << 24 else bins, "t")
-    means = joined.groupBy("row_idx", "px").agg(F.avg("uv").alias("v"), F.count("*").alias("got"), F.first("need").alias("need"))
-    return means.where("got = need").select("row_idx", F.col("px").cast("int").alias("px"), "v")
+    if n_view <= 0 or width <= 0:
+        return trace.select("row_idx", F.lit(0).alias("px"), F.col("uv").alias("v")).limit(0)
+    inside = trace.where(F.col("t").between(view_first, view_first + n_view - 1)).withColumn("__o", F.col("t").cast("long") - view_first)
+    if n_view >= width:
+        placed = inside.withColumn("px", F.expr(f"((__o + 1) * {width}L - 1) DIV {n_view}L"))
+        need = F.expr(f"((px + 1) * {n_view}L) DIV {width}L - (px * {n_view}L) DIV {width}L")
+    else:
+        upto = lambda o: f"(({o}) * {width}L + {n_view - 1}L) DIV {n_view}L"
+        placed = inside.withColumn("px", F.explode(F.expr(f"sequence({upto('__o')}, {upto('__o + 1')} - 1)")))
+        need = F.lit(1)
+    means = placed.groupBy("row_idx", "px").agg(F.avg("uv").alias("v"), F.count("*").alias("got"))
+    return means.where(F.col("got") == need).select("row_idx", F.col("px").cast("int").alias("px"), "v")
 
 
 def paint(rows: DataFrame, means: DataFrame, width: int, height: int, vmax: float, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ Null samples count as 0, the value of a sample that was never recorded.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -139,23 +140,64 @@ def cmr_global(trace: DataFrame, keys: Keys = ()) -> DataFrame:
     return done.select(*keys, "shank", "t", F.inline("y")).select(*trace.columns)
 
 
+def _across_rows(whole: DataFrame, trace: DataFrame, rows: DataFrame, of: Callable[[int, np.ndarray, np.ndarray | None], np.ndarray], at_once: int = 1 << 10) -> DataFrame:
+    """`trace` anew from `whole` (see `frames`): `of(shank, uv, gain)` over matrices of times by rows of a shank.
+
+    A shank's samples at some thousand times make one matrix, in the order of its rows; samples that are
+    not there are NaN and stay away. `gain` is a matrix too where the frames hold it, else None.
+    """
+    places = {s: np.array(sorted(r), np.int32) for s, r in _shank_rows(rows).items()}  # a few numbers for each row of a probe
+    keys, fields = [c for c in trace.columns if c not in ("row_idx", "uv")], trace.schema.fields
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == "uv" else f for f in fields])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for lo in range(0, batch.num_rows, at_once):
+                part = batch.slice(lo, at_once)
+                lists, shank = part.column("x"), part.column("shank").to_numpy()
+                flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+                owner = np.repeat(np.arange(part.num_rows), sizes)
+                row, uv = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("row_idx", "uv"))
+                gain = flat.field("gain").to_numpy(zero_copy_only=False) if flat.type.num_fields > 2 else None
+                out = np.zeros(len(row))
+                for s in np.unique(shank):
+                    mine = shank[owner] == s
+                    times = np.cumsum(shank == s) - 1
+                    at = times[owner[mine]], np.searchsorted(places[int(s)], row[mine])
+                    x = np.full((times[-1] + 1, len(places[int(s)])), np.nan)
+                    x[at] = uv[mine]
+                    g = None
+                    if gain is not None:
+                        g = np.ones_like(x)
+                        g[at] = gain[mine]
+                    out[mine] = of(int(s), x, g)[at]
+                made = {c: part.column(c).take(pa.array(owner)) for c in keys} | {"row_idx": pa.array(row), "uv": pa.array(out)}
+                yield pa.RecordBatch.from_arrays([made[f.name] for f in fields], names=[f.name for f in fields])
+
+    return whole.mapInArrow(run, schema)
+
+
 def cmr_local(trace: DataFrame, rows: DataFrame, keys: Keys = (), near: float = CMR_NEAR_UM, far: float = CMR_FAR_UM) -> DataFrame:
     """Each sample without the median of its neighbours' input values; a row without neighbours stays.
 
-    The neighbour lists of a probe are broadcast; the samples of one time meet in one array, so that
-    they are shuffled once and not once per neighbour.
+    The samples of a shank at one time meet in one array, so that they are shuffled once and not once per
+    neighbour; medians are taken over matrices of many times, which costs rows times neighbours each.
     """
-    lists = neighbours(rows, near, far).groupBy("shank").agg(F.map_from_entries(F.collect_list(F.struct("data_idx", "others"))).alias("near"))
-    whole = frames(trace, keys).join(F.broadcast(lists), "shank", "left")
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    place = {s: {r: i for i, r in enumerate(sorted(own))} for s, own in _shank_rows(rows).items()}
+    for r in neighbours(rows, near, far).collect():  # one row for each row of a probe
+        found.setdefault(r["shank"], []).append((place[r["shank"]][r["data_idx"]], np.array([place[r["shank"]][j] for j in r["others"]])))
 
-    def rest(e: Column) -> Column:
-        others = F.element_at("near", e["row_idx"])
-        values = F.sort_array(F.transform(F.filter("x", lambda o: F.array_contains(others, o["row_idx"])), lambda o: o["uv"]))
-        picked = F.element_at(F.transform(F.array(values), lambda v: _median(v)), 1)
-        return F.struct(e["row_idx"].alias("row_idx"), (e["uv"] - F.coalesce(picked, F.lit(0.0))).alias("uv"))
+    def rest(shank: int, x: np.ndarray, _) -> np.ndarray:
+        y = x.copy()
+        median = np.nanmedian if np.isnan(x).any() else np.median
+        for i, others in found.get(shank, ()):
+            with np.errstate(all="ignore"), warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # of no neighbour's sample there
+                y[:, i] -= np.nan_to_num(median(x[:, others], axis=1))
+        return y
 
-    done = whole.withColumn("y", F.transform("x", rest))
-    return done.select(*keys, "shank", "t", F.inline("y")).select(*trace.columns)
+    return _across_rows(frames(trace, keys), trace, rows, rest)
 
 
 def agc_gain(trace: DataFrame, cfg: PreprocConfig, keys: Keys = ()) -> DataFrame:
@@ -179,38 +221,35 @@ def agc_gain(trace: DataFrame, cfg: PreprocConfig, keys: Keys = ()) -> DataFrame
     return joined.select(*trace.columns, F.greatest("__m", "__floor").alias("gain"))
 
 
-def _shank_sizes(rows: DataFrame) -> dict[int, int]:
-    return {r["shank"]: r["count"] for r in rows.where("data_idx IS NOT NULL").groupBy("shank").count().collect()}
+def _shank_rows(rows: DataFrame) -> dict[int, list[int]]:
+    return {r["shank"]: r["own"] for r in rows.where("data_idx IS NOT NULL").groupBy("shank").agg(F.collect_list("data_idx").alias("own")).collect()}
 
 
 def kfilt(trace: DataFrame, rows: DataFrame, keys: Keys = (), wn: float = KFILT_WN) -> DataFrame:
     """The spatial highpass across the rows of a shank at each time: one constant matrix per shank.
 
-    The matrix depends on the number of rows alone. It goes along as an array of rows by shank.
+    The matrix depends on the number of rows alone. A sample that is not there counts as 0.
     """
-    sizes = _shank_sizes(rows)
-    table = trace.sparkSession.createDataFrame([(s, kfilt_matrix(n, wn).tolist()) for s, n in sizes.items()], "shank int, k array<array<double>>")
-    whole = frames(trace, keys).join(F.broadcast(table), "shank")
 
-    def product(e: Column, i: Column) -> Column:
-        terms = F.zip_with(F.get("k", i), "x", lambda k, o: k * o["uv"])
-        return F.struct(e["row_idx"].alias("row_idx"), F.aggregate(terms, F.lit(0.0), lambda a, v: a + v).alias("uv"))
+    matrix = {n: kfilt_matrix(n, wn).T for n in {len(own) for own in _shank_rows(rows).values()}}
 
-    return whole.withColumn("y", F.transform("x", product)).select(*keys, "shank", "t", F.inline("y")).select(*trace.columns)
+    def filtered(shank: int, x: np.ndarray, _) -> np.ndarray:
+        return np.nan_to_num(x) @ matrix[x.shape[1]]
+
+    return _across_rows(frames(trace, keys), trace, rows, filtered)
 
 
 def destripe(trace: DataFrame, rows: DataFrame, cfg: PreprocConfig, keys: Keys = ()) -> DataFrame:
     """Divide by the gain, filter across rows, multiply by the gain."""
     gained = agc_gain(trace, cfg, keys)
-    sizes = _shank_sizes(rows)
-    table = trace.sparkSession.createDataFrame([(s, kfilt_matrix(n).tolist()) for s, n in sizes.items()], "shank int, k array<array<double>>")
-    whole = gained.groupBy(*keys, "shank", "t").agg(F.sort_array(F.collect_list(F.struct("row_idx", "uv", "gain"))).alias("x")).join(F.broadcast(table), "shank")
+    whole = gained.groupBy(*keys, "shank", "t").agg(F.sort_array(F.collect_list(F.struct("row_idx", "uv", "gain"))).alias("x"))
+
+    matrix = {n: kfilt_matrix(n).T for n in {len(own) for own in _shank_rows(rows).values()}}
 
-    def product(e: Column, i: Column) -> Column:
-        terms = F.zip_with(F.get("k", i), "x", lambda k, o: k * o["uv"] / o["gain"])
-        return F.struct(e["row_idx"].alias("row_idx"), (F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) * e["gain"]).alias("uv"))
+    def filtered(shank: int, x: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        return (np.nan_to_num(x) / gain) @ matrix[x.shape[1]] * gain
 
-    return whole.withColumn("y", F.transform("x", product)).select(*keys, "shank", "t", F.inline("y")).select(*trace.columns)
+    return _across_rows(whole, trace, rows, filtered)
 
 
 def preprocess(trace: DataFrame, rows: DataFrame, cfg: PreprocConfig, keys: Keys = ()) -> DataFrame:

@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 from tracewell.functions.filters import butter_highpass, filtfilt, kfilt_matrix
 from tracewell.model import AGC_EPSILON, CMR_FAR_UM, CMR_NEAR_UM, FILTER_ORDER, PROBE_TYPES_2, PreprocConfig
 
-HALO = 1000  # samples after which the 300 Hz highpass at 30 kHz has settled to rounding error
+_SETTLED = 1e-14  # of an impulse's height
+
+
+def settling(sections) -> int:
+    """Samples after which the response of the sections has died away to rounding error, by their slowest pole."""
+    slowest = max(abs(p) for _, _, _, a1, a2 in sections for p in np.roots([1.0, a1, a2]))
+    return math.ceil(math.log(_SETTLED) / math.log(slowest)) if 0 < slowest < 1 else 1
 
 
 @dataclass(frozen=True)
@@ -62,7 +68,8 @@ class RowModel:
 
 
 def halo_of(cfg: PreprocConfig) -> int:
-    own = (HALO if cfg.highpass else 0) + (cfg.agc_half if cfg.spatial == "destripe" else 0) + (1 if cfg.phase_shift else 0)
+    """Samples around a tile that its own ones depend on."""
+    own = (settling(butter_highpass(FILTER_ORDER, cfg.highpass_wn)) if cfg.highpass else 0) + (cfg.agc_half if cfg.spatial == "destripe" else 0) + (1 if cfg.phase_shift else 0)
     return max(own, 1)
 
 
@@ -103,12 +110,26 @@ def spatial(x: np.ndarray, model: RowModel, cfg: PreprocConfig, floors: dict[int
     return out
 
 
+def _follow(tiles: DataFrame, halo: int) -> None:
+    """Raise unless tiles cover a span without gaps and all but the last are as long as the halo."""
+    got = tiles.agg(F.count("*").alias("k"), F.count_distinct("t0").alias("starts"), F.sum("n").alias("n"), F.min("t0").alias("lo"), F.max(F.col("t0") + F.col("n")).alias("hi"), F.max("t0").alias("last")).first()
+    if not got["k"]:
+        return
+    if got["starts"] != got["k"] or got["n"] != got["hi"] - got["lo"]:
+        raise ValueError(f"tiles with gaps or overlaps: {got['k']} tiles hold {got['n']} samples of a span of {got['hi'] - got['lo']}")
+    short = tiles.where((F.col("t0") < got["last"]) & (F.col("n") < halo)).agg(F.count("*"), F.min("n")).first()
+    if short[0]:
+        raise ValueError(f"{short[0]} tiles are shorter than the halo of {halo} samples, the shortest has {short[1]}; cut longer tiles")
+
+
 def with_halo(tiles: DataFrame, halo: int) -> DataFrame:
     """(tile_id, t0, n, x, left, right): each tile with up to `halo` samples of its neighbours on either side.
 
     Each tile sends its last samples to the next one and its first ones to the one before; tiles and
-    edges meet by place, in one shuffle. Tiles must be no shorter than the halo, but for the last.
+    edges meet by place, in one shuffle. Tiles that don't follow one another without gaps, or are shorter
+    than the halo, but for the last, raise: their samples would come out wrong.
     """
+    _follow(tiles, halo)
     own = tiles.withColumn("tile_id", F.col("t0"))
 
     def edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +187,7 @@ def preprocess_tiles(tiles: DataFrame, rows: DataFrame, cfg: PreprocConfig, scal
     """(t0, n, y): preprocessed tiles, y the values of all rows as bytes of numpy type `kind`, row after row.
 
     `tiles` come with their halo, or as (t0, n, x), which must follow one another without gaps and be
-    no shorter than the halo, but for the last. One pass takes the row means if DC removal is on, a second the standard deviation if
+    no shorter than the halo, but for the last, and raise otherwise. One pass takes the row means if DC removal is on, a second the standard deviation if
     the spatial filter is 'destripe'; the last makes the tiles.
     """
     model = RowModel.of(rows)

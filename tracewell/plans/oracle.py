@@ -21,8 +21,8 @@ AVG = """avgd AS (
 SAMPLES = """samples AS (
   SELECT CAST((vec_id % 20) * 19 AS INT) AS ch, (vec_id // 20) * 64 + pos AS t, CAST(embedding[pos + 1] AS DOUBLE) * 200 AS uv
   FROM embeddings, (SELECT unnest(range(64)) AS pos))"""
-TRACE = "trace AS (SELECT r.shank, r.data_idx AS row_idx, t, uv FROM samples JOIN raw r ON r.first_ch = samples.ch)"
-TRACE_AVG = "trace AS (SELECT r.shank, r.data_idx AS row_idx, t, avg(uv) AS uv FROM samples JOIN (SELECT *, unnest(channels) AS c FROM avgd) r ON r.c = samples.ch GROUP BY ALL)"
+TRACE = "trace AS MATERIALIZED (SELECT r.shank, r.data_idx AS row_idx, t, uv FROM samples JOIN raw r ON r.first_ch = samples.ch)"
+TRACE_AVG = "trace AS MATERIALIZED (SELECT r.shank, r.data_idx AS row_idx, t, avg(uv) AS uv FROM samples JOIN (SELECT *, unnest(channels) AS c FROM avgd) r ON r.c = samples.ch GROUP BY ALL)"
 
 
 def display(source: str, name: str = "display") -> str:
@@ -136,7 +136,7 @@ def greedy(a: str, b: str, threshold: float, refractory: int) -> str:
 def windows(stims: str = "stims") -> str:
     """Windows of -5 .. 20 ms with 150 samples on either side: 325 samples."""
     return f"""total AS (SELECT max(t) + 1 AS n FROM samples),
-stims AS (SELECT event_id AS stim_idx, (event_id % n) / 1000e0 AS onset_s FROM events, total WHERE event_type = 'signup' AND event_id < n),
+stims AS (SELECT event_id AS stim_idx, (event_id % n) / 1000e0 AS onset_s FROM events, total WHERE event_type = 'signup'),
 placed AS (SELECT stim_idx, CAST(round(onset_s * 1000) AS BIGINT) AS onset, CAST(round(onset_s * 1000) AS BIGINT) - 155 AS read_first FROM {stims}),
 valid AS (SELECT placed.* FROM placed, total WHERE read_first >= 0 AND read_first + 325 <= n),
 cut AS (SELECT stim_idx, shank, row_idx, trace.t, uv, read_first + 150 AS start FROM valid JOIN trace ON trace.t BETWEEN read_first AND read_first + 324)"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import zlib
 
 import numpy as np
@@ -18,7 +17,7 @@ from tracewell.model import PreprocConfig
 from tracewell.operators import events, geometry, render, signal, stats, tiles
 from tracewell.plans import oracle as sql
 from tracewell.plans import windows
-from tracewell.session import materialize, shared_dir
+from tracewell.session import materialize, shared_path
 from tracewell.sources import png, recording, sidecar, stimuli
 
 CFG = PreprocConfig(sample_rate=rec.RATE)
@@ -337,6 +336,34 @@ def _extended(right: bool):
     return run
 
 
+def q_extend_highpass(spark, sf_dir):
+    """An extension with all stages on and the operating overlap, which begins before the recording does."""
+    n, scan, rows = rec.n_samples(spark, sf_dir), _scan(spark, sf_dir), avg_rows(spark)
+    old = windows.full_window(scan, rows, CFG, 700, 300, n)
+    return out(windows.extend(old, True, scan, rows, CFG, 200, (650, 100), n, 700).trace)
+
+
+def q_wanted_side(spark, sf_dir):
+    """The side that a buffer is extended to next, for buffers and views of many places."""
+    cases = [(b, n, v, 100, m, windows.wanted_side((b, n), (v, 100), m, 1600)) for b in (0, 100, 400) for n in (600, 1200) for v in (0, 150, 420, 700, 1100, 1500) for m in (50, 200, 800)]
+    return spark.createDataFrame(cases, "first int, n int, view_first int, view_n int, margin int, side string")
+
+
+def q_memory_policy(spark, sf_dir):
+    """Memory pressure, the longest buffer and the widest margin."""
+    gib = 1 << 30
+    cases = [(t, a, r, windows.under_pressure(t * gib, a * gib), windows.most_buffer_s(a * gib, 1500 << 20, r, 30_000.0), windows.most_margin_s(windows.most_buffer_s(a * gib, 1500 << 20, r, 30_000.0), 0.5)) for t in (0, 8, 64) for a in (0, 1, 2, 7, 40) for r in (0, 96, 384)]
+    made = spark.createDataFrame(cases, "total_gib int, available_gib int, n_rows int, pressure boolean, buffer_s double, margin_s double")
+    return made.withColumns({c: F.round(c, 6) + 0.0 for c in ("buffer_s", "margin_s")})
+
+
+def q_navigation(spark, sf_dir):
+    """Views moved by the wheel and the arrow keys, and view lengths within their limits."""
+    cases = [(s, v, k, f, windows.step_view(s, v, 60.0, k, f), windows.clamp_length(v * 4.0)) for s in (0.0, 10.0, 59.8) for v in (0.002, 0.5, 9.0) for k in (-3.0, 1.0) for f in (0.05, 0.3, 0.5)]
+    made = spark.createDataFrame(cases, "start_s double, view_s double, steps double, share double, moved_s double, length_s double")
+    return made.withColumns({c: F.round(c, 9) + 0.0 for c in ("moved_s", "length_s")})
+
+
 def q_trim(spark, sf_dir):
     """The trim policy over buffers of different sizes, from order keys."""
     cases = []
@@ -406,18 +433,20 @@ def q_decode_text(spark, sf_dir):
 
 
 def q_stim_load(spark, sf_dir):
-    """Stimulus files made of nations: two header lines, one of them blank; commas or spaces; two onset columns."""
+    """Stimulus files made of nations: two header lines, one of them blank; commas, spaces or tabs; two onset columns."""
     t = spark.read.parquet(f"{sf_dir}/nation.parquet")
     k = F.col("n_nationkey").cast("string")
-    text = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("a,b,c\n\n"), k, F.lit(".5, x ,1e2\r\n\n"), k, F.lit(",y,+.25\n"))).otherwise(F.concat(F.lit("a b c\n \n  "), k, F.lit("\tx  7\n")))
+    text = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("a,b,c\n\n\t"), k, F.lit(".5,\tx ,\t1e2\t\r\n\n"), k, F.lit(",y,+.25\n\t\n"))).otherwise(F.concat(F.lit("a b c\n \n  "), k, F.lit("\tx  7\n\t"), k, F.lit("\t\ty\t8\t\n")))
     return stimuli.stims_of(t.select(F.concat(F.lit("f"), k).alias("path"), text.alias("text")), stimuli.StimLayout(2, (0, 2)))
 
 
 def _local(spark) -> str:
-    base = shared_dir(spark)
-    path = base.removeprefix("file://") if base.startswith(("file://", "/")) else tempfile.gettempdir()
-    os.makedirs(path, exist_ok=True)
-    return tempfile.mkdtemp(prefix="rec-", dir=path)
+    """A folder for a small recording, within this application's part of the shared folder."""
+    path = shared_path(spark, "recording").removeprefix("file://")
+    if "://" in path:
+        raise ValueError(f"{path}: the small recordings of these queries are written as plain files")
+    os.makedirs(path)
+    return path
 
 
 def _matrix(spark, sf_dir) -> np.ndarray:
@@ -440,6 +469,26 @@ def q_scan_window(spark, sf_dir):
     return found.where("t >= 100 AND t < 1100").select("ch", "t", r4("uv").alias("uv"))
 
 
+def q_scan_short(spark, sf_dir):
+    """A file that ends after three quarters of the samples that its metadata promises: the rest is 0."""
+    x, path = _matrix(spark, sf_dir), f"{_local(spark)}/a.ap.bin"
+    x[: len(x) * 3 // 4].tofile(path)
+    recording.register(spark)
+    found = spark.read.format("tracewell_raw").options(channels=21, n_samples=len(x), samples_per_task=350, **SOURCE).load(path)
+    return found.select("ch", "t", r4("uv").alias("uv"))
+
+
+def q_tiles_file(spark, sf_dir):
+    """From the file to preprocessed tiles: each task reads its tile with the halo, nothing is shuffled."""
+    x, path = _matrix(spark, sf_dir), f"{_local(spark)}/a.ap.bin"
+    x.tofile(path)
+    recording.register(spark)
+    options = dict(channels=21, n_samples=len(x), samples_per_task=150, form="tile", halo=tiles.halo_of(CFG), **SOURCE)
+    rows = geometry.display_rows(rec.channels(spark).withColumn("ch", (F.col("ch") / 19).cast("int")), True)
+    done = tiles.preprocess_tiles(spark.read.format("tracewell_raw").options(**options).load(path), rows, CFG, 0.01, kind="<f8")
+    return out(tiles.explode_tiles(done, tiles.RowModel.of(rows), "<f8"))
+
+
 def write_cbin(x: np.ndarray, path: str, chunk: int, order: str = "F", spatial: bool = True, time: bool = True) -> None:
     """A chunk-compressed copy of samples by channels, with its header file."""
     bounds, offsets = [*range(0, len(x), chunk), len(x)], [0]
@@ -539,6 +588,12 @@ QUERIES = {
     "decode_text": q_decode_text,
     "stim_load": q_stim_load,
     "scan_window": q_scan_window,
+    "scan_short": q_scan_short,
+    "pipeline_tiles_file": q_tiles_file,
+    "window_extend_highpass": q_extend_highpass,
+    "wanted_side": q_wanted_side,
+    "memory_policy": q_memory_policy,
+    "navigation": q_navigation,
     "scan_cbin": q_scan_cbin,
     "cbin_decode": q_cbin_decode,
 }
@@ -558,6 +613,7 @@ _PSTH = sql.psth(True)
 _TABLE = """ranked AS (SELECT abs(uv) AS v, row_number() OVER (ORDER BY abs(uv)) - 1 AS k, count(*) OVER () AS n FROM trace),
 pct AS (SELECT CAST(p AS INT) AS p, v FROM range(10001) r(p) JOIN ranked ON k = (p * (n - 1)) // 10000)"""
 _ROUNDED = sql.SAMPLES.replace("CAST(embedding[pos + 1] AS DOUBLE) * 200 AS uv", "round_even(CAST(embedding[pos + 1] AS DOUBLE) * 200 / 0.01e0, 0) * 0.01e0 AS uv")
+_FILED = sql.SAMPLES.replace("CAST(embedding[pos + 1] AS DOUBLE) * 200 AS uv", "round(CAST(embedding[pos + 1] AS DOUBLE) * 200 * 100) * 0.01e0 AS uv")
 _NAMES = {n.lower(): n for n in color.POSITIVE}
 _FILE = "SELECT CAST((vec_id % 20) AS INT) AS ch, (vec_id // 20) * 64 + pos AS t, round(round(CAST(embedding[pos + 1] AS DOUBLE) * 200 * 100) * 0.01, 4) + 0e0 AS uv FROM embeddings, (SELECT unnest(range(64)) AS pos)"
 
@@ -611,7 +667,7 @@ FROM display, (VALUES (0, 400), (50, 200), (100, 60), (500, 600)) v(lo, hi) GROU
     "phase_shift_np1": sql.with_([*_BASE, sql.phase("trace", "a", "raw", False)], sql.OUT + "a"),
     "phase_shift_np2": sql.with_([*_BASE, sql.phase("trace", "a", "raw", True)], sql.OUT + "a"),
     "butter_coeffs": " UNION ALL ".join(_butter(*x) for x in (("highpass", 0.02), ("kfilt", 0.01), ("rec_b", 0.6))),
-    "sosfilt": sql.with_([*_BASE, "win AS (SELECT * FROM trace WHERE t < 64)", sql.sosfilt("win", "a", sql.HP, ("shank", "row_idx"), "t", "t")], sql.OUT + "a"),
+    "sosfilt": sql.with_([*_BASE, sql.sosfilt("trace", "a", sql.HP, ("shank", "row_idx"), "t", "t")], sql.OUT + "a"),
     "sosfiltfilt": sql.with_([*_BASE, sql.hp("trace", "a")], sql.OUT + "a"),
     "highpass": sql.with_([*_BASE_AVG, sql.dc("trace", "a"), sql.hp("a", "b")], sql.OUT + "b"),
     "cmr_global": sql.with_([*_BASE, sql.cmr("trace", "a")], sql.OUT + "a"),
@@ -668,7 +724,7 @@ FROM (VALUES (400), (800), (1200)) a(old_n), (VALUES (-50), (100), (900)) b(head
   CASE WHEN k % 4 = 0 THEN 24 ELSE 0 END AS probe_type FROM ({_SUPPLIER})""",
     "geom_map_parse": f"""SELECT path, CAST(ch AS INT) AS ch, CASE ch WHEN 0 THEN 27e0 WHEN 1 THEN 59e0 ELSE 0e0 END AS x_um,
   CASE ch WHEN 0 THEN 0e0 WHEN 1 THEN CAST(k % 9 AS DOUBLE) WHEN 2 THEN 40e0 ELSE 0e0 END AS y_um, CASE ch WHEN 2 THEN 1 ELSE 0 END AS shank
-FROM ({_SUPPLIER}) JOIN range(8) r(ch) ON ch < least(n, 5)""",
+FROM ({_SUPPLIER}) JOIN range(8) r(ch) ON ch < n""",
     "oebin_parse": """SELECT 'f' || s_suppkey AS path, 'probe' || s_suppkey AS folder, 30000e0 AS sample_rate, 2 AS n_chans, CAST(s_suppkey AS INT) AS processor, 0.195e0 AS uv_per_bit FROM supplier
 UNION ALL SELECT 'f' || s_suppkey, 'lfp', 2500.5e0, 1, 0, 4.68e0 FROM supplier""",
     "oe_geometry": """WITH k AS (SELECT c_custkey AS c FROM customer WHERE c_custkey % 3 = 1 AND c_custkey < 100)
@@ -676,8 +732,29 @@ SELECT CAST(ch AS INT) AS ch, arg_min((c % 2) * 32e0, abs(c - ch) * 1000 + c) AS
     "decode_text": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name || ' é' AS text FROM nation",
     "stim_load": """WITH n AS (SELECT n_nationkey AS k FROM nation)
 SELECT 'f' || k AS path, CAST(i AS BIGINT) AS stim_idx, CASE i WHEN 0 THEN k + 0.5e0 WHEN 1 THEN 100e0 WHEN 2 THEN CAST(k AS DOUBLE) ELSE 0.25e0 END AS onset_s FROM n, range(4) r(i) WHERE k % 2 = 0
-UNION ALL SELECT 'f' || k, CAST(i AS BIGINT), CASE i WHEN 0 THEN CAST(k AS DOUBLE) ELSE 7e0 END FROM n, range(2) r(i) WHERE k % 2 = 1""",
+UNION ALL SELECT 'f' || k, CAST(i AS BIGINT), CASE WHEN i % 2 = 0 THEN CAST(k AS DOUBLE) WHEN i = 1 THEN 7e0 ELSE 8e0 END FROM n, range(4) r(i) WHERE k % 2 = 1""",
     "scan_window": f"SELECT * FROM ({_FILE}) WHERE t >= 100 AND t < 1100",
+    "scan_short": f"SELECT ch, t, CASE WHEN t < (SELECT (max(vec_id // 20) + 1) * 48 FROM embeddings) THEN uv ELSE 0e0 END AS uv FROM ({_FILE})",
+    "pipeline_tiles_file": sql.with_([*_BASE_AVG[:2], _FILED, sql.TRACE_AVG, sql.dc("trace", "a"), sql.hp("a", "b"), sql.cmr("b", "c")], sql.OUT + "c"),
+    "window_extend_highpass": sql.with_(
+        [
+            *_BASE_AVG,
+            "o AS (SELECT * FROM trace WHERE t BETWEEN 400 AND 999)", sql.dc("o", "o1"), sql.hp("o1", "o2"), sql.cmr("o2", "o3"),
+            "e AS (SELECT * FROM trace WHERE t BETWEEN 0 AND 1199)", sql.dc("e", "e1"), sql.hp("e1", "e2"), sql.cmr("e2", "e3"),
+        ],
+        f"{sql.OUT} o3 UNION ALL {sql.OUT} e3 WHERE t BETWEEN 1000 AND 1199",
+    ),
+    "wanted_side": """SELECT CAST(b AS INT) AS first, CAST(n AS INT) AS n, CAST(v AS INT) AS view_first, 100 AS view_n, CAST(m AS INT) AS margin,
+  CASE WHEN v - b < m AND b > 0 AND (NOT (b + n - v - 100 < m AND b + n < 1600) OR v - b <= b + n - v - 100) THEN 'left' WHEN b + n - v - 100 < m AND b + n < 1600 THEN 'right' END AS side
+FROM (VALUES (0), (100), (400)) x(b), (VALUES (600), (1200)) y(n), (VALUES (0), (150), (420), (700), (1100), (1500)) z(v), (VALUES (50), (200), (800)) w(m)""",
+    "memory_policy": """WITH c AS (
+  SELECT t, a, r, greatest((a * 1024e0 - 1500) * 1048576 / (greatest(r, 1) * 4) / 30000, 1e0) AS s
+  FROM (VALUES (0), (8), (64)) x(t), (VALUES (0), (1), (2), (7), (40)) y(a), (VALUES (0), (96), (384)) z(r))
+SELECT CAST(t AS INT) AS total_gib, CAST(a AS INT) AS available_gib, CAST(r AS INT) AS n_rows, t > 0 AND (a * 100e0 < t * 15 OR a * 1024 < 1500) AS pressure,
+  round(s, 6) + 0e0 AS buffer_s, round(greatest(0.9e0 * (s - 0.5e0) / 3, 0.5e0), 6) + 0e0 AS margin_s FROM c""",
+    "navigation": """SELECT s AS start_s, v AS view_s, k AS steps, f AS share, round(least(greatest(s + k * f * v, 0e0), greatest(60e0 - v, 0e0)), 9) + 0e0 AS moved_s,
+  round(least(greatest(v * 4, 0.01e0), 10e0), 9) + 0e0 AS length_s
+FROM (VALUES (0e0), (10e0), (59.8e0)) x(s), (VALUES (0.002e0), (0.5e0), (9e0)) y(v), (VALUES (-3e0), (1e0)) z(k), (VALUES (0.05e0), (0.3e0), (0.5e0)) w(f)""",
     "scan_cbin": f"SELECT * FROM ({_FILE}) WHERE t >= 100 AND t < 1100",
     "cbin_decode": _FILE,
 }

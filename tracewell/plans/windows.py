@@ -132,10 +132,14 @@ def step_view(start_s: float, view_s: float, total_s: float, steps: float, share
 
 
 def latest_only(spark, slot: str, plan: Callable[[], object]):
-    """Run a plan as the only one of its slot: what the slot still runs is cancelled first."""
-    spark.interruptTag(slot)
-    spark.addTag(slot)
+    """Run a plan as the only one of its slot: what the slot still runs, in any thread, is cancelled first.
+
+    The tags are the context's: a session's tags are known to the thread alone that has set them.
+    """
+    context = spark.sparkContext
+    context.cancelJobsWithTag(slot)
+    context.addJobTag(slot)
     try:
         return plan()
     finally:
-        spark.removeTag(slot)
+        context.removeJobTag(slot)

@@ -7,6 +7,9 @@ the window before and after the range, `left` and `right`, read from the file by
 the trailing sync channels are left out, and each task opens the file for itself. Pass `paths` that
 all executors can open.
 
+A raw file that is shorter than its metadata says, as an interrupted recording leaves it, is read as if
+zeros followed: every window and every tile has all of its samples.
+
 Options: path; first, n (samples; default: all); channels (number of saved channels), signal_channels,
 n_samples, uv_per_bit (default: from the side-car files); samples_per_task; on_error (raise or zero,
 for a compressed chunk that cannot be read).
@@ -107,16 +110,29 @@ class RawReader(_Reader):
         return [Span(lo, min(lo + self.per_task, self.last)) for lo in range(self.first, self.last, self.per_task)] or [Span(0, 0)]
 
     def samples(self, first: int, last: int) -> np.ndarray:
-        with open(self.path, "rb") as f:
+        with open_binary(self.path) as f:
             f.seek(first * self.channels * 2)
             data = f.read((last - first) * self.channels * 2)
-        return np.frombuffer(data[: len(data) // (2 * self.channels) * 2 * self.channels], "<i2").reshape(-1, self.channels)
+        there = len(data) // (2 * self.channels)
+        x = np.zeros((last - first, self.channels), "<i2")  # samples that the file lacks are 0
+        x[:there] = np.frombuffer(data[: there * 2 * self.channels], "<i2").reshape(-1, self.channels)
+        return x
+
+
+def open_binary(path: str):
+    """A file to seek and read in: a local path, or a URI of a store that Arrow can open."""
+    if "://" not in path or path.startswith("file://"):
+        return open(path.removeprefix("file://"), "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
 
 
 def read_header(path: str) -> dict:
     """The .ch file beside a .cbin file."""
-    with open(path[: -len(".cbin")] + ".ch", encoding="utf-8") as f:
-        header = json.load(f)
+    with open_binary(path[: -len(".cbin")] + ".ch") as f:
+        header = json.loads(f.read().decode("utf-8"))
     needed = ("chunk_bounds", "chunk_offsets", "chunk_order", "do_spatial_diff", "do_time_diff", "dtype", "n_channels")
     if lost := [k for k in needed if k not in header]:
         raise ValueError(f"{path}: the header lacks {', '.join(lost)}")
@@ -157,7 +173,7 @@ class CbinReader(_Reader):
         lo, hi = self.header["chunk_bounds"][k : k + 2]
         begin, end = self.header["chunk_offsets"][k : k + 2]
         try:
-            with open(self.path, "rb") as f:
+            with open_binary(self.path) as f:
                 f.seek(begin)
                 return decode_chunk(f.read(end - begin), hi - lo, self.header)
         except (ValueError, zlib.error, OSError):

@@ -66,8 +66,16 @@ def write_default_layout(path: str) -> None:
             f.write(DEFAULT_LAYOUT)
 
 
+_SPACES = r"(?U)\s+"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def split_fields(line: Column) -> Column:
-    return F.when(F.instr(line, ",") > 0, F.transform(F.split(line, ","), lambda f: F.trim(f))).otherwise(F.split(F.trim(line), r"\s+"))
+    return F.when(F.instr(line, ",") > 0, F.transform(F.split(line, ","), stripped)).otherwise(F.split(stripped(line), _SPACES))
 
 
 def stims_of(texts: DataFrame, layout: StimLayout) -> DataFrame:
@@ -77,7 +85,7 @@ def stims_of(texts: DataFrame, layout: StimLayout) -> DataFrame:
     with too few columns, a value that is no number, or a file without onsets raises.
     """
     lines = texts.select("path", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
-    data = lines.where((F.col("line_no") >= layout.n_header_rows) & (F.trim(F.regexp_replace("line", r"\s", " ")) != "")).withColumn("f", split_fields(F.col("line")))
+    data = lines.where((F.col("line_no") >= layout.n_header_rows) & (stripped(F.col("line")) != "")).withColumn("f", split_fields(F.col("line")))
     need = max(layout.onset_cols)
     short = F.concat(F.lit(f"column {need + 1} is marked as onset, but row "), F.col("line_no") + 1, F.lit(" has "), F.size("f"), F.lit(" columns: "), F.col("path"))
     wide = data.withColumn("f", F.when(F.size("f") > need, F.col("f")).otherwise(F.raise_error(short)))

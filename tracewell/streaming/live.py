@@ -18,7 +18,9 @@ from tracewell.sources.recording import RawReader, RawSource, Span
 class RawStreamReader(DataSourceStreamReader):
     """Samples of a growing raw file; the offset is the sample up to which it was read.
 
-    A batch takes at most `samples_per_batch`, so that a stream that starts late catches up in steps.
+    The end of a batch is the end of the file, which never falls back, so a stream that is started again
+    from its checkpoint goes on where it stopped. A stream that starts late reads what is there as one
+    batch, cut into tasks of `samples_per_task`.
     """
 
     def __init__(self, options: dict):
@@ -26,23 +28,20 @@ class RawStreamReader(DataSourceStreamReader):
 
         self.os = os
         self.reader = RawReader({"n_samples": 1 << 62} | options)
-        self.per_batch = int(options.get("samples_per_batch", 1 << 20))
-        self.at = self.reader.first
 
     def initialOffset(self) -> dict:
         return {"sample": self.reader.first}
 
     def latestOffset(self) -> dict:
         there = self.os.path.getsize(self.reader.path) // (2 * self.reader.channels)
-        self.at = max(self.at, min(there, self.at + self.per_batch))
-        return {"sample": self.at}
+        return {"sample": max(self.reader.first, there)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         step = self.reader.per_task
         return [Span(lo, min(lo + step, end["sample"])) for lo in range(start["sample"], end["sample"], step)] or [Span(0, 0)]
 
     def commit(self, end: dict) -> None:
-        self.at = max(self.at, end["sample"])
+        """Nothing is held here: the checkpoint has the offset."""
 
     def read(self, span: Span) -> Iterator:
         yield from self.reader.read(span)
