@@ -413,10 +413,13 @@ def q_oebin(spark, sf_dir):
 
 
 def q_oe_geometry(spark, sf_dir):
-    """Positions listed for every third channel; the others take the nearest one's."""
-    s = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 1 AND c_custkey < 100")
-    known = s.select(F.col("c_custkey").cast("int").alias("ch"), ((F.col("c_custkey") % 2) * 32.0).alias("x_um"), (F.col("c_custkey") * 10.0).alias("y_um"))
-    return sidecar.fill_positions(known, 100)
+    """Probes of a hundred channels made of all customers. Every third channel has a position; the others, whose
+    positions are null, take the nearest one's."""
+    k = F.col("c_custkey")
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.expr("CAST(c_custkey DIV 100 AS BIGINT)").alias("probe"), (k % 100).cast("int").alias("ch"), F.when(k % 3 == 1, (k % 2) * 32.0).alias("x_um"), F.when(k % 3 == 1, k * 10.0).alias("y_um")
+    )
+    return sidecar.fill_positions(known, 100, ("probe",))
 
 
 def q_decode_text(spark, sf_dir):
@@ -727,8 +730,9 @@ FROM (VALUES (400), (800), (1200)) a(old_n), (VALUES (-50), (100), (900)) b(head
 FROM ({_SUPPLIER}) JOIN range(8) r(ch) ON ch < n""",
     "oebin_parse": """SELECT 'f' || s_suppkey AS path, 'probe' || s_suppkey AS folder, 30000e0 AS sample_rate, 2 AS n_chans, CAST(s_suppkey AS INT) AS processor, 0.195e0 AS uv_per_bit FROM supplier
 UNION ALL SELECT 'f' || s_suppkey, 'lfp', 2500.5e0, 1, 0, 4.68e0 FROM supplier""",
-    "oe_geometry": """WITH k AS (SELECT c_custkey AS c FROM customer WHERE c_custkey % 3 = 1 AND c_custkey < 100)
-SELECT CAST(ch AS INT) AS ch, arg_min((c % 2) * 32e0, abs(c - ch) * 1000 + c) AS x_um, arg_min(c * 10e0, abs(c - ch) * 1000 + c) AS y_um FROM range(100) r(ch), k GROUP BY ch""",
+    "oe_geometry": """WITH c AS (SELECT c_custkey // 100 AS probe, c_custkey % 100 AS c, CASE WHEN c_custkey % 3 = 1 THEN c_custkey END AS k FROM customer)
+SELECT CAST(p.probe AS BIGINT) AS probe, CAST(ch AS INT) AS ch, coalesce(arg_min((k % 2) * 32e0, abs(c - ch) * 1000 + c), 0e0) AS x_um, coalesce(arg_min(k * 10e0, abs(c - ch) * 1000 + c), 0e0) AS y_um
+FROM (SELECT DISTINCT probe FROM c) p CROSS JOIN range(100) r(ch) LEFT JOIN c ON c.probe = p.probe AND k IS NOT NULL GROUP BY p.probe, ch""",
     "decode_text": "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name || ' é' AS text FROM nation",
     "stim_load": """WITH n AS (SELECT n_nationkey AS k FROM nation)
 SELECT 'f' || k AS path, CAST(i AS BIGINT) AS stim_idx, CASE i WHEN 0 THEN k + 0.5e0 WHEN 1 THEN 100e0 WHEN 2 THEN CAST(k AS DOUBLE) ELSE 0.25e0 END AS onset_s FROM n, range(4) r(i) WHERE k % 2 = 0

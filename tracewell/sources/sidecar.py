@@ -117,15 +117,15 @@ def parse_oebin(files: DataFrame) -> DataFrame:
     )
 
 
-def fill_positions(known: DataFrame, n_chans: int) -> DataFrame:
-    """(ch, x_um, y_um) for channels 0 .. n-1 from those with a position: else that of the nearest channel
-    that has one, the lower of two equally near, else (0, 0)."""
-    spark = known.sparkSession
-    listed = known.where(F.col("ch") < n_chans).agg(F.sort_array(F.collect_list(F.struct("ch", "x_um", "y_um"))).alias("k"))  # one row per site of a probe
-    own = spark.range(n_chans).select(F.col("id").cast("int").alias("ch")).join(F.broadcast(listed), F.lit(True))
+def fill_positions(known: DataFrame, n_chans: int, probe: tuple[str, ...] = ()) -> DataFrame:
+    """(*probe, ch, x_um, y_um) for channels 0 .. n-1 of each probe from those with a position: else that of the
+    nearest channel that has one, the lower of two equally near, else (0, 0). A null coordinate is no position."""
+    site = F.when((F.col("ch") < n_chans) & F.col("x_um").isNotNull() & F.col("y_um").isNotNull(), F.struct("ch", "x_um", "y_um"))
+    listed = known.groupBy(*probe).agg(F.collect_list(site).alias("k"))  # the sites of a probe, at most one per channel
+    own = listed.select(*probe, "k", F.posexplode(F.array_repeat(F.lit(0), n_chans)).alias("ch", "zero"))
     best = F.array_min(F.transform("k", lambda e: F.struct(F.abs(e["ch"] - F.col("ch")).alias("d"), e["ch"].alias("c"), e["x_um"].alias("x"), e["y_um"].alias("y"))))
     filled = own.withColumn("b", best)
-    return filled.select("ch", F.coalesce(F.col("b.x"), F.lit(0.0)).alias("x_um"), F.coalesce(F.col("b.y"), F.lit(0.0)).alias("y_um"))
+    return filled.select(*probe, "ch", F.coalesce(F.col("b.x"), F.lit(0.0)).alias("x_um"), F.coalesce(F.col("b.y"), F.lit(0.0)).alias("y_um"))
 
 
 # --- the recording that is opened, on the driver ---
