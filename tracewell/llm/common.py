@@ -10,10 +10,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from tracewell.session import materialize, shared_path
 
-__all__ = ["append_columns", "keep_rows", "let", "materialize", "read_table", "share", "shared_path", "unused"]
+__all__ = ["append_columns", "keep_rows", "let", "materialize", "numbered", "read_table", "share", "shared_path", "unused"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def numbered(rows: DataFrame, keys: list[str], turn: str, ties: list[str], pos: str, span: int = 1024) -> DataFrame:
+    """`rows` with `pos`, the place from 1 among the rows of equal `keys` (not null) by `turn`, nulls first, then by `ties`.
+
+    Rows meet by key and range of `span` turns, so a key with very many turns is many small groups.
+    """
+    part, first = unused(rows, "__part"), unused(rows, "__first")
+    rows = rows.withColumn(part, F.coalesce(F.floor(F.col(turn) / span), F.lit(-(1 << 62)).cast("long")))
+    sizes = rows.groupBy(*keys, part).agg(F.count("*").alias("__n"))
+    before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(first))
+    inside = W.partitionBy(*keys, part).orderBy(F.col(turn).asc_nulls_first(), *ties)
+    placed = rows.withColumn(pos, F.row_number().over(inside)).join(sizes, [*keys, part])
+    return placed.withColumn(pos, F.col(first) + F.col(pos)).drop(part, first)
+
+
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """A broadcast of `value`, whose classes travel with it; call the result on an executor."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))

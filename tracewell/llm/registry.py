@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracewell.llm import chat, decontaminate, langid, pieces, quality, shards, simhash, tokencount, toxicity, urls
+from tracewell.llm import chat, decontaminate, langid, pieces, prefixtrie, quality, repair, shards, simhash, tokencount, topk, toxicity, urls
 
 
 def queries() -> dict:
@@ -18,9 +18,20 @@ def queries() -> dict:
         "op8_language_id": langid.op8_language_id,
         "op9_url_filter": urls.op9_url_filter,
         "op10_shards": shards.op10_shards,
+        "op11_topk": topk.op11_topk,
+        "op12_prefix_trie": prefixtrie.op12_prefix_trie,
+        "op13_structure_repair": repair.op13_structure_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op9_url_filter": urls.OP9_SQL}
+    return {
+        "op1_chat_format": chat.OP1_SQL,
+        "op5_quality_rules": quality.OP5_SQL,
+        "op7_decontaminate": decontaminate.OP7_SQL,
+        "op9_url_filter": urls.OP9_SQL,
+        "op11_topk": topk.OP11_SQL,
+        "op12_prefix_trie": prefixtrie.OP12_SQL,
+        "op13_structure_repair": repair.OP13_SQL,
+    }
