@@ -236,10 +236,10 @@ def _visits(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 if queries:
                     yield made(queries, blocks)
-                queries, blocks = (np.array(ids), np.array(q), np.array(least), _unpacked(numbers, len(ids) * dims).reshape(-1, dims)), []
+                queries, blocks = (np.array(ids), np.array(q), np.array(least), _unpacked(numbers, len(ids) * dims).reshape(len(ids), dims)), []
             else:
                 names = pa.array(ids, pa.int64())
-                blocks.append((_unpacked(numbers, len(ids) * dims).reshape(-1, dims), *_ids(names), _unpacked(high, dims), _unpacked(low, dims)))
+                blocks.append((_unpacked(numbers, len(ids) * dims).reshape(len(ids), dims), *_ids(names), _unpacked(high, dims), _unpacked(low, dims)))
     if queries:
         yield made(queries, blocks)
 
