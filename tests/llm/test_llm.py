@@ -175,11 +175,32 @@ def test_simhash_edges(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_components_of_a_long_chain_and_of_random_edges(spark, small):
     n = 300
     edges = spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    got = simhash.connected_components(edges).collect()
+    got = simhash.connected_components(edges.repartition(3, "u"), small=small).collect()
     assert len(got) == n and {r.root for r in got} == {0}
+    rng = random.Random(8)
+    pairs = [(rng.randrange(400) - 200, rng.randrange(400) - 200) for _ in range(260)]
+    label = {x: x for p in pairs for x in p}
+    for u, v in pairs:
+        a, b = label[u], label[v]
+        label = {k: min(a, b) if x in (a, b) else x for k, x in label.items()}
+    got = simhash.connected_components(spark.createDataFrame(pairs, "u long, v long").repartition(4), small=small)
+    assert {r.node: r.root for r in got.collect()} == {k: v for k, v in label.items() if k != v}
+
+
+def test_a_hot_tree_is_split_until_it_is_small(spark):
+    """All fingerprints agree on 30 bits, so two levels of trees are hot; no link is lost."""
+    rng = random.Random(6)
+    fps = sorted({rng.getrandbits(34) for _ in range(300)} | {(1 << 33) + sum(1 << b for b in rng.sample(range(34), 2)) for _ in range(200)})
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    trees = simhash.planted(frame, 3, 40)
+    assert trees.groupBy("tree").count().agg(F.max("count")).first()[0] <= 40
+    roots = {r.node: r.root for r in simhash.connected_components(simhash.fingerprint_links(frame, 3, 40)).collect()}
+    got = [roots.get(f, f) for f in fps]
+    assert got == [fps[c] for c in components(fps)]
 
 
 # --- decontamination ---

@@ -9,7 +9,6 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from tracewell.llm import nearcopies, simhash
-from tracewell.llm.simhash import connected_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,8 +74,7 @@ def test_pairs_that_a_forest_leaves_out_are_compared(spark, large):
     hashed = {i: np.unique(np.array([xxh64_intdigest(repr(w).encode()) for w in x], np.uint64)) for i, x in sets.items()}
     nodes = spark.createDataFrame([(i, nearcopies.fingerprint_of(h), nearcopies.trees_of(h)) for i, h in hashed.items()], "node long, fp long, trees array<long>")
     whole = spark.createDataFrame([(i, bytearray(h.tobytes()), bytearray(nearcopies.lowest(h).tobytes())) for i, h in hashed.items()], "node long, hashes binary, low binary")
-    edges = nearcopies._edges(nodes, lambda wanted: whole.join(wanted, "node", "left_semi"), large)
-    got = {r.node: r.root for r in connected_components(edges).collect()}
+    got = {r.node: r.root for r in nearcopies._classes(nodes, lambda wanted: whole.join(wanted, "node", "left_semi"), large).collect()}
     want = components(sets)
     assert len(set(want.values())) > 12 and {i: got.get(i, i) for i in sets} == want
 

@@ -3,7 +3,7 @@
 1. Every document gets a 64-bit fingerprint; equal fingerprints become one trie leaf.
 2. Two fingerprints that differ in at most `max_bits` bits agree on one of `max_bits + 1` blocks of
    bits. Each block roots a forest of tries, one for each value of the block, and a task takes whole
-   tries. A trie that is still large is split once more by the same rule inside the other bits.
+   tries. A trie that is still large is split by the same rule inside the other bits, until none is.
 3. In a trie, node pairs descend together: bit by bit their children are paired, the differing bits
    add up, and a pair over `max_bits` is cut off with all that stands below it. So is a pair whose
    leaves belong to one class already. A trie yields one edge from each leaf to its class, never
@@ -210,12 +210,12 @@ def whole_trees(it: Iterator[pa.RecordBatch], keys: int, at_once: int = 1 << 18)
 
 
 def _links(it: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, sub, fp) sorted by all three: complete trees are joined some at a time."""
-    for a, b, f in whole_trees(it, 2):
+    """Rows (tree, fp) sorted by both: complete trees are joined some at a time."""
+    for a, f in whole_trees(it, 1):
         first = np.ones(len(f), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (f[1:] != f[:-1])
-        a, b, f = a[first], b[first], f[first].view("<u8")
-        tree = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        first[1:] = (a[1:] != a[:-1]) | (f[1:] != f[:-1])
+        a, f = a[first], f[first].view("<u8")
+        tree = np.concatenate(([0], np.cumsum(a[1:] != a[:-1])))
         order = np.lexsort((f, tree))  # unsigned order inside a tree
         f, tree = f[order], tree[order]
         root = trie_links(tree, f, max_bits)
@@ -223,59 +223,107 @@ def _links(it: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(f[away].view("<i8")), pa.array(f[root[away]].view("<i8"))], names=["u", "v"])
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 3, large: int = 50_000) -> DataFrame:
-    """Edges (u, v) between fingerprints that connect exactly those within `max_bits` of each other.
-
-    `fps` has one row per fingerprint. Trees of more than `large` leaves are split: inside a tree
-    the bits outside its block are cut into `max_bits + 1` blocks again, one of which has to agree.
+def _split(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, used, fp) of large trees: `parts` rows each, for the trees inside the tree in which the bits that are
+    not `used` are cut into as many blocks, one of which agrees. A name is a digest of the names and values on the way."""
+    for batch in it:
+        tree, used, fp = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+        for mask in np.unique(used):
+            at = used == mask
+            free = [b for b in range(63, -1, -1) if not int(mask) >> b & 1]
+            for s, bits in enumerate(np.array_split(np.array(free, np.uint64), parts)):
+                block = np.bitwise_or.reduce(np.uint64(1) << bits)
+                value = np.stack([tree[at], np.full(at.sum(), s, np.uint64), fp[at] & block], 1)
+                names = np.fromiter((xxh64_intdigest(v.tobytes(), SEED) for v in value), np.uint64, len(value))
+                columns = [names, np.full(len(names), mask | block), fp[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["tree", "used", "fp"])
+
+
+def planted(fps: DataFrame, max_bits: int, large: int, least_free: int = 8) -> DataFrame:
+    """(tree, fp): the trees that each fingerprint is a leaf of, such that two within `max_bits` share one.
+
+    A tree of more than `large` leaves is replaced by the trees inside it, again and again; with `least_free`
+    bits left it cannot be large.
     """
     k = max_bits + 1
-    size = 64 // k
-    mask = (1 << size) - 1
-    field = lambda b: F.shiftrightunsigned("fp", 64 - size * (b + 1)).bitwiseAND(F.lit(mask).cast("long"))
-    trees = fps.select("fp", F.explode(F.array(*[field(b) + (b << size) for b in range(k)])).alias("tree"))
-    hot = trees.groupBy("tree").count().where(F.col("count") > large).select("tree")
-    cold = trees.join(hot, "tree", "left_anti").select("tree", F.lit(-1).cast("long").alias("sub"), "fp")
-    part = -(-(64 - size) // k)
-
-    def inner(b: int):
-        rest = [p for p in range(64) if not size * b <= p < size * (b + 1)]  # bit places outside the block, from the top
-
-        def value(s: int):
-            bits = rest[s * part : (s + 1) * part]
-            m = sum(1 << (63 - p) for p in bits)
-            return F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("m"))
-
-        return F.array(*[value(s) for s in range(k)])
-
-    which = F.shiftright("tree", size)
-    chosen = F.when(which == 0, inner(0))
-    for b in range(1, k):
-        chosen = chosen.when(which == b, inner(b))
-    split = trees.join(hot, "tree", "left_semi").select("tree", "fp", F.explode(chosen).alias("x")).select("tree", F.xxhash64("x.s", "x.m").alias("sub"), "fp")
-    dealt = cold.unionByName(split).repartition("tree", "sub").sortWithinPartitions("tree", "sub", "fp")
+    names = T.StructType([T.StructField(c, T.LongType()) for c in ("tree", "used", "fp")])
+    level, free, done = fps.select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("used"), "fp"), 64, None
+    while True:
+        level = level.mapInArrow(lambda it: _split(it, k), names)
+        free -= free // k
+        hot = level.groupBy("tree").count().where(F.col("count") > large).select("tree") if free > least_free else None
+        hot = materialize(hot, "hot-trees") if hot is not None else None
+        if hot is None or hot.isEmpty():
+            return level.select("tree", "fp") if done is None else done.unionByName(level.select("tree", "fp"))
+        cold = level.join(hot, "tree", "left_anti").select("tree", "fp")
+        done = cold if done is None else done.unionByName(cold)
+        level = materialize(level.join(hot, "tree", "left_semi"), "hot-leaves")
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 3, large: int = 50_000) -> DataFrame:
+    """Edges (u, v) between fingerprints that connect exactly those within `max_bits` of each other. `fps` has one row per fingerprint."""
+    dealt = planted(fps.select("fp"), max_bits, large).repartition("tree").sortWithinPartitions("tree", "fp")
     return dealt.mapInArrow(lambda it: _links(it, max_bits), "u long, v long")
 
 
 # --- connected components over all tries ---
 
 
-def connected_components(edges: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of an edge, root the smallest node of its component.
+def _united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for each node of the edges, root the smallest node that the edges connect it with."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, parent = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        top, other = parent[a], parent[b]
+        low = np.minimum(top, other)
+        np.minimum.at(parent, top, low)
+        np.minimum.at(parent, other, low)
+        parent = _roots(parent)
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[parent]
+
+
+def _contracted(it: Iterator[pa.RecordBatch], at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Edges as stars (node, root) with the same components, each `at_once` edges by themselves; no row for a root."""
+
+    def made(held: list) -> pa.RecordBatch:
+        node, root = _united(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        away = node != root
+        return pa.RecordBatch.from_arrays([pa.array(node[away]), pa.array(root[away])], names=["node", "root"])
+
+    held, n = [], 0
+    for batch in it:
+        held.append([batch.column(i).to_numpy() for i in (0, 1)])
+        n += batch.num_rows
+        if n >= at_once:
+            yield made(held)
+            held, n = [], 0
+    if held:
+        yield made(held)
+
+
+def connected_components(edges: DataFrame, label: str = "components", most_rounds: int = 60, small: int = 1 << 18) -> DataFrame:
+    """(node, root) for each node of an edge but the smallest of its component, which is the root.
 
-    Alternates large-star and small-star steps until the edges no longer change; each step is an
-    aggregation to one minimum per node and a join, so no neighbourhood is gathered. A node with very
-    many edges is a skewed join key, which adaptive execution splits.
+    Every task first replaces its edges by stars with the same components. Up to `small` rows of these, some
+    megabytes, are put together in one task in the same way. More of them alternate large-star and small-star
+    steps until they no longer change; each step is an aggregation to one minimum per node and a join, so no
+    neighbourhood is gathered. A node with very many edges is a skewed join key, which adaptive execution splits.
     """
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    edges = edges.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    edges = materialize(edges.mapInArrow(_contracted, "node long, root long"), label).toDF("u", "v")
+    if edges.count() <= small:
+        return materialize(edges.coalesce(1).mapInArrow(lambda it: _contracted(it, small + 1), "node long, root long"), label)
+    edges = materialize(edges.where("u <> v").distinct(), label)
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), label)
+        small_star = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = materialize(small_star.select("e.u", "e.v").where("u <> v").distinct(), label)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
