@@ -10,8 +10,7 @@ import pytest
 
 from tracewell.functions.filters import butter_highpass, sosfilt
 from tracewell.model import PreprocConfig
-from tracewell.operators import stats
-from tracewell.plans.queries import write_cbin
+from tracewell.operators import events, geometry, stats
 from tracewell.recording import Recording
 from tracewell.sources import png, prefs, recording, sidecar, stimuli
 from tracewell.streaming import live
@@ -19,6 +18,18 @@ from tracewell.streaming import live
 META = "nSavedChans=4\nimSampRate=30000\nfileSizeBytes={size}\nsnsApLfSy=3,0,1\nimAiRangeMax=0.6\nimMaxInt=512\nimChan0apGain=500\n~snsGeomMap=(NP1000,1,0,70)(0:27:0:1)(0:59:20:1)(1:300:0:1)\n"
 
 
+def write_cbin(x, path, chunk, order="F", spatial=True, time=True):
+    """A chunk-compressed copy of samples by channels, with its header file."""
+    bounds, offsets = [*range(0, len(x), chunk), len(x)], [0]
+    with open(path, "wb") as f:
+        for lo, hi in itertools.pairwise(bounds):
+            f.write(recording.encode_chunk(x[lo:hi], order, spatial, time))
+            offsets.append(f.tell())
+    header = {"chunk_bounds": bounds, "chunk_offsets": offsets, "chunk_order": order, "do_spatial_diff": spatial, "do_time_diff": time, "dtype": "int16", "n_channels": x.shape[1]}
+    with open(path[: -len(".cbin")] + ".ch", "w") as f:
+        json.dump(header, f)
+
+
 @pytest.fixture
 def x():
     return np.random.default_rng(1).integers(-32768, 32767, (1000, 4)).astype("<i2")
@@ -295,3 +306,61 @@ def test_tabs_around_fields(spark):
     for col, want in ((0, [5.0, 7.0, 1.0, 3.0]), (1, [6.0, 8.0, 2.0, 4.0])):
         got = stimuli.stims_of(texts, stimuli.StimLayout(0, (col,))).orderBy("path", "stim_idx").collect()
         assert [r.onset_s for r in got] == want
+
+
+def tiles_frame(spark, x, size):
+    rows = [(lo, len(x[lo : lo + size]), bytearray(np.ascontiguousarray(x[lo : lo + size].T).tobytes())) for lo in range(0, len(x), size)]
+    return spark.createDataFrame(rows, "t0 long, n int, x binary").repartition(3)
+
+
+def test_tiles_are_written_as_ranges_of_a_file(spark, tmp_path, x):
+    path = str(tmp_path / "a.bin")
+    recording.register(spark)
+    frame = tiles_frame(spark, x, 130)
+    frame.write.format("tracewell_raw").mode("append").options(path=path, channels=6, n_samples=1000, fill=7).save()
+    whole = np.fromfile(path, "<i2").reshape(-1, 6)
+    assert np.array_equal(whole[:, :4], x) and (whole[:, 4:] == 7).all()
+    with pytest.raises(Exception, match="mounted folder"):
+        frame.write.format("tracewell_raw").mode("append").options(path="memory://a.bin", channels=6, n_samples=1000).save()
+
+
+@pytest.mark.parametrize("order", "FC")
+def test_tiles_are_written_as_chunks(spark, tmp_path, x, order):
+    path = str(tmp_path / "b.cbin")
+    recording.write_cbin(tiles_frame(spark, x, 130), path, 4, order=order)
+    r = recording.reader_of(path, {"uv_per_bit": 1})
+    assert np.array_equal(r.samples(0, 1000), x) and r.header["chunk_bounds"][-2:] == [910, 1000]
+
+
+@pytest.mark.parametrize("kind", ["bin", "cbin"])
+def test_windows_come_from_the_file_and_only_they(spark, tmp_path, kind):
+    rng = np.random.default_rng(7)
+    y = rng.integers(-400, 400, (4000, 4)).astype("<i2")
+    path = str(tmp_path / f"w.{kind}")
+    y.tofile(path) if kind == "bin" else write_cbin(y, path, 200)
+    channels = spark.createDataFrame([(c, 16.0 * c, 20.0 * (c // 2), 0) for c in range(4)], "ch int, x_um double, y_um double, shank int")
+    rows = geometry.display_rows(channels, True)
+    cfg = PreprocConfig(1000.0)
+    stims = spark.createDataFrame([(i, t) for i, t in enumerate([0.2, 0.2, 0.2, 0.5004, 0.51, 3.7, 0.1, 3.99, 2.0])], "stim_idx long, onset_s double")
+    options = {"channels": 4, "n_samples": 4000, "uv_per_bit": 0.5}
+    long = spark.createDataFrame([(c, t, float(y[t, c]) * 0.5) for t in range(4000) for c in range(4)], "ch int, t long, uv double")
+    want = {(r.data_idx, r.k): r.mean_uv for r in events.event_average(long, rows, stims, cfg, 4000, -5, 20).collect()}
+    for size in (64, 1000, 1 << 15):
+        got = {(r.data_idx, r.k): r.mean_uv for r in events.event_average_of_file(spark, path, rows, stims, cfg, -5, 20, size=size, **options).collect()}
+        assert got.keys() == want.keys() and len(got) == 50 and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    if kind == "cbin":  # a chunk that no window touches may be broken
+        data = bytearray(open(path, "rb").read())
+        at = json.load(open(path.replace(".cbin", ".ch")))["chunk_offsets"]
+        data[at[5] + 5] ^= 0xFF
+        open(path, "wb").write(data)
+        assert events.event_average_of_file(spark, path, rows, stims, cfg, -5, 20, **options).count() == 50
+        with pytest.raises(Exception, match="(?i)decompress|chunk"):
+            events.event_average_of_file(spark, path, rows, stims.union(spark.createDataFrame([(99, 1.1)], stims.schema)), cfg, -5, 20, **options).count()
+
+
+def test_no_window_fits_the_file(spark, tmp_path, x):
+    x.tofile(str(tmp_path / "n.bin"))
+    rows = geometry.display_rows(spark.createDataFrame([(c, 0.0, 20.0 * c, 0) for c in range(4)], "ch int, x_um double, y_um double, shank int"), True)
+    stims = spark.createDataFrame([(0, 0.01), (1, None)], "stim_idx long, onset_s double")
+    found = events.event_average_of_file(spark, str(tmp_path / "n.bin"), rows, stims, PreprocConfig(1000.0), -5, 20, channels=4, n_samples=1000, uv_per_bit=1)
+    assert found.count() == 0

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -443,75 +441,74 @@ def q_stim_load(spark, sf_dir):
     return stimuli.stims_of(t.select(F.concat(F.lit("f"), k).alias("path"), text.alias("text")), stimuli.StimLayout(2, (0, 2)))
 
 
-def _local(spark) -> str:
-    """A folder for a small recording, within this application's part of the shared folder."""
-    path = shared_path(spark, "recording").removeprefix("file://")
-    if "://" in path:
-        raise ValueError(f"{path}: the small recordings of these queries are written as plain files")
-    os.makedirs(path)
-    return path
+def _file(spark, name: str) -> str:
+    """A path for a small recording, in a new folder within this application's part of the shared folder."""
+    folder = recording.local_file(shared_path(spark, "recording"))
+    os.makedirs(folder)
+    return f"{folder}/{name}"
 
 
-def _matrix(spark, sf_dir) -> np.ndarray:
-    """The small recording as int16 at 0.01 uV, samples by 20 channels and a sync channel."""
-    rows = rec.samples(spark, sf_dir).select((F.col("ch") / 19).cast("int").alias("c"), "t", F.round(F.col("uv") * 100).cast("int").alias("v")).toPandas()
-    x = np.zeros((rec.n_samples(spark, sf_dir), 21), "<i2")
-    x[rows["t"], rows["c"]] = rows["v"]
-    x[:, 20] = 64
-    return x
+def _tiles(spark, sf_dir, size: int) -> DataFrame:
+    """Tiles of the small recording as int16 at 0.01 uV: 20 channels."""
+    table = rec.samples(spark, sf_dir).select((F.col("ch") / 19).cast("int").alias("ch"), "t", (F.round(F.col("uv") * 100)).alias("uv"))
+    return tiles.tiles_of(table, 20, rec.n_samples(spark, sf_dir), size)
+
+
+def _raw_file(spark, sf_dir, below: int | None = None) -> tuple[str, int]:
+    """The small recording as a raw file with a sync channel, written tile by tile; the file ends after the first `below` samples."""
+    n, path = rec.n_samples(spark, sf_dir), _file(spark, "a.ap.bin")
+    recording.register(spark)
+    made = _tiles(spark, sf_dir, 400)
+    there = n if below is None else below
+    made.where(F.col("t0") < there).write.format("tracewell_raw").mode("append").options(path=path, channels=21, n_samples=there, fill=64).save()
+    return path, n
 
 
 SOURCE = {"signal_channels": "20", "uv_per_bit": "0.01"}
 
 
 def q_scan_window(spark, sf_dir):
-    x, path = _matrix(spark, sf_dir), f"{_local(spark)}/a.ap.bin"
-    x.tofile(path)
-    recording.register(spark)
-    found = spark.read.format("tracewell_raw").options(channels=21, n_samples=len(x), samples_per_task=300, **SOURCE).load(path)
+    path, n = _raw_file(spark, sf_dir)
+    found = spark.read.format("tracewell_raw").options(channels=21, n_samples=n, samples_per_task=300, **SOURCE).load(path)
     return found.where("t >= 100 AND t < 1100").select("ch", "t", r4("uv").alias("uv"))
 
 
 def q_scan_short(spark, sf_dir):
     """A file that ends after three quarters of the samples that its metadata promises: the rest is 0."""
-    x, path = _matrix(spark, sf_dir), f"{_local(spark)}/a.ap.bin"
-    x[: len(x) * 3 // 4].tofile(path)
-    recording.register(spark)
-    found = spark.read.format("tracewell_raw").options(channels=21, n_samples=len(x), samples_per_task=350, **SOURCE).load(path)
+    path, n = _raw_file(spark, sf_dir, rec.n_samples(spark, sf_dir) * 3 // 4)
+    found = spark.read.format("tracewell_raw").options(channels=21, n_samples=n, samples_per_task=350, **SOURCE).load(path)
     return found.select("ch", "t", r4("uv").alias("uv"))
 
 
+def _file_rows(spark) -> DataFrame:
+    """Averaged rows of the small recording's file, in which channels are numbered without gaps."""
+    return geometry.display_rows(rec.channels(spark).withColumn("ch", (F.col("ch") / 19).cast("int")), True)
+
+
+def _file_tiles(spark, sf_dir, size: int = 150) -> tuple[DataFrame, DataFrame]:
+    """Preprocessed tiles of the file, and its rows: each task reads its tile with the halo, nothing is shuffled."""
+    path, n = _raw_file(spark, sf_dir)
+    options = dict(channels=21, n_samples=n, samples_per_task=size, form="tile", halo=tiles.halo_of(CFG), **SOURCE)
+    rows = _file_rows(spark)
+    return tiles.preprocess_tiles(spark.read.format("tracewell_raw").options(**options).load(path), rows, CFG, 0.01, kind="<f8"), rows
+
+
 def q_tiles_file(spark, sf_dir):
-    """From the file to preprocessed tiles: each task reads its tile with the halo, nothing is shuffled."""
-    x, path = _matrix(spark, sf_dir), f"{_local(spark)}/a.ap.bin"
-    x.tofile(path)
-    recording.register(spark)
-    options = dict(channels=21, n_samples=len(x), samples_per_task=150, form="tile", halo=tiles.halo_of(CFG), **SOURCE)
-    rows = geometry.display_rows(rec.channels(spark).withColumn("ch", (F.col("ch") / 19).cast("int")), True)
-    done = tiles.preprocess_tiles(spark.read.format("tracewell_raw").options(**options).load(path), rows, CFG, 0.01, kind="<f8")
+    """From the file to preprocessed tiles."""
+    done, rows = _file_tiles(spark, sf_dir)
     return out(tiles.explode_tiles(done, tiles.RowModel.of(rows), "<f8"))
 
 
-def write_cbin(x: np.ndarray, path: str, chunk: int, order: str = "F", spatial: bool = True, time: bool = True) -> None:
-    """A chunk-compressed copy of samples by channels, with its header file."""
-    bounds, offsets = [*range(0, len(x), chunk), len(x)], [0]
-    with open(path, "wb") as f:
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            part = x[lo:hi].astype(np.int16)
-            if time:
-                part = np.concatenate((part[:1], part[1:] - part[:-1]))
-            if spatial:
-                part = np.concatenate((part[:, :1], part[:, 1:] - part[:, :-1]), 1)
-            f.write(zlib.compress(part.tobytes(order)))
-            offsets.append(f.tell())
-    header = {"chunk_bounds": bounds, "chunk_offsets": offsets, "chunk_order": order, "do_spatial_diff": spatial, "do_time_diff": time, "dtype": "int16", "n_channels": x.shape[1]}
-    with open(path[: -len(".cbin")] + ".ch", "w") as f:
-        json.dump(header, f)
+def q_psth_file(spark, sf_dir):
+    """The event average with windows read from the file; tiles that no stimulus touches are not."""
+    path, n = _raw_file(spark, sf_dir)
+    found = events.event_average_of_file(spark, path, _file_rows(spark), rec.stims(spark, sf_dir), CFG, -5.0, 20.0, size=256, channels=21, n_samples=n, **SOURCE)
+    return found.select("data_idx", "k", r4("mean_uv").alias("mean_uv"))
 
 
 def _cbin(spark, sf_dir, **options):
-    x, path = _matrix(spark, sf_dir), f"{_local(spark)}/a.ap.cbin"
-    write_cbin(x, path, 250, **options)
+    path = _file(spark, "a.ap.cbin")
+    recording.write_cbin(_tiles(spark, sf_dir, 250), path, 21, 64, **options)
     recording.register(spark)
     return spark.read.format("tracewell_cbin").options(**SOURCE).load(path)
 
@@ -593,6 +590,7 @@ QUERIES = {
     "scan_window": q_scan_window,
     "scan_short": q_scan_short,
     "pipeline_tiles_file": q_tiles_file,
+    "psth_file": q_psth_file,
     "window_extend_highpass": q_extend_highpass,
     "wanted_side": q_wanted_side,
     "memory_policy": q_memory_policy,
@@ -697,6 +695,7 @@ FROM display, (VALUES (0, 400), (50, 200), (100, 60), (500, 600)) v(lo, hi) GROU
     "psth_valid": sql.with_([sql.SAMPLES, sql.GEOM, sql.AVG, sql.TRACE_AVG, sql.windows()], "SELECT placed.*, read_first >= 0 AND read_first + 325 <= n AS valid FROM placed, total"),
     "psth_counts": sql.with_([sql.SAMPLES, sql.GEOM, sql.AVG, sql.TRACE_AVG, sql.windows()], "SELECT 25 AS n_win, -5e0 AS start_ms, 1e0 AS dt_ms, (SELECT count(*) FROM valid) AS n_used, (SELECT count(*) FROM placed) - (SELECT count(*) FROM valid) AS n_skipped"),
     "psth": sql.with_(_PSTH, "SELECT data_idx, k, round(mean_uv, 4) + 0e0 AS mean_uv FROM psth"),
+    "psth_file": sql.with_([_FILED, *_PSTH[1:]], "SELECT data_idx, k, round(mean_uv, 4) + 0e0 AS mean_uv FROM psth"),
     "psth_plain": sql.with_(sql.psth(False), "SELECT data_idx, k, round(mean_uv, 4) + 0e0 AS mean_uv FROM psth"),
     "psth_avg_trace": sql.with_(_PSTH, "SELECT k, round(avg(mean_uv), 4) + 0e0 AS mean_uv FROM psth GROUP BY k"),
     "psth_vmax": sql.with_(

@@ -17,15 +17,31 @@ for a compressed chunk that cannot be read).
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
+
+from tracewell.session import materialize
 
 LONG = "ch int, t long, uv double"
 TILE = "t0 long, n int, x binary"
@@ -186,6 +202,91 @@ class CbinReader(_Reader):
         return np.concatenate([self._chunk(k)[lo - bounds[k] : hi - bounds[k]] for k, lo, hi in self._touched(first, last)])
 
 
+def reader_of(path: str, options: dict) -> _Reader:
+    """The reader of a recording by its file's ending; options as for the sources."""
+    return (CbinReader if path.endswith(".cbin") else RawReader)({k: str(v) for k, v in options.items()} | {"path": path})
+
+
+class RawWriter(DataSourceArrowWriter):
+    """Tiles (t0, n, x) as ranges of one interleaved int16 file: each task writes its own, in any order.
+
+    The file gets its size first, so a range written again, by a task that is run again, changes nothing.
+    """
+
+    def __init__(self, options: dict):
+        self.path = local_file(options["path"])
+        self.channels, self.total = int(options["channels"]), int(options["n_samples"])
+        self.fill = int(options.get("fill", 0))
+        with open(self.path, "wb") as f:
+            f.truncate(self.total * self.channels * 2)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        with open(self.path, "r+b") as f:
+            for batch in iterator:
+                for t0, n, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    own = np.frombuffer(x, "<i2").reshape(-1, n)
+                    whole = np.full((n, self.channels), self.fill, "<i2")  # channels beyond the tile's, as the sync channel
+                    whole[:, : len(own)] = own.T
+                    f.seek(t0 * self.channels * 2)
+                    f.write(whole.tobytes())
+        return WriterCommitMessage()
+
+    def abort(self, messages: list) -> None:
+        Path(self.path).unlink(missing_ok=True)
+
+
+def local_file(path: str) -> str:
+    """A path to write ranges of: in a folder that driver and executors have mounted."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path}: ranges of a file are written to a mounted folder only")
+    return path.removeprefix("file://")
+
+
+def encode_chunk(x: np.ndarray, order: str = "F", spatial: bool = True, time: bool = True) -> bytes:
+    """Samples by channels as one compressed chunk; what `decode_chunk` reverses."""
+    x = x.astype(np.int16)
+    if time:
+        x = np.concatenate((x[:1], x[1:] - x[:-1]))
+    if spatial:
+        x = np.concatenate((x[:, :1], x[:, 1:] - x[:, :-1]), 1)
+    return zlib.compress(x.tobytes(order))
+
+
+def write_cbin(tiles: DataFrame, path: str, channels: int, fill: int = 0, order: str = "F", spatial: bool = True, time: bool = True) -> None:
+    """Tiles (t0, n, x) as a chunk-compressed file, a chunk for each tile, and its header.
+
+    Chunks are compressed by the tasks that have the tiles and kept in a table; their sizes, which the header lists,
+    give each its place in the file, where tasks write them.
+    """
+    path = local_file(path)
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for t0, n, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = np.frombuffer(x, "<i2").reshape(-1, n)
+                whole = np.full((n, channels), fill, np.int16)
+                whole[:, : len(own)] = own.T
+                yield pa.RecordBatch.from_arrays([pa.array([t0]), pa.array([n], pa.int32()), pa.array([encode_chunk(whole, order, spatial, time)], pa.binary())], names=["t0", "n", "data"])
+
+    def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "r+b") as f:
+            for batch in it:
+                for at, data in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                    f.seek(at)
+                    f.write(data)
+                yield batch.select(["at"])
+
+    chunks = materialize(tiles.select("t0", "n", "x").mapInArrow(packed, "t0 long, n int, data binary"), "chunks")
+    sizes = chunks.select("t0", "n", F.octet_length("data").alias("size")).orderBy("t0").collect()
+    offsets = [0, *itertools.accumulate(r["size"] for r in sizes)]
+    header = {"chunk_bounds": [r["t0"] for r in sizes] + [sizes[-1]["t0"] + sizes[-1]["n"] if sizes else 0], "chunk_offsets": offsets, "chunk_order": order, "do_spatial_diff": spatial, "do_time_diff": time, "dtype": "int16", "n_channels": channels}
+    with open(path, "wb") as f:
+        f.truncate(offsets[-1])
+    places = tiles.sparkSession.createDataFrame([(r["t0"], at) for r, at in zip(sizes, offsets, strict=False)], "t0 long, at long")
+    chunks.join(places, "t0").select("at", "data").mapInArrow(put, "at long").write.format("noop").mode("overwrite").save()
+    Path(path).with_suffix(".ch").write_text(json.dumps(header))
+
+
 class _Source(DataSource):
     made: type[_Reader]
 
@@ -203,6 +304,9 @@ class RawSource(_Source):
     def name(cls) -> str:
         return "tracewell_raw"
 
+    def writer(self, schema, overwrite: bool) -> RawWriter:
+        return RawWriter(dict(self.options))
+
 
 class CbinSource(_Source):
     made = CbinReader
