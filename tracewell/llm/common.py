@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -14,7 +17,7 @@ from pyspark.sql.window import Window as W
 
 from tracewell.session import materialize, shared_path
 
-__all__ = ["append_columns", "keep_rows", "let", "materialize", "numbered", "read_table", "share", "shared_path", "unused"]
+__all__ = ["append_columns", "in_arrow", "keep_rows", "let", "materialize", "numbered", "read_table", "share", "shared_path", "unused"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,25 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(sent.value)
 
 
+def _give_back() -> None:
+    """Memory that this worker has freed goes back to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """`df.mapInArrow` in batches of up to 4 MB (a setting of the session), whatever the length of texts, from tasks that return the memory they have used."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        _give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], batches: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]]) -> DataFrame:
     """`df` with columns that Python computes from Arrow batches; no shuffle.
 
@@ -71,7 +93,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], batches: Callable
             columns = [batch.column(i) for i in positions] + list(arrays)
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def keep_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
@@ -85,4 +107,4 @@ def keep_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list
         for batch in it:
             yield batch.filter(pa.array(decide(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tracewell.llm.common import append_columns, materialize, read_table
+from tracewell.llm.common import append_columns, in_arrow, materialize, read_table
 
 SEED = 42
 _BLOCK = 1 << 14  # shingles hashed at a time
@@ -249,7 +249,7 @@ def planted(fps: DataFrame, max_bits: int, large: int, least_free: int = 8) -> D
     names = T.StructType([T.StructField(c, T.LongType()) for c in ("tree", "used", "fp")])
     level, free, done = fps.select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("used"), "fp"), 64, None
     while True:
-        level = level.mapInArrow(lambda it: _split(it, k), names)
+        level = in_arrow(level, lambda it: _split(it, k), names)
         free -= free // k
         hot = level.groupBy("tree").count().where(F.col("count") > large).select("tree") if free > least_free else None
         hot = materialize(hot, "hot-trees") if hot is not None else None
@@ -263,7 +263,7 @@ def planted(fps: DataFrame, max_bits: int, large: int, least_free: int = 8) -> D
 def fingerprint_links(fps: DataFrame, max_bits: int = 3, large: int = 50_000) -> DataFrame:
     """Edges (u, v) between fingerprints that connect exactly those within `max_bits` of each other. `fps` has one row per fingerprint."""
     dealt = planted(fps.select("fp"), max_bits, large).repartition("tree").sortWithinPartitions("tree", "fp")
-    return dealt.mapInArrow(lambda it: _links(it, max_bits), "u long, v long")
+    return in_arrow(dealt, lambda it: _links(it, max_bits), "u long, v long")
 
 
 # --- connected components over all tries ---
@@ -312,9 +312,9 @@ def connected_components(edges: DataFrame, label: str = "components", most_round
     neighbourhood is gathered. A node with very many edges is a skewed join key, which adaptive execution splits.
     """
     edges = edges.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    edges = materialize(edges.mapInArrow(_contracted, "node long, root long"), label).toDF("u", "v")
+    edges = materialize(in_arrow(edges, _contracted, "node long, root long"), label).toDF("u", "v")
     if edges.count() <= small:
-        return materialize(edges.coalesce(1).mapInArrow(lambda it: _contracted(it, small + 1), "node long, root long"), label)
+        return materialize(in_arrow(edges.coalesce(1), lambda it: _contracted(it, small + 1), "node long, root long"), label)
     edges = materialize(edges.where("u <> v").distinct(), label)
     before = None
     for _ in range(most_rounds):
