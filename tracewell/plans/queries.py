@@ -499,6 +499,12 @@ def q_tiles_file(spark, sf_dir):
     return out(tiles.explode_tiles(done, tiles.RowModel.of(rows), "<f8"))
 
 
+def q_spike_tiles(spark, sf_dir):
+    """Spikes of the whole recording from preprocessed tiles, counted across their borders."""
+    done, rows = _file_tiles(spark, sf_dir)
+    return stats.spike_count_tiles(done, rows, -20.0, 4, kind="<f8")
+
+
 def q_psth_file(spark, sf_dir):
     """The event average with windows read from the file; tiles that no stimulus touches are not."""
     path, n = _raw_file(spark, sf_dir)
@@ -591,6 +597,7 @@ QUERIES = {
     "scan_short": q_scan_short,
     "pipeline_tiles_file": q_tiles_file,
     "psth_file": q_psth_file,
+    "spike_count_tiles": q_spike_tiles,
     "window_extend_highpass": q_extend_highpass,
     "wanted_side": q_wanted_side,
     "memory_policy": q_memory_policy,
@@ -686,6 +693,7 @@ FROM display, (VALUES (0, 400), (50, 200), (100, 60), (500, 600)) v(lo, hi) GROU
     "pct_table": sql.with_([*_BASE_AVG, _TABLE], "SELECT p, round(v, 4) + 0e0 AS vmax FROM pct"),
     "vmax": sql.with_([*_BASE_AVG, _TABLE], "SELECT p / 100e0 AS pct, round(greatest(v, 1e0), 4) + 0e0 AS vmax FROM pct WHERE p IN (0, 9500, 9950)"),
     "spike_count": sql.with_([*_SPIKES, _COUNTS], "SELECT * FROM counts"),
+    "spike_count_tiles": sql.with_([*_BASE_AVG[:2], _FILED, sql.TRACE_AVG, sql.dc("trace", "a"), sql.hp("a", "b"), sql.cmr("b", "c"), sql.greedy("c", "hits", -20.0, 4), sql.display("avgd"), _COUNTS], "SELECT * FROM counts"),
     "spike_count_view": sql.with_(
         [*_BASE, _window(100, 500), sql.greedy("win", "hits", -20.0, 1), sql.display("raw"), _COUNTS], "SELECT * FROM counts"
     ),
