@@ -1,5 +1,6 @@
 """Files: recordings in both forms, their side-cars, stimuli, preferences, pictures."""
 
+import dataclasses
 import itertools
 import json
 import os
@@ -10,7 +11,7 @@ import pytest
 
 from tracewell.functions.filters import butter_highpass, sosfilt
 from tracewell.model import PreprocConfig
-from tracewell.operators import events, geometry, stats
+from tracewell.operators import events, geometry, stats, tiles
 from tracewell.recording import Recording
 from tracewell.sources import png, prefs, recording, sidecar, stimuli
 from tracewell.streaming import live
@@ -215,17 +216,50 @@ def test_layouts(tmp_path):
     assert stimuli.resolve_layout(str(tmp_path / "s.csv"), str(tmp_path / "config" / "d.csv")) == stimuli.StimLayout(1, (0,))
 
 
+PREFS = """view_dur_s = 1.25
+color_mode = "Voltage"
+color_pct = 97.5
+color_uv = 120.0
+colormap_choice = "Vanimo"
+spike_threshold = -35.0
+mem_reserve_mb = 800.5
+last_dir = "/data"
+something_else = 1
+
+[preproc_cfg]
+dc_removal = false
+phase_shift = true
+highpass = false
+spatial_filter = "LocalCmr"
+avg_depths = false
+sample_rate = 2500.0
+im_dat_prb_type = 24
+"""
+
+
 def test_preferences(tmp_path):
     path = str(tmp_path / "p" / "prefs.toml")
-    mine = prefs.Preferences(preproc=PreprocConfig(20_000.0, phase_shift=True, spatial="destripe"), colormap="Vanimo", view_s=1.25)
+    mine = prefs.Preferences(preproc=PreprocConfig(20_000.0, phase_shift=True, spatial="destripe"), colormap="Vanimo", view_s=1.25, last_dir="a b")
     prefs.save_preferences(mine, path)
     got = prefs.load_preferences(path, 30_000.0, 21)
-    assert got.colormap == "Vanimo" and got.view_s == 1.25 and got.preproc == mine.preproc.with_(sample_rate=30_000.0, probe_type=21)
+    assert got == dataclasses.replace(mine, preproc=mine.preproc.with_(sample_rate=30_000.0, probe_type=21))
     assert prefs.load_preferences(str(tmp_path / "none"), 1.0, 0, legacy=path) is not None
     (tmp_path / "bad.toml").write_text("= nothing")
     assert prefs.load_preferences(str(tmp_path / "bad.toml"), 1.0, 0) is None
 
 
+def test_preferences_of_another_program(tmp_path):
+    path = tmp_path / "prefs.toml"
+    path.write_text(PREFS)
+    got = prefs.load_preferences(str(path), 30_000.0, 0)
+    assert got == prefs.Preferences(PreprocConfig(30_000.0, False, True, False, "local_cmr", False, 0), 1.25, "Voltage", 97.5, 120.0, "Vanimo", -35.0, memory_reserve_mb=800.5, last_dir="/data")
+    for line in ('color_mode = "Voltage"', "view_dur_s = 1.25", 'spatial_filter = "LocalCmr"', "highpass = false"):
+        path.write_text(PREFS.replace(line, ""))
+        assert prefs.load_preferences(str(path), 30_000.0, 0) is None
+    path.write_text(PREFS.replace("Vanimo", "Plaid"))
+    assert prefs.load_preferences(str(path), 30_000.0, 0) is None
+
+
 def test_png(spark, tmp_path):
     pixels = spark.createDataFrame([(y, x, 10 * x, y, 7, 255) for y in range(3) for x in range(4)], "py int, px int, r int, g int, b int, a int")
     path = str(tmp_path / png.export_name("/d/rec.ap.bin", "/d/stims.csv"))
@@ -364,3 +398,41 @@ def test_no_window_fits_the_file(spark, tmp_path, x):
     stims = spark.createDataFrame([(0, 0.01), (1, None)], "stim_idx long, onset_s double")
     found = events.event_average_of_file(spark, str(tmp_path / "n.bin"), rows, stims, PreprocConfig(1000.0), -5, 20, channels=4, n_samples=1000, uv_per_bit=1)
     assert found.count() == 0
+
+
+@pytest.mark.parametrize("spatial", ["global_cmr", "destripe", "off"])
+def test_a_preprocessed_stream_equals_the_whole_and_goes_on_after_a_restart(spark, tmp_path, spatial):
+    x = np.random.default_rng(5).integers(-900, 900, (6000, 4)).astype("<i2")
+    path, target = str(tmp_path / "live.bin"), str(tmp_path / "out")
+    channels = spark.createDataFrame([(c, 16.0 * c, 20.0 * (c % 2), c // 2) for c in range(4)], "ch int, x_um double, y_um double, shank int")
+    rows = geometry.display_rows(channels, False)
+    cfg = PreprocConfig(2000.0, dc_removal=False, phase_shift=True, spatial=spatial)
+    recording.register(spark)
+    x.tofile(str(tmp_path / "whole.bin"))
+    source = spark.read.format("tracewell_raw").options(channels=4, n_samples=6000, uv_per_bit=0.5, form="tile", halo=tiles.halo_of(cfg), samples_per_task=6000).load(str(tmp_path / "whole.bin"))
+    model = tiles.RowModel.of(rows)
+    deviations = [float(tiles.temporal(x[:, 2 * b : 2 * b + 2].T * 0.5, tiles.RowModel(*(f[2 * b : 2 * b + 2] for f in (model.members, model.first_ch, model.x_um, model.y_um, model.shank))), cfg, None, True).std()) for b in (0, 1)]
+    want = {(r.row_idx, r.t): r.uv for r in tiles.explode_tiles(tiles.preprocess_tiles(source, rows, cfg, 0.5, kind="<f8"), model, "<f8").collect()}
+
+    def run(n):
+        x[:n].tofile(path)
+        stream = live.read_stream(spark, path, channels=4, uv_per_bit=0.5, form="tile", samples_per_task=333)
+        made = live.live_preprocessed(stream, rows, cfg, 0.5, 6000, deviations=deviations)
+        made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(target).awaitTermination()
+
+    run(2500)
+    halo = tiles.halo_of(cfg)
+    assert spark.read.parquet(target).count() == 4 * max(0, 2500 - halo)
+    run(2600)
+    run(6000)
+    got = spark.read.parquet(target).collect()
+    assert len(got) == len(want) and max(abs(want[r.row_idx, r.t] - r.uv) for r in got) < 1e-8
+
+
+def test_streams_that_cannot_be_preprocessed(spark):
+    rows = geometry.display_rows(spark.createDataFrame([(0, 0.0, 0.0, 0)], "ch int, x_um double, y_um double, shank int"), False)
+    frame = spark.createDataFrame([], "t0 long, n int, x binary")
+    with pytest.raises(ValueError, match="means"):
+        live.live_preprocessed(frame, rows, PreprocConfig(1000.0, highpass=False), 1.0)
+    with pytest.raises(ValueError, match="deviation"):
+        live.live_preprocessed(frame, rows, PreprocConfig(1000.0, spatial="destripe"), 1.0)

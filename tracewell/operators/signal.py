@@ -98,15 +98,16 @@ def _along_rows(trace: DataFrame, of: Callable[[np.ndarray], np.ndarray], keys:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        many = 0
         for batch in batches:
+            if many >= at_once:
+                starts = np.flatnonzero(batch.column("__i").to_numpy() == 1)  # rows that begin in this batch; the last one may go on
+                if len(starts):
+                    yield from filtered(pa.Table.from_batches([*held, batch.slice(0, int(starts[-1]))]))
+                    held, many, batch = [], 0, batch.slice(int(starts[-1]))
             held.append(batch)
-            if sum(b.num_rows for b in held) >= at_once:
-                table = pa.Table.from_batches(held)
-                last = int(np.flatnonzero(table.column("__i").to_numpy() == 1)[-1])  # the row that may go on
-                if last:
-                    yield from filtered(table.slice(0, last))
-                    held = table.slice(last).to_batches()
-        if sum(b.num_rows for b in held):
+            many += batch.num_rows
+        if many:
             yield from filtered(pa.Table.from_batches(held))
 
     return numbered.mapInArrow(run, schema)

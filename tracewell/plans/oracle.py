@@ -90,11 +90,12 @@ def cmr(a: str, b: str, keys=()) -> str:
 
 
 def local(a: str, b: str, rows: str) -> str:
-    return f"""{b}_n AS (
+    return f"""{b}_n AS MATERIALIZED (
   SELECT p.data_idx AS i, q.data_idx AS j FROM {rows} p JOIN {rows} q ON p.shank = q.shank
     AND sqrt((p.x_um - q.x_um) ** 2 + (p.y_um - q.y_um) ** 2) BETWEEN 100 AND 400),
-{b}_m AS (SELECT i, t, median(uv) AS m FROM {b}_n JOIN {a} ON row_idx = j GROUP BY i, t),
-{b} AS (SELECT shank, row_idx, a.t, uv - coalesce(m, 0e0) AS uv FROM {a} a LEFT JOIN {b}_m m ON m.i = a.row_idx AND m.t = a.t)"""
+{b}_a AS MATERIALIZED (SELECT * FROM {a}),
+{b}_m AS MATERIALIZED (SELECT i, t, median(uv) AS m FROM {b}_n JOIN {b}_a ON row_idx = j GROUP BY i, t),
+{b} AS (SELECT shank, row_idx, a.t, uv - coalesce(m, 0e0) AS uv FROM {b}_a a LEFT JOIN {b}_m m ON m.i = a.row_idx AND m.t = a.t)"""
 
 
 def gain(a: str, b: str, half: int = 50) -> str:

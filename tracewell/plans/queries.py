@@ -17,6 +17,7 @@ from tracewell.plans import oracle as sql
 from tracewell.plans import windows
 from tracewell.session import materialize, shared_path
 from tracewell.sources import png, recording, sidecar, stimuli
+from tracewell.streaming import live
 
 CFG = PreprocConfig(sample_rate=rec.RATE)
 RAW_CFG = CFG.with_(avg_depths=False)
@@ -372,6 +373,24 @@ def q_trim(spark, sf_dir):
     return spark.createDataFrame(cases, "old_n int, ext int, most int, headroom int, pressure boolean, dropped int")
 
 
+POLICY = windows.ViewPolicy(rate=1000.0, n_samples=600_000, n_rows=384, total_bytes=10_100 << 20)
+
+
+def q_buffer_replay(spark, sf_dir):
+    """Every user's events as scroll requests, in order: arrow keys, wheel, jumps and zooms, under the memory of the moment."""
+    table, kind, i = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_type"), F.col("event_id")
+    requests = table.select(
+        "user_id", "ts", "event_id",
+        F.when(kind == "signup", F.col("value") * 2).alias("jump_s"),
+        F.when(kind == "click", 1.0).when(kind == "purchase", -1.0).when(kind == "error", -3.0).otherwise(F.floor("value") % 12 + 0.0).alias("steps"),
+        F.when(kind.isin("click", "purchase"), 0.5).when(kind == "error", 0.3).otherwise(0.05).alias("share"),
+        F.when(i % 10 == 3, 2.0).when(i % 10 == 7, 0.5).otherwise(1.0).alias("zoom"),
+        ((1500 + i % 40) * (1 << 20)).alias("available"),
+    )
+    found = windows.replay(requests, POLICY, "user_id", ["ts", "event_id"])
+    return found.select("event_id", "user_id", *((F.round(c, 9) + 0.0).alias(c) for c in ("start_s", "view_s")), "first", "n", "action", "dropped")
+
+
 # --- files ---
 
 
@@ -499,6 +518,16 @@ def q_tiles_file(spark, sf_dir):
     return out(tiles.explode_tiles(done, tiles.RowModel.of(rows), "<f8"))
 
 
+def q_stream(spark, sf_dir):
+    """The file as a stream, preprocessed with state, to a table in the shared folder."""
+    path, n = _raw_file(spark, sf_dir)
+    rows, target = _file_rows(spark), shared_path(spark, "stream")
+    stream = live.read_stream(spark, path, channels=21, signal_channels=20, uv_per_bit=0.01, form="tile", samples_per_task=450)
+    made = live.live_preprocessed(stream, rows, CFG, 0.01, n)
+    made.writeStream.format("parquet").option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start(target).awaitTermination()
+    return out(spark.read.schema(made.schema).parquet(target))
+
+
 def q_spike_tiles(spark, sf_dir):
     """Spikes of the whole recording from preprocessed tiles, counted across their borders."""
     done, rows = _file_tiles(spark, sf_dir)
@@ -598,6 +627,8 @@ QUERIES = {
     "pipeline_tiles_file": q_tiles_file,
     "psth_file": q_psth_file,
     "spike_count_tiles": q_spike_tiles,
+    "stream_pipeline": q_stream,
+    "buffer_replay": q_buffer_replay,
     "window_extend_highpass": q_extend_highpass,
     "wanted_side": q_wanted_side,
     "memory_policy": q_memory_policy,
@@ -693,6 +724,35 @@ FROM display, (VALUES (0, 400), (50, 200), (100, 60), (500, 600)) v(lo, hi) GROU
     "pct_table": sql.with_([*_BASE_AVG, _TABLE], "SELECT p, round(v, 4) + 0e0 AS vmax FROM pct"),
     "vmax": sql.with_([*_BASE_AVG, _TABLE], "SELECT p / 100e0 AS pct, round(greatest(v, 1e0), 4) + 0e0 AS vmax FROM pct WHERE p IN (0, 9500, 9950)"),
     "spike_count": sql.with_([*_SPIKES, _COUNTS], "SELECT * FROM counts"),
+    "stream_pipeline": sql.with_([*_BASE_AVG[:2], _FILED, sql.TRACE_AVG, sql.hp("trace", "b"), sql.cmr("b", "c")], sql.OUT + "c"),
+    "buffer_replay": """WITH RECURSIVE e AS (
+  SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+    CASE WHEN event_type = 'signup' THEN value * 2 END AS jump_s,
+    CASE event_type WHEN 'click' THEN 1e0 WHEN 'purchase' THEN -1e0 WHEN 'error' THEN -3e0 ELSE floor(value)::BIGINT % 12 + 0e0 END AS steps,
+    CASE WHEN event_type IN ('click', 'purchase') THEN 0.5e0 WHEN event_type = 'error' THEN 0.3e0 ELSE 0.05e0 END AS share,
+    CASE event_id % 10 WHEN 3 THEN 2e0 WHEN 7 THEN 0.5e0 ELSE 1e0 END AS zoom, event_id % 40 AS spare
+  FROM events),
+r AS (
+  SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, 0e0 AS start_s, 0.5e0 AS view_s, 0::BIGINT AS first, 0::BIGINT AS n, NULL::VARCHAR AS action, 0::BIGINT AS dropped FROM e GROUP BY user_id
+  UNION ALL
+  SELECT user_id, i, event_id, start_s, view_s,
+    CASE action WHEN 'full' THEN new_first WHEN 'right' THEN first + drop_n WHEN 'left' THEN first - ext ELSE first END,
+    CASE WHEN action = 'full' THEN least(2 * half, 600000 - new_first) WHEN action IN ('left', 'right') THEN n - drop_n + ext ELSE n END,
+    action, CASE WHEN action = 'full' THEN n WHEN action IN ('left', 'right') THEN drop_n ELSE 0 END
+  FROM (SELECT *, least(CASE WHEN spare < 15 THEN greatest(greatest(n + ext - most, 0), ext) ELSE greatest(n + ext - most, 0) END,
+      greatest(CASE action WHEN 'right' THEN vf - first - 2000 ELSE first + n - vf - vn - 2000 END, 0), n) AS drop_n
+    FROM (SELECT *, CASE action WHEN 'right' THEN least(margin, 600000 - first - n) ELSE least(margin, first) END AS ext
+      FROM (SELECT *, greatest(vf + vn // 2 - half, 0) AS new_first,
+          CASE WHEN n = 0 OR vf < first OR vf + vn > first + n THEN 'full'
+            WHEN vf - first < margin AND first > 0 AND (NOT (first + n - vf - vn < margin AND first + n < 600000) OR vf - first <= first + n - vf - vn) THEN 'left'
+            WHEN first + n - vf - vn < margin AND first + n < 600000 THEN 'right' END AS action
+        FROM (SELECT *, trunc(start_s * 1000)::BIGINT AS vf, trunc(view_s * 1000)::BIGINT AS vn, trunc(buffer_s / 2 * 1000)::BIGINT AS half, trunc(buffer_s * 1000)::BIGINT AS most,
+            trunc(least(5e0, greatest(0.9e0 * (room_s - view_s) / 3, 0.5e0)) * 1000)::BIGINT AS margin
+          FROM (SELECT *, least(30e0, room_s) AS buffer_s,
+              least(greatest(coalesce(jump_s, old_s + steps * share * view_s), 0e0), greatest(600e0 - view_s, 0e0)) AS start_s
+            FROM (SELECT e.*, r.start_s AS old_s, r.first, r.n, least(greatest(r.view_s * zoom, 0.01e0), 10e0) AS view_s, greatest(spare * 1048576e0 / 1536 / 1000, 1e0) AS room_s
+              FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))))))
+SELECT event_id, user_id, round(start_s, 9) + 0e0 AS start_s, round(view_s, 9) + 0e0 AS view_s, first, n, action, dropped FROM r WHERE i > 0""",
     "spike_count_tiles": sql.with_([*_BASE_AVG[:2], _FILED, sql.TRACE_AVG, sql.dc("trace", "a"), sql.hp("a", "b"), sql.cmr("b", "c"), sql.greedy("c", "hits", -20.0, 4), sql.display("avgd"), _COUNTS], "SELECT * FROM counts"),
     "spike_count_view": sql.with_(
         [*_BASE, _window(100, 500), sql.greedy("win", "hits", -20.0, 1), sql.display("raw"), _COUNTS], "SELECT * FROM counts"

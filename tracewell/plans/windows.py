@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.model import OVERLAP_SAMPLES, PreprocConfig
 from tracewell.operators.signal import depth_average, preprocess
@@ -131,6 +133,85 @@ def step_view(start_s: float, view_s: float, total_s: float, steps: float, share
     return clamp_view(start_s + steps * share * view_s, view_s, total_s)
 
 
+@dataclass(frozen=True)
+class ViewPolicy:
+    """What sizes the views and buffers of a session: the recording, the memory and the display's wishes."""
+
+    rate: float
+    n_samples: int
+    n_rows: int
+    total_bytes: int
+    reserve: int = 1500 << 20
+    view_s: float = 0.5
+    buffer_s: float = 30.0
+    margin_s: float = 5.0
+    overlap: int = OVERLAP_SAMPLES
+
+
+@dataclass(frozen=True)
+class Session:
+    """Where a view stands and what its buffer holds; no buffer has n = 0."""
+
+    start_s: float
+    view_s: float
+    first: int = 0
+    n: int = 0
+    action: str | None = None
+    dropped: int = 0
+
+
+def after_request(s: Session, p: ViewPolicy, jump_s: float | None, steps: float, share: float, zoom: float, available: int) -> Session:
+    """A session after a request: zoom, then jump or step, then what the buffer needs.
+
+    A view that is not inside the buffer gets a full window around it. Otherwise the side whose margin is short
+    grows by the margin, and the other one is trimmed to what the memory that is available allows.
+    """
+    total_s, view_s = p.n_samples / p.rate, clamp_length(s.view_s * zoom)
+    start_s = step_view(s.start_s, view_s, total_s, steps, share) if jump_s is None else clamp_view(jump_s, view_s, total_s)
+    view = int(start_s * p.rate), int(view_s * p.rate)
+    room_s = most_buffer_s(available, p.reserve, p.n_rows, p.rate)
+    buffer_s = min(p.buffer_s, room_s)
+    if not s.n or view[0] < s.first or view[0] + view[1] > s.first + s.n:
+        first, n = full_span(view[0] + view[1] // 2, half_window(buffer_s, p.rate), p.n_samples)
+        return Session(start_s, view_s, first, n, "full", s.n)
+    margin = int(min(p.margin_s, most_margin_s(room_s, view_s)) * p.rate)
+    side = wanted_side((s.first, s.n), view, margin, p.n_samples)
+    plan = side and plan_extension((s.first, s.n), side == "right", margin, view, p.n_samples, int(buffer_s * p.rate), under_pressure(p.total_bytes, available, reserve=p.reserve), p.overlap)
+    if not plan:
+        return Session(start_s, view_s, s.first, s.n)
+    return Session(start_s, view_s, s.first + plan.drop if side == "right" else plan.keep_first, s.n - plan.drop + plan.keep_n, side, plan.drop)
+
+
+REPLAYED = "start_s double, view_s double, first long, n long, action string, dropped long"
+
+
+def replay(requests: DataFrame, policy: ViewPolicy, key: str, order: list[str]) -> DataFrame:
+    """(key, order..., start_s, view_s, first, n, action, dropped): the session of each key after each of its requests.
+
+    Requests have `jump_s` (null: a step), `steps`, `share`, `zoom` and `available` bytes. The requests of a key
+    are a sequence and go through one task in order, one batch at a time; only the session is held. Of two
+    requests that are equal in `order` either may come first; a null key is a session of its own.
+    """
+    fields = [key, *order, "jump_s", "steps", "share", "zoom", "available"]
+    at = {c: i for i, c in enumerate(fields)}
+    schema = T.StructType([*(requests.schema[c] for c in (key, *order)), *T.StructType.fromDDL(REPLAYED).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, session = object(), None
+        for batch in batches:
+            made = []
+            columns = [batch.column(at[c]).to_pylist() for c in (key, "jump_s", "steps", "share", "zoom", "available")]
+            for k, *request in zip(*columns, strict=True):
+                if k != name:
+                    name, session = k, Session(0.0, policy.view_s)
+                session = after_request(session, policy, *request)
+                made.append(session)
+            values = [pa.array([getattr(s, f.name) for s in made], pa.string() if f.name == "action" else pa.float64() if f.name.endswith("_s") else pa.int64()) for f in schema.fields[1 + len(order) :]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(order))), *values], names=schema.names)
+
+    return requests.select(*fields).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def latest_only(spark, slot: str, plan: Callable[[], object]):
     """Run a plan as the only one of its slot: what the slot still runs, in any thread, is cancelled first.
 
