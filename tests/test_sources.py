@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.functions.filters import butter_highpass, sosfilt
 from tracewell.model import PreprocConfig
@@ -436,3 +437,59 @@ def test_streams_that_cannot_be_preprocessed(spark):
         live.live_preprocessed(frame, rows, PreprocConfig(1000.0, highpass=False), 1.0)
     with pytest.raises(ValueError, match="deviation"):
         live.live_preprocessed(frame, rows, PreprocConfig(1000.0, spatial="destripe"), 1.0)
+
+
+@pytest.fixture
+def many(tmp_path, x):
+    """Two raw recordings and a compressed one in folders of their own, each with its side-car files."""
+    whole = {}
+    for name, part in (("a", x[:600]), ("b", x[600:]), ("c", x)):
+        folder = tmp_path / "recordings" / name
+        folder.mkdir(parents=True)
+        (folder / "r.ap.meta").write_text(META.format(size=part.size * 2))
+        path = str(folder / ("r.ap.cbin" if name == "c" else "r.ap.bin"))
+        part.tofile(path) if name != "c" else write_cbin(part, path, 300)
+        whole[path] = part
+    return whole
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_many_recordings_are_one_table(spark, tmp_path, many, scheme):
+    recording.register(spark)
+    table = spark.read.format("tracewell_recordings").options(samples_per_task=250).load(f"{scheme}{tmp_path}/recordings/*/r.ap.*")
+    scale = sidecar.find_meta(next(iter(many))).uv_per_bit
+    got = {}
+    for r in table.collect():
+        got.setdefault(r.recording, {})[r.t, r.ch] = r.uv
+    assert set(got) == {scheme + p for p in many}
+    for path, part in many.items():
+        assert len(got[scheme + path]) == len(part) * 3 and all(abs(part[t, c] * scale - v) < 1e-9 for (t, c), v in got[scheme + path].items())
+    tile = spark.read.format("tracewell_recordings").options(samples_per_task=250, form="tile", halo=10).load(f"{scheme}{tmp_path}/recordings/*/r.ap.*")
+    assert tile.columns == ["recording", "tile_id", "t0", "n", "x", "left", "right"] and tile.agg({"n": "sum"}).first()[0] == 2000
+
+
+def test_limits_on_recordings_leave_out_files(spark, tmp_path, many):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In
+
+    pattern = f"{tmp_path}/recordings/?/r.ap.*bin"
+    a, b, c = many
+    r = recording.RecordingsReader({"path": pattern, "samples_per_task": "250"})
+    assert not list(r.pushFilters([In(("recording",), (a, c)), GreaterThanOrEqual(("t",), 500)]))
+    assert {(s.recording, s.first, s.last) for s in r.partitions()} == {(a, 500, 600), (c, 500, 600), (c, 600, 900), (c, 900, 1000)}
+    r = recording.RecordingsReader({"path": pattern})
+    assert len(list(r.pushFilters([EqualTo(("recording",), b), EqualTo(("ch",), 1)]))) == 1 and {s.recording for s in r.partitions()} == {b}
+    open(a, "wb").close()  # neither is read now
+    recording.register(spark)
+    assert spark.read.format("tracewell_recordings").load(pattern).where(F.col("recording") == b).count() == 1200
+    nothing = spark.read.format("tracewell_recordings").load(f"{tmp_path}/recordings/z*/r.bin")
+    assert nothing.count() == 0 and nothing.columns == ["recording", "ch", "t", "uv"]
+
+
+def test_side_cars_by_uri(spark, tmp_path, x):
+    data = open_ephys(tmp_path)
+    x.tofile(str(data / "continuous.dat"))
+    path = f"file://{data}/continuous.dat"
+    assert sidecar.find_meta(path) == sidecar.find_meta(str(data / "continuous.dat"))
+    assert np.allclose(values(recording.open_recording(spark, path), rows=4), x * 0.195)
+    with pytest.raises(FileNotFoundError):
+        sidecar.find_meta("mock:///nowhere/a.bin")

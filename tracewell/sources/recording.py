@@ -21,6 +21,7 @@ import itertools
 import json
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -32,9 +33,11 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
     Filter,
     GreaterThan,
     GreaterThanOrEqual,
+    In,
     InputPartition,
     LessThan,
     LessThanOrEqual,
@@ -42,6 +45,7 @@ from pyspark.sql.datasource import (
 )
 
 from tracewell.session import materialize
+from tracewell.sources.files import find, open_binary
 
 LONG = "ch int, t long, uv double"
 TILE = "t0 long, n int, x binary"
@@ -135,16 +139,6 @@ class RawReader(_Reader):
         return x
 
 
-def open_binary(path: str):
-    """A file to seek and read in: a local path, or a URI of a store that Arrow can open."""
-    if "://" not in path or path.startswith("file://"):
-        return open(path.removeprefix("file://"), "rb")
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_file(inner)
-
-
 def read_header(path: str) -> dict:
     """The .ch file beside a .cbin file."""
     with open_binary(path[: -len(".cbin")] + ".ch") as f:
@@ -316,22 +310,94 @@ class CbinSource(_Source):
         return "tracewell_cbin"
 
 
+@dataclass
+class RecordingSpan(InputPartition):
+    """Samples [first, last) of one of many recordings, and what its side-car files say about it."""
+
+    recording: str
+    options: dict
+    first: int
+    last: int
+
+
+class RecordingsReader(DataSourceReader):
+    """Many recordings, raw or compressed, as one table with the column `recording`, the file's path.
+
+    Recordings and their lengths are known when the table is planned: their side-car files are read, by the file
+    system that the paths are of. Limits on `recording` and `t` leave out files and samples before anything is read.
+    """
+
+    def __init__(self, options: dict):
+        self.options = {k: v for k, v in options.items() if k != "path"}
+        self.paths = sorted(p for pattern in options["path"].split(",") for p in find(pattern.strip()) if p.endswith((".bin", ".dat", ".cbin")))
+        self.limits: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = getattr(f, "attribute", None)
+            if name == ("recording",) and isinstance(f, EqualTo | In):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.paths = [p for p in self.paths if p in wanted]
+            elif name == ("t",) and isinstance(f, GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and self.options.get("form", "long") == "long":
+                self.limits.append(f)
+            else:
+                yield f
+
+    def _planned(self, path: str) -> list[RecordingSpan]:
+        options = recording_options(path) | self.options
+        reader = reader_of(path, options)
+        for _ in reader.pushFilters(self.limits):
+            pass
+        options |= {"first": reader.first, "n": max(0, reader.last - reader.first)}
+        return [RecordingSpan(path, options, s.first, s.last) for s in reader.partitions() if s.last > s.first]
+
+    def partitions(self) -> list[RecordingSpan]:
+        with ThreadPoolExecutor(16) as pool:
+            return [s for spans in pool.map(self._planned, self.paths) for s in spans] or [RecordingSpan("", {}, 0, 0)]
+
+    def read(self, span: RecordingSpan) -> Iterator[pa.RecordBatch]:
+        if not span.recording:
+            return
+        for batch in reader_of(span.recording, span.options).read(Span(span.first, span.last)):
+            name = pa.array([span.recording] * batch.num_rows)
+            yield pa.RecordBatch.from_arrays([name, *batch.columns], names=["recording", *batch.schema.names])
+
+
+class RecordingsSource(_Source):
+    @classmethod
+    def name(cls) -> str:
+        return "tracewell_recordings"
+
+    def schema(self) -> str:
+        return "recording string, " + super().schema()
+
+    def reader(self, schema) -> RecordingsReader:
+        return RecordingsReader(dict(self.options))
+
+
+def recording_options(path: str) -> dict:
+    """What the readers need to know of a recording, from its side-car files."""
+    from tracewell.sources.sidecar import find_meta
+
+    meta = find_meta(path)
+    known = {"channels": meta.n_saved_chans, "signal_channels": meta.n_chans, "n_samples": meta.n_samples, "uv_per_bit": meta.uv_per_bit}
+    if path.endswith(".cbin"):
+        known["n_samples"] = min(meta.n_samples, read_header(path)["chunk_bounds"][-1])
+    return known
+
+
 def register(spark: SparkSession) -> None:
-    """Make both formats known to a session, and let limits on t reach their readers."""
+    """Make the formats known to a session, and let limits on t reach their readers."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawSource)
     spark.dataSource.register(CbinSource)
+    spark.dataSource.register(RecordingsSource)
 
 
 def open_recording(spark: SparkSession, path: str, first: int = 0, n: int | None = None, **options) -> DataFrame:
     """(ch, t, uv) of a window of a recording, raw or compressed, scaled by its side-car files."""
-    from tracewell.sources.sidecar import find_meta
-
     register(spark)
-    meta = find_meta(path)
-    known = {"channels": meta.n_saved_chans, "signal_channels": meta.n_chans, "n_samples": meta.n_samples, "uv_per_bit": meta.uv_per_bit, "first": first} | options
+    known = recording_options(path) | {"first": first} | options
     if n is not None:
         known["n"] = n
-    if path.endswith(".cbin"):
-        known["n_samples"] = min(meta.n_samples, read_header(path)["chunk_bounds"][-1])
     return spark.read.format("tracewell_cbin" if path.endswith(".cbin") else "tracewell_raw").options(**{k: str(v) for k, v in known.items()}).load(path)

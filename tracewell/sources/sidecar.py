@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.model import Channel, Meta
+from tracewell.sources.files import file_size, folders_above, is_file, read_text
 
 # What a .meta file means where it is silent.
 META_DEFAULTS = {"imAiRangeMax": 0.6, "imChan0apGain": 500.0, "imChan0lfGain": 250.0, "imMaxInt": 512.0, "imDatPrb_type": 0}
@@ -131,11 +132,6 @@ def fill_positions(known: DataFrame, n_chans: int, probe: tuple[str, ...] = ())
 # --- the recording that is opened, on the driver ---
 
 
-def _read(path: str) -> str:
-    with open(path, encoding="utf-8", errors="replace") as f:
-        return f.read()
-
-
 def _float(text: str | None, default: float) -> float:
     try:
         return float(text.strip())
@@ -153,7 +149,7 @@ def geometry_of_map(text: str | None, n: int) -> tuple[Channel, ...]:
 
 def read_meta(path: str) -> Meta:
     """A SpikeGLX .meta file."""
-    pairs = dict(line.rstrip("\r").split("=", 1) for line in _read(path).split("\n") if "=" in line)
+    pairs = dict(line.rstrip("\r").split("=", 1) for line in read_text(path).split("\n") if "=" in line)
     try:
         saved, rate, size = int(pairs["nSavedChans"]), float(pairs["imSampRate"]), int(pairs["fileSizeBytes"])
     except (KeyError, ValueError) as e:
@@ -208,20 +204,17 @@ def geometry_of_settings(xml: str, processor: int, n: int) -> tuple[tuple[Channe
 
 def find_open_ephys(path: str) -> tuple[str, str] | None:
     """The nearest structure.oebin above a data file, and the first settings.xml at or above it."""
-    folder = os.path.dirname(os.path.abspath(path))
-    above = [folder]
-    while os.path.dirname(above[-1]) != above[-1]:
-        above.append(os.path.dirname(above[-1]))
+    above = folders_above(path)
     for k, d in enumerate(above):
-        if os.path.isfile(f"{d}/structure.oebin"):
-            settings = next((f"{s}/settings.xml" for s in above[k:] if os.path.isfile(f"{s}/settings.xml")), None)
+        if is_file(f"{d}/structure.oebin"):
+            settings = next((f"{s}/settings.xml" for s in above[k:] if is_file(f"{s}/settings.xml")), None)
             return (f"{d}/structure.oebin", settings) if settings else None
     return None
 
 
 def read_open_ephys(path: str, oebin: str, settings: str) -> Meta:
-    folder = os.path.basename(os.path.dirname(os.path.abspath(path)))
-    streams = json.loads(_read(oebin)).get("continuous", [])
+    folder = folders_above(path)[0].rpartition("/")[2]
+    streams = json.loads(read_text(oebin)).get("continuous", [])
     stream = next((s for s in streams if s.get("folder_name", "").rstrip("/") == folder), None)
     if stream is None:
         raise ValueError(f"{oebin}: no stream of folder {folder}")
@@ -232,18 +225,18 @@ def read_open_ephys(path: str, oebin: str, settings: str) -> Meta:
         raise ValueError(f"{oebin}: stream {folder} lacks {e}") from e
     if not volts or any(abs(v - volts[0]) > 1e-6 for v in volts):
         raise ValueError(f"{oebin}: channels of different or no bit_volts")
-    channels, kind = geometry_of_settings(_read(settings), int(stream.get("source_processor_id", 0)), n)
+    channels, kind = geometry_of_settings(read_text(settings), int(stream.get("source_processor_id", 0)), n)
     if path.endswith(".cbin"):  # the compressed size says nothing about samples
-        samples = int(json.loads(_read(path[: -len(".cbin")] + ".ch"))["chunk_bounds"][-1])
+        samples = int(json.loads(read_text(path[: -len(".cbin")] + ".ch"))["chunk_bounds"][-1])
     else:
-        samples = os.path.getsize(path) // (n * 2)
+        samples = file_size(path) // (n * 2)
     return Meta(n, n, rate, samples, volts[0], kind, channels)
 
 
 def find_meta(path: str) -> Meta:
     """The metadata of a data file: a .meta beside it, else Open Ephys files above it."""
     beside = os.path.splitext(path)[0] + ".meta"
-    if os.path.isfile(beside):
+    if is_file(beside):
         return read_meta(beside)
     found = find_open_ephys(path)
     if found is None:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracewell.functions.filters import butter_highpass, sosfilt_from
 from tracewell.model import AGC_EPSILON, FILTER_ORDER, PreprocConfig
 from tracewell.operators.tiles import RowModel, halo_of, spatial, temporal, unpack
+from tracewell.sources.files import file_size
 from tracewell.sources.recording import RawReader, RawSource, Span
 
 
@@ -26,16 +27,13 @@ class RawStreamReader(DataSourceStreamReader):
     """
 
     def __init__(self, options: dict):
-        import os
-
-        self.os = os
         self.reader = RawReader({"n_samples": 1 << 62} | options)
 
     def initialOffset(self) -> dict:
         return {"sample": self.reader.first}
 
     def latestOffset(self) -> dict:
-        there = self.os.path.getsize(self.reader.path) // (2 * self.reader.channels)
+        there = file_size(self.reader.path) // (2 * self.reader.channels)
         return {"sample": max(self.reader.first, there)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
