@@ -25,6 +25,30 @@ TRACE = "trace AS MATERIALIZED (SELECT r.shank, r.data_idx AS row_idx, t, uv FRO
 TRACE_AVG = "trace AS MATERIALIZED (SELECT r.shank, r.data_idx AS row_idx, t, avg(uv) AS uv FROM samples JOIN (SELECT *, unnest(channels) AS c FROM avgd) r ON r.c = samples.ch GROUP BY ALL)"
 
 
+#: The same for many probes, made of suppliers.
+PROBES = """geom AS (
+  SELECT CAST(k // 20 AS INT) AS probe, CAST(s * 19 AS INT) AS ch, 32e0 * ((s % 10) % 2) + 250e0 * (s // 10) AS x_um,
+    (20e0 + 5 * (k // 20 % 3)) * ((s % 10) // 2) + CASE WHEN s // 10 = 0 AND s % 10 >= 6 THEN 100e0 ELSE 0e0 END AS y_um, CAST(s // 10 AS INT) AS shank
+  FROM (SELECT s_suppkey AS k, s_suppkey % 20 AS s FROM supplier))"""
+PRAW = """raw AS (
+  SELECT probe, CAST(row_number() OVER (PARTITION BY probe ORDER BY shank, y_um, ch) - 1 AS INT) AS data_idx, [ch] AS channels, ch AS first_ch, x_um, y_um, shank FROM geom)"""
+PAVG = """avgd AS (
+  SELECT probe, CAST(row_number() OVER (PARTITION BY probe ORDER BY shank, y_um) - 1 AS INT) AS data_idx, list(ch ORDER BY ch) AS channels, min(ch) AS first_ch, arg_min(x_um, ch) AS x_um, y_um, shank
+  FROM geom GROUP BY probe, shank, y_um)"""
+PITCH = """pitch AS (SELECT probe, shank, coalesce(min(d), 20e0) AS pitch_um FROM (
+  SELECT probe, shank, y - lag(y) OVER (PARTITION BY probe, shank ORDER BY y) AS d FROM (SELECT DISTINCT probe, shank, y_um AS y FROM geom)) GROUP BY probe, shank)"""
+
+
+def probe_display(source: str, name: str = "display") -> str:
+    """Rows of each probe with gap and boundary markers."""
+    return f"""{name} AS (
+  SELECT probe, CAST(row_number() OVER (PARTITION BY probe ORDER BY o, p) - 1 AS INT) AS disp_idx, kind, data_idx, channels, first_ch, x_um, y_um, shank FROM (
+    SELECT probe, data_idx AS o, 1 AS p, 'data' AS kind, data_idx, channels, first_ch, x_um, y_um, shank FROM {source}
+    UNION ALL SELECT probe, data_idx, 0, kind, NULL, NULL, NULL, NULL, NULL, NULL FROM (
+      SELECT r.probe, data_idx, CASE WHEN lag(r.shank) OVER w <> r.shank THEN 'boundary' WHEN y_um - lag(y_um) OVER w > 1.5 * pitch_um THEN 'gap' END AS kind
+      FROM {source} r JOIN pitch q ON q.probe = r.probe AND q.shank = r.shank WINDOW w AS (PARTITION BY r.probe ORDER BY data_idx)) WHERE kind IS NOT NULL))"""
+
+
 def display(source: str, name: str = "display") -> str:
     """Rows with gap and boundary markers."""
     return f"""{name} AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell import fixtures_rec as rec
@@ -50,8 +50,25 @@ def avg_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- geometry ---
 
 
+def _probes(spark, sf_dir) -> DataFrame:
+    """Probes of twenty channels made of all suppliers: like the small recording's, with three pitches; the first and last are not full."""
+    k = F.col("s_suppkey")
+    s, probe = (k % 20).cast("int"), F.expr("CAST(s_suppkey DIV 20 AS INT)")
+    shank, i = F.floor(s / 10).cast("int"), s % 10
+    y = (20.0 + 5.0 * (probe % 3)) * F.floor(i / 2) + F.when((shank == 0) & (i >= 6), 100.0).otherwise(0.0)
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return table.select(probe.alias("probe"), (s * 19).alias("ch"), (32.0 * (i % 2) + 250.0 * shank).alias("x_um"), y.alias("y_um"), shank.alias("shank"))
+
+
+PROBE = ("probe",)
+
+
+def _probe_rows(spark, sf_dir, avg: bool) -> DataFrame:
+    return geometry.display_rows(_probes(spark, sf_dir), avg, PROBE)
+
+
 def q_pitch(spark, sf_dir):
-    return geometry.pitch_per_shank(rec.channels(spark))
+    return geometry.pitch_per_shank(_probes(spark, sf_dir), PROBE)
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -59,21 +76,21 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 
 def q_display_avg(spark, sf_dir):
-    return _flat(geometry.depth_groups(rec.channels(spark), True))
+    return _flat(geometry.depth_groups(_probes(spark, sf_dir), True, PROBE))
 
 
 def q_display_raw(spark, sf_dir):
-    return _flat(geometry.depth_groups(rec.channels(spark), False))
+    return _flat(geometry.depth_groups(_probes(spark, sf_dir), False, PROBE))
 
 
 def q_display_gaps(spark, sf_dir):
-    return _flat(raw_rows(spark))
+    return _flat(_probe_rows(spark, sf_dir, False))
 
 
 def q_channel_range(spark, sf_dir):
-    rows = raw_rows(spark)
+    rows = _probe_rows(spark, sf_dir, False)
     spans = [(0, 400, False), (50, 200, False), (100, 60, True), (500, 600, False)]
-    found = [geometry.channel_range(rows, lo, hi, clamp).withColumn("lo", F.lit(lo)).withColumn("hi", F.lit(hi)) for lo, hi, clamp in spans]
+    found = [geometry.channel_range(rows, lo, hi, clamp, PROBE).withColumn("lo", F.lit(lo)).withColumn("hi", F.lit(hi)) for lo, hi, clamp in spans]
     whole = found[0]
     for f in found[1:]:
         whole = whole.unionByName(f)
@@ -81,15 +98,15 @@ def q_channel_range(spark, sf_dir):
 
 
 def q_row_of_channel(spark, sf_dir):
-    return geometry.row_of_channel(avg_rows(spark))
+    return geometry.row_of_channel(_probe_rows(spark, sf_dir, True), PROBE)
 
 
 def q_channel_at_y(spark, sf_dir):
-    return geometry.channel_at_y(raw_rows(spark), 40)
+    return geometry.channel_at_y(_probe_rows(spark, sf_dir, False), 40, PROBE)
 
 
 def q_depth_delta(spark, sf_dir):
-    return geometry.depth_delta(rec.channels(spark))
+    return geometry.depth_delta(_probes(spark, sf_dir), PROBE)
 
 
 def q_shank_cluster(spark, sf_dir):
@@ -429,6 +446,53 @@ def q_oebin(spark, sf_dir):
     return sidecar.parse_oebin(s.select(F.concat(F.lit("f"), k).alias("path"), text.alias("content"))).select("path", "folder", "sample_rate", "n_chans", "processor", "uv_per_bit")
 
 
+def q_settings(spark, sf_dir):
+    """settings.xml texts made of all customers, one for each nation: two processors, probes in an editor or not, a
+    position for every third of sixty channels."""
+    t, k, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey"), F.col("c_nationkey")
+    ch = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    sites = t.select("c_nationkey", ch.alias("ch"), ((k % 2) * 32 + 250 * F.floor(ch / 20)).cast("int").alias("x"), (k % 977).alias("y")).where("ch < 60")
+    attribute = lambda v: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ch") % 3 == 1, F.struct("ch", v)))), lambda s: F.concat(F.lit(" CH"), s["ch"], F.lit('="'), s[v], F.lit('"'))), "")
+    made = sites.groupBy("c_nationkey").agg(attribute("x").alias("x"), attribute("y").alias("y"))
+    part = F.when(n % 3 == 0, "PRB2_4_2_0640_0").when(n % 3 == 1, "NP2013").otherwise("NP1010")
+    probe = F.concat(F.lit('<NP_PROBE probe_part_number="'), part, F.lit('"><ELECTRODE_XPOS note="a"'), "x", F.lit("/><ELECTRODE_YPOS"), "y", F.lit("/></NP_PROBE><NP_PROBE/>"))
+    held = F.when(n % 2 == 0, F.concat(F.lit("<EDITOR>"), probe, F.lit("</EDITOR>"))).otherwise(probe)
+    text = F.concat(F.lit('<?xml version="1.0"?><SETTINGS><INFO/><SIGNALCHAIN><PROCESSOR NodeId="5"/><PROCESSOR NodeId="'), n + 100, F.lit('">'), held, F.lit("</PROCESSOR></SIGNALCHAIN></SETTINGS>"))
+    parsed = sidecar.parse_settings(made.select(F.concat(F.lit("f"), n.cast("string")).alias("path"), text.alias("content")), 60)
+    return sidecar.settings_channels(parsed, 60).join(parsed.select("path", "processor", "probe_type"), ["path", "processor"])
+
+
+def q_stim_layouts(spark, sf_dir):
+    """A stimulus file for every customer, in the folder of the nation: layouts beside the files, a default one, and errors as rows."""
+    t, k, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey"), F.col("c_nationkey")
+    text = F.concat(F.lit("h1\nh2\n"), k, F.lit(".5,"), k % 7, F.lit(",x\n\n"), k, F.lit(", 1e1 ,y\r\n"))
+    files = t.select(F.concat(F.lit("d"), n, F.lit("/c"), k, F.lit(".csv")).alias("path"), text.alias("text"))
+    case = n % 5
+    layout = F.when(case == 0, "h\nh\no,x,x\n").when(case == 1, "h\n\nh\nx, O ,x").when(case == 3, "a\nb\n").otherwise("h\nh\nx,x,x,o\n")
+    beside = t.where(case != 2).select(F.concat(F.lit("d"), n, F.lit("/stims_file_layout.csv")).alias("path"), layout.alias("text")).distinct()
+    default = spark.createDataFrame([("config/default.csv", "h\nh\no,o\n")], "path string, text string")
+    resolved = stimuli.resolved_layouts(files, stimuli.layouts_of(beside), stimuli.layouts_of(default))
+    return stimuli.stims_by_layout(files, resolved)
+
+
+def q_scan_recordings(spark, sf_dir):
+    """Three recordings with side-car files as one table: the first and the second half of the small one, raw and compressed, and all of it."""
+    n, folder = rec.n_samples(spark, sf_dir), os.path.dirname(_file(spark, "x"))
+    recording.register(spark)
+    half, made = n // 2, _tiles(spark, sf_dir, 160)
+    second = made.where(F.col("t0") >= half).withColumn("t0", F.col("t0") - half)
+    for name, part, size in (("a", made.where(F.col("t0") < half), half), ("b", second, n - half), ("c", made, n)):
+        os.makedirs(f"{folder}/{name}")
+        with open(f"{folder}/{name}/r.ap.meta", "w") as f:
+            f.write(f"nSavedChans=21\nimSampRate=1000\nfileSizeBytes={size * 42}\nsnsApLfSy=20,0,1\nimAiRangeMax=0.512\nimMaxInt=512\nimChan0apGain=100000\n")
+        if name == "b":
+            recording.write_cbin(part, f"{folder}/{name}/r.ap.cbin", 21, 64)
+        else:
+            part.write.format("tracewell_raw").mode("append").options(path=f"{folder}/{name}/r.ap.bin", channels=21, n_samples=size, fill=64).save()
+    table = spark.read.format("tracewell_recordings").options(samples_per_task=300).load(f"{folder}/*/r.ap.*")
+    return table.where("t >= 100").select(F.regexp_extract("recording", "/([a-c])/r", 1).alias("recording"), "ch", "t", r4("uv").alias("uv"))
+
+
 def q_oe_geometry(spark, sf_dir):
     """Probes of a hundred channels made of all customers. Every third channel has a position; the others, whose
     positions are null, take the nearest one's."""
@@ -622,6 +686,9 @@ QUERIES = {
     "oe_geometry": q_oe_geometry,
     "decode_text": q_decode_text,
     "stim_load": q_stim_load,
+    "stim_layouts": q_stim_layouts,
+    "settings_geometry": q_settings,
+    "scan_recordings": q_scan_recordings,
     "scan_window": q_scan_window,
     "scan_short": q_scan_short,
     "pipeline_tiles_file": q_tiles_file,
@@ -687,19 +754,19 @@ def _extension_sql(read: tuple[int, int], keep: tuple[int, int], old: tuple[int,
 _SUPPLIER = "SELECT 'f' || s_suppkey AS path, s_suppkey AS k, CASE WHEN s_suppkey % 3 <> 0 THEN 3 ELSE s_suppkey % 5 + 3 END AS n FROM supplier"
 
 SQL = {
-    "pitch_per_shank": "SELECT CAST(shank AS INT) AS shank, 20e0 AS pitch_um FROM range(2) r(shank)",
-    "display_rows_avg": sql.with_([sql.GEOM, sql.AVG], f"SELECT * REPLACE ({_FLAT}) FROM avgd".replace("AS channels)", "AS channels)")),
-    "display_rows_raw": sql.with_([sql.GEOM, sql.RAW], f"SELECT * REPLACE ({_FLAT}) FROM raw"),
-    "display_rows_gaps": sql.with_([sql.GEOM, sql.RAW, sql.display("raw")], f"SELECT * REPLACE ({_FLAT}) FROM display"),
+    "pitch_per_shank": sql.with_([sql.PROBES, sql.PITCH], "SELECT * FROM pitch"),
+    "display_rows_avg": sql.with_([sql.PROBES, sql.PAVG], f"SELECT * REPLACE ({_FLAT}) FROM avgd"),
+    "display_rows_raw": sql.with_([sql.PROBES, sql.PRAW], f"SELECT * REPLACE ({_FLAT}) FROM raw"),
+    "display_rows_gaps": sql.with_([sql.PROBES, sql.PRAW, sql.PITCH, sql.probe_display("raw")], f"SELECT * REPLACE ({_FLAT}) FROM display"),
     "channel_range": sql.with_(
-        [sql.GEOM, sql.RAW, sql.display("raw")],
-        """SELECT lo, hi, coalesce(min(disp_idx) FILTER (first_ch >= lo), 0) AS first_idx,
+        [sql.PROBES, sql.PRAW, sql.PITCH, sql.probe_display("raw")],
+        """SELECT probe, lo, hi, coalesce(min(disp_idx) FILTER (first_ch >= lo), 0) AS first_idx,
   CASE WHEN lo = 100 THEN greatest(coalesce(max(disp_idx) FILTER (first_ch <= hi), max(disp_idx)), coalesce(min(disp_idx) FILTER (first_ch >= lo), 0)) ELSE coalesce(max(disp_idx) FILTER (first_ch <= hi), max(disp_idx)) END AS last_idx
-FROM display, (VALUES (0, 400), (50, 200), (100, 60), (500, 600)) v(lo, hi) GROUP BY lo, hi""",
+FROM display, (VALUES (0, 400), (50, 200), (100, 60), (500, 600)) v(lo, hi) GROUP BY probe, lo, hi""",
     ),
-    "row_of_channel": sql.with_([sql.GEOM, sql.AVG, sql.display("avgd")], "SELECT unnest(channels) + 1 AS channel, disp_idx, data_idx FROM display WHERE kind = 'data'"),
-    "channel_at_y": sql.with_([sql.GEOM, sql.RAW, sql.display("raw")], "SELECT CAST(py AS INT) AS py, first_ch + 1 AS channel FROM range(40) r(py) JOIN (SELECT *, count(*) OVER () AS n FROM display) d ON d.disp_idx = n - 1 - (py * n) // 40"),
-    "depth_delta": sql.with_([sql.GEOM], "SELECT a.ch AS ch1, b.ch AS ch2, abs(a.y_um - b.y_um) AS delta_um FROM geom a JOIN geom b ON a.ch < b.ch"),
+    "row_of_channel": sql.with_([sql.PROBES, sql.PAVG, sql.PITCH, sql.probe_display("avgd")], "SELECT probe, unnest(channels) + 1 AS channel, disp_idx, data_idx FROM display WHERE kind = 'data'"),
+    "channel_at_y": sql.with_([sql.PROBES, sql.PRAW, sql.PITCH, sql.probe_display("raw")], "SELECT probe, CAST(py AS INT) AS py, first_ch + 1 AS channel FROM range(40) r(py) JOIN (SELECT *, count(*) OVER (PARTITION BY probe) AS n FROM display) d ON d.disp_idx = greatest(n - 1 - (py * n) // 40, 0)"),
+    "depth_delta": sql.with_([sql.PROBES], "SELECT a.probe, a.ch AS ch1, b.ch AS ch2, abs(a.y_um - b.y_um) AS delta_um FROM geom a JOIN geom b ON a.probe = b.probe AND a.ch < b.ch"),
     "shank_cluster": "SELECT CAST(s_suppkey AS BIGINT) AS ch, (s_suppkey % 7) * 60e0 AS x_um, CAST((s_suppkey % 7) // 2 AS INT) AS shank FROM supplier",
     "depth_average": sql.with_(_BASE_AVG, sql.OUT + "trace"),
     "dc_removal": sql.with_([*_BASE, sql.dc("trace", "a")], sql.OUT + "a"),
@@ -804,6 +871,22 @@ FROM (SELECT DISTINCT probe FROM c) p CROSS JOIN range(100) r(ch) LEFT JOIN c ON
     "stim_load": """WITH n AS (SELECT n_nationkey AS k FROM nation)
 SELECT 'f' || k AS path, CAST(i AS BIGINT) AS stim_idx, CASE i WHEN 0 THEN k + 0.5e0 WHEN 1 THEN 100e0 WHEN 2 THEN CAST(k AS DOUBLE) ELSE 0.25e0 END AS onset_s FROM n, range(4) r(i) WHERE k % 2 = 0
 UNION ALL SELECT 'f' || k, CAST(i AS BIGINT), CASE WHEN i % 2 = 0 THEN CAST(k AS DOUBLE) WHEN i = 1 THEN 7e0 ELSE 8e0 END FROM n, range(4) r(i) WHERE k % 2 = 1""",
+    "stim_layouts": """SELECT path, stim_idx, onset_s, error FROM (
+  SELECT 'd' || n || '/c' || k || '.csv' AS path, CAST(i AS BIGINT) AS stim_idx, NULL::VARCHAR AS error,
+    CASE n % 5 WHEN 0 THEN CASE i WHEN 0 THEN k + 0.5e0 ELSE k + 0e0 END WHEN 1 THEN CASE i WHEN 0 THEN k % 7 + 0e0 ELSE 10e0 END
+      ELSE CASE i WHEN 0 THEN k + 0.5e0 WHEN 1 THEN k % 7 + 0e0 WHEN 2 THEN k + 0e0 ELSE 10e0 END END AS onset_s
+  FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer), range(4) r(i) WHERE n % 5 < 3 AND (n % 5 = 2 OR i < 2)
+  UNION ALL SELECT 'd' || c_nationkey || '/c' || c_custkey || '.csv', NULL, CASE c_nationkey % 5 WHEN 3 THEN 'the layout marks no onset column' ELSE 'row 3 has 3 columns, column 4 is marked as onset' END, NULL
+  FROM customer WHERE c_nationkey % 5 > 2)""",
+    "settings_geometry": """WITH c AS (SELECT c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS c, c_custkey AS k FROM customer),
+s AS (SELECT n, c, (k % 2) * 32 + 250 * (c // 20) AS x, k % 977 AS y FROM c WHERE c < 60 AND c % 3 = 1),
+p AS (SELECT n, ch, coalesce(arg_min(x, abs(c - ch) * 1000 + c), 0) AS x, coalesce(arg_min(y, abs(c - ch) * 1000 + c), 0) AS y FROM (SELECT DISTINCT n FROM c) CROSS JOIN range(60) r(ch) LEFT JOIN s USING (n) GROUP BY n, ch),
+b AS (SELECT n, c // 20 AS b, min(x) AS x0 FROM s GROUP BY ALL)
+SELECT 'f' || n AS path, CAST(n + 100 AS VARCHAR) AS processor, CASE WHEN n % 3 = 2 THEN 0 ELSE 21 END AS probe_type, CAST(ch AS INT) AS ch, x + 0e0 AS x_um, y + 0e0 AS y_um,
+  CAST(greatest((SELECT count(*) FROM b WHERE b.n = p.n AND b.x0 <= p.x + 0.5) - 1, 0) AS INT) AS shank
+FROM p""",
+    "scan_recordings": f"""WITH f AS (SELECT * FROM ({_FILE})), h AS (SELECT (max(vec_id // 20) + 1) * 32 AS half FROM embeddings)
+SELECT 'a' AS recording, ch, t, uv FROM f, h WHERE t < half AND t >= 100 UNION ALL SELECT 'b', ch, t - half, uv FROM f, h WHERE t >= half + 100 UNION ALL SELECT 'c', ch, t, uv FROM f WHERE t >= 100""",
     "scan_window": f"SELECT * FROM ({_FILE}) WHERE t >= 100 AND t < 1100",
     "scan_short": f"SELECT ch, t, CASE WHEN t < (SELECT (max(vec_id // 20) + 1) * 48 FROM embeddings) THEN uv ELSE 0e0 END AS uv FROM ({_FILE})",
     "pipeline_tiles_file": sql.with_([*_BASE_AVG[:2], _FILED, sql.TRACE_AVG, sql.dc("trace", "a"), sql.hp("a", "b"), sql.cmr("b", "c")], sql.OUT + "c"),

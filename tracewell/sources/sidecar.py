@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.model import Channel, Meta
+from tracewell.operators.geometry import anchored_starts
 from tracewell.sources.files import file_size, folders_above, is_file, read_text
 
 # What a .meta file means where it is silent.
@@ -118,6 +119,37 @@ def parse_oebin(files: DataFrame) -> DataFrame:
     )
 
 
+def parse_settings(files: DataFrame, n_chans: int) -> DataFrame:
+    """(path, processor, probe_type, xs, ys) of settings.xml texts (path, content): the first probe of each processor.
+
+    A probe is an element of its processor, or of that one's EDITOR. `xs` and `ys` are the positions of channels
+    0 .. n_chans - 1, null where the attribute CH<n> is missing. Of processors with one id the first counts; a text that is no XML gives no rows.
+    """
+    sites = "struct<" + ",".join(f"_CH{i}:double" for i in range(n_chans)) + ">"
+    probes = f"array<struct<_probe_part_number:string,ELECTRODE_XPOS:{sites},ELECTRODE_YPOS:{sites}>>"
+    processors = f"array<struct<_NodeId:string,NP_PROBE:{probes},EDITOR:struct<NP_PROBE:{probes}>>>"
+    root = F.from_xml("content", f"PROCESSOR {processors}, SIGNALCHAIN array<struct<PROCESSOR:{processors}>>")
+    none = F.array().cast(processors)
+    inner = F.flatten(F.transform(root["SIGNALCHAIN"], lambda c: F.coalesce(c["PROCESSOR"], none)))
+    each = files.select("path", F.posexplode(F.concat(F.coalesce(root["PROCESSOR"], none), F.coalesce(inner, none))).alias("at", "p"))
+    probe = F.get(F.coalesce(F.col("p.NP_PROBE"), F.col("p.EDITOR.NP_PROBE")), F.lit(0))
+    one = each.where("p._NodeId IS NOT NULL").groupBy("path", F.col("p._NodeId").alias("processor")).agg(F.min_by(probe, "at").alias("b")).where("b IS NOT NULL")
+    positions = lambda side: F.array(*[F.col(f"b.{side}._CH{i}") for i in range(n_chans)])
+    part = F.coalesce(F.col("b._probe_part_number"), F.lit(""))
+    kind = F.when(part.startswith(NP2_PREFIX) | part.contains(NP2_PART), NP2_TYPE).otherwise(0)
+    return one.select("path", "processor", kind.alias("probe_type"), positions("ELECTRODE_XPOS").alias("xs"), positions("ELECTRODE_YPOS").alias("ys"))
+
+
+def settings_channels(probes: DataFrame, n_chans: int) -> DataFrame:
+    """(path, processor, ch, x_um, y_um, shank) of the probes of `parse_settings`: channels without a position take the nearest one's."""
+    probe = ("path", "processor")
+    known = probes.select(*probe, "ys", F.posexplode("xs").alias("ch", "x_um")).select(*probe, "ch", "x_um", F.get("ys", F.col("ch")).alias("y_um"))
+    columns = F.sort_array(F.array_distinct(F.filter("xs", lambda x: x.isNotNull())))
+    starts = probes.select(*probe, anchored_starts(anchored_starts(columns, SAME_COLUMN_UM, True), SHANK_GAP_UM, False).alias("starts"))
+    shank = F.greatest(F.size(F.filter("starts", lambda s: s <= F.col("x_um") + COLUMN_SLACK_UM)) - 1, F.lit(0))
+    return fill_positions(known, n_chans, probe).join(starts, list(probe)).select(*probe, "ch", "x_um", "y_um", shank.cast("int").alias("shank"))
+
+
 def fill_positions(known: DataFrame, n_chans: int, probe: tuple[str, ...] = ()) -> DataFrame:
     """(*probe, ch, x_um, y_um) for channels 0 .. n-1 of each probe from those with a position: else that of the
     nearest channel that has one, the lower of two equally near, else (0, 0). A null coordinate is no position."""
