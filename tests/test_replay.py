@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tracewell.plans import windows
 
 POLICY = windows.ViewPolicy(rate=1000.0, n_samples=100_000, n_rows=4, total_bytes=1 << 33, reserve=1 << 20, view_s=0.5, buffer_s=20.0, margin_s=3.0)
@@ -32,3 +34,26 @@ def test_replay_equals_a_plain_loop(spark):
 
 def test_replay_of_nothing(spark):
     assert windows.replay(spark.createDataFrame([], KINDS), POLICY, "who", ["i"]).count() == 0
+
+
+def test_policies_of_columns_equal_those_of_numbers(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(900), rng.randrange(1, 900), rng.randrange(1500), rng.randrange(1, 300), rng.randrange(500), rng.randrange(-90, 900), rng.random() < 0.5, rng.uniform(0, 70), rng.uniform(0, 12), rng.choice([-3.0, 1.0])) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "first long, n long, v long, vn long, m long, head long, press boolean, start double, view double, steps double")
+    c = F.col
+    made = frame.select(
+        "*",
+        windows.wanted_side_of(c("first"), c("n"), c("v"), c("vn"), c("m"), F.lit(1200)).alias("side"),
+        windows.trim_of(c("n"), c("m"), c("v"), c("head"), c("press")).alias("drop"),
+        windows.under_pressure_of(c("n") * (1 << 30), c("m") * (1 << 28)).alias("tight"),
+        windows.most_buffer_of(c("m") * (1 << 24), 1 << 26, c("vn"), 1000.0).alias("buffer"),
+        windows.most_margin_of(c("start"), c("view")).alias("margin"),
+        windows.step_view_of(c("start"), c("view"), 60.0, c("steps"), F.lit(0.3)).alias("moved"),
+        windows.clamp_length_of(c("view")).alias("length"),
+    )
+    for r in made.collect():
+        assert r.side == windows.wanted_side((r.first, r.n), (r.v, r.vn), r.m, 1200)
+        assert r["drop"] == windows.trim(r.n, r.m, r.v, r["head"], r.press)
+        assert r.tight == windows.under_pressure(r.n << 30, r.m << 28)
+        assert r.buffer == windows.most_buffer_s(r.m << 24, 1 << 26, r.vn, 1000.0) and r.margin == windows.most_margin_s(r.start, r.view)
+        assert r.moved == windows.step_view(r.start, r.view, 60.0, r.steps, 0.3) and r.length == windows.clamp_length(r.view)

@@ -265,9 +265,10 @@ def test_png(spark, tmp_path):
     pixels = spark.createDataFrame([(y, x, 10 * x, y, 7, 255) for y in range(3) for x in range(4)], "py int, px int, r int, g int, b int, a int")
     path = str(tmp_path / png.export_name("/d/rec.ap.bin", "/d/stims.csv"))
     assert path.endswith("rec.ap_stims_psth.png")
-    png.save_png(pixels, 4, 3, path)
-    data = open(path, "rb").read()
+    data = png.png_bytes(pixels, 4, 3)
     assert data[:8] == png.SIGNATURE and data[-4:].hex() == "ae426082"
+    open(path, "wb").write(data)
+    assert png.pixels_of(spark, path).count() == 12
     size = int.from_bytes(data[33:37], "big")
     lines = zlib.decompress(data[41 : 41 + size])
     assert lines == b"".join(b"\0" + bytes(v for x in range(4) for v in (10 * x, y, 7, 255)) for y in range(3))
@@ -276,6 +277,43 @@ def test_png(spark, tmp_path):
             png.png_bytes(pixels, *bad)
 
 
+def picture(spark, width, height):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 256, (height, width, 4))
+    rows = [(y, c, *map(int, x[y, c])) for y in range(height) for c in range(width)]
+    return x, spark.createDataFrame(rows, "py int, px int, r int, g int, b int, a int").repartition(5)
+
+
+def test_picture_is_written_in_pieces(spark, tmp_path):
+    x, pixels = picture(spark, 13, 29)
+    path = str(tmp_path / "p.png")
+    png.save_png(pixels, 13, 29, path, parts=4)
+    data = open(path, "rb").read()
+    assert data.count(b"IDAT") > 3 and data.startswith(png.SIGNATURE)  # pieces of several tasks
+    got = {(r.py, r.px): (r.r, r.g, r.b, r.a) for r in png.pixels_of(spark, path).collect()}
+    assert got == {(y, c): tuple(map(int, x[y, c])) for y in range(29) for c in range(13)}
+    assert not (tmp_path / "p.png.parts").exists()
+    png.save_png(pixels, 7, 20, path)  # a cut of it
+    assert {(r.py, r.px) for r in png.pixels_of(spark, path).collect()} == {(y, c) for y in range(20) for c in range(7)}
+    open(path, "wb").write(data[:60] + bytes([data[60] ^ 1]) + data[61:])
+    with pytest.raises(Exception, match="checksum"):
+        png.pixels_of(spark, path).count()
+
+
+@pytest.mark.parametrize("where, size", [("py <> 5", (4, 9)), ("py <> 8", (4, 9)), ("NOT (py = 3 AND px = 3)", (4, 9)), ("true", (5, 9)), ("true", (0, 9))])
+def test_pictures_that_lack_pixels_raise(spark, tmp_path, where, size):
+    _, pixels = picture(spark, 4, 9)
+    with pytest.raises(Exception, match="too few pixels|empty picture"):
+        png.save_png(pixels.where(where), *size, str(tmp_path / "p.png"))
+
+
+def test_checksums_of_pieces_join():
+    rng = np.random.default_rng(0)
+    a, b = rng.bytes(70_001), rng.bytes(9_999)
+    assert png.adler_joined(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
+    assert png.adler_joined(1, zlib.adler32(b), len(b)) == zlib.adler32(b) and png.adler_joined(zlib.adler32(a), 1, 0) == zlib.adler32(a)
+
+
 def test_live_spikes(spark, tmp_path):
     rng, cfg = np.random.default_rng(3), PreprocConfig(1000.0)
     x = rng.normal(scale=300, size=(900, 2)).astype("<i2")

@@ -7,8 +7,11 @@ the two state values pass from block to block, for all rows at once.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from tracewell.model import FILTER_ORDER, KFILT_PAD, KFILT_WN
 
@@ -39,6 +42,18 @@ def butter_highpass(order: int, wn: float) -> tuple[Section, ...]:
     return (*pairs, *single)
 
 
+def butter_sections(cutoffs: DataFrame, order: int = FILTER_ORDER) -> DataFrame:
+    """(wn, section, b0, b1, b2, a1, a2) for each distinct cutoff of (wn)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = [(wn, i, *map(float, s)) for wn in batch.column(0).to_pylist() for i, s in enumerate(butter_highpass(order, wn))]
+            kinds = [pa.float64(), pa.int32(), *[pa.float64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["wn", "section", "b0", "b1", "b2", "a1", "a2"])
+
+    return cutoffs.select("wn").distinct().mapInArrow(run, "wn double, section int, b0 double, b1 double, b2 double, a1 double, a2 double")
+
+
 def _blocks(section: Section, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Matrices of a block: outputs from inputs, outputs from the state, state from inputs, state from state."""
     if (section, size) not in _CACHE:

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from tracewell.functions import color
-from tracewell.functions.filters import butter_highpass
-from tracewell.model import FILTER_ORDER, KFILT_WN
-
-HP = butter_highpass(FILTER_ORDER, 0.6)
-KF = butter_highpass(FILTER_ORDER, KFILT_WN)
+# Sections b0, b1, b2, a1, a2 of a third-order Butterworth highpass at 0.6 and 0.01 of the Nyquist
+# rate, and the stops of the colour ramps as decimal RGB, stated here again so that a wrong one elsewhere shows.
+HP = (
+    (0.2341476694226561, -0.4682953388453122, 0.2341476694226561, 0.4188560844817661, 0.3554467621723906),
+    (0.4208077798377319, -0.4208077798377319, 0.0, 0.15838444032453622, 0.0),
+)
+KF = (
+    (0.9842945605314826, -1.9685891210629651, 0.9842945605314826, -1.9681033112560973, 0.9690749308698328),
+    (0.9845337085968967, -0.9845337085968967, 0.0, -0.9690674171937933, 0.0),
+)
+STOPS = {
+    ('YellowMagenta', True): [(38, 41, 48), (68, 42, 74), (93, 51, 102), (123, 38, 140), (147, 4, 176)],
+    ('YellowMagenta', False): [(38, 41, 48), (51, 49, 38), (61, 57, 31), (82, 75, 30), (117, 106, 30), (163, 144, 18), (255, 223, 18)],
+    ('RedBlue', True): [(38, 41, 48), (46, 48, 66), (37, 44, 97), (36, 52, 179), (44, 67, 245)],
+    ('RedBlue', False): [(38, 41, 48), (64, 44, 43), (97, 47, 44), (158, 50, 43), (245, 67, 54)],
+    ('OrangeBlue', True): [(38, 41, 48), (41, 59, 84), (49, 84, 133), (45, 111, 196)],
+    ('OrangeBlue', False): [(38, 41, 48), (74, 41, 34), (117, 54, 40), (209, 66, 33)],
+    ('IceFire', True): [(38, 41, 48), (57, 50, 71), (57, 41, 92), (70, 39, 138), (32, 95, 158), (113, 181, 189), (147, 207, 201)],
+    ('IceFire', False): [(38, 41, 48), (64, 49, 48), (77, 47, 45), (94, 41, 37), (138, 36, 29), (186, 79, 34), (217, 162, 115)],
+    ('Vanimo', True): [(38, 41, 48), (46, 54, 39), (60, 82, 39), (86, 138, 34), (141, 237, 45)],
+    ('Vanimo', False): [(38, 41, 48), (67, 49, 71), (102, 53, 115), (185, 78, 212)],
+    ('GreyScale', True): [(38, 41, 48), (0, 0, 0)],
+    ('GreyScale', False): [(38, 41, 48), (48, 48, 48), (80, 80, 80), (96, 96, 96), (208, 208, 208)],
+}
+BACKGROUND = (38, 41, 48)
 
 GEOM = """geom AS (
   SELECT CAST(s * 19 AS INT) AS ch, 32e0 * ((s % 10) % 2) + 250e0 * (s // 10) AS x_um,
@@ -190,7 +209,7 @@ def rgb(t: str, name: str) -> str:
     """Columns r, g, b of a value t in [-1, 1]."""
 
     def ramp(u: str, positive: bool, c: int) -> str:
-        table = color.stops(name, positive)
+        table = STOPS[name, positive]
         n = len(table) - 1
         values = "[" + ", ".join(f"{s[c]}e0" for s in table) + "]"
         at = f"CAST(least(floor({u} * {n}), {n - 1}) AS INT)"
@@ -202,7 +221,7 @@ def rgb(t: str, name: str) -> str:
 def pixels(means: str, display_cte: str, width: int, height: int, vmax: str, name: str) -> str:
     """The painted picture of binned means (data_idx, px, v)."""
     t = f"greatest(-1e0, least(1e0, v / {vmax}))"
-    back = color.background()
+    back = BACKGROUND
     part = lambda x, i: f"CASE WHEN kind = 'boundary' THEN 255 WHEN kind = 'gap' AND (px // 4) % 2 = 0 THEN 96 WHEN v IS NULL THEN {back[i]} ELSE c{x} END AS {x}"
     return f"""
 SELECT py, px, {part("r", 0)}, {part("g", 1)}, {part("b", 2)}, 255 AS a FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixtures_rec as rec
 from tracewell.functions import color
-from tracewell.functions.filters import butter_highpass
+from tracewell.functions.filters import butter_highpass, butter_sections
 from tracewell.model import PreprocConfig
 from tracewell.operators import events, geometry, render, signal, stats, tiles
 from tracewell.plans import oracle as sql
@@ -132,9 +132,10 @@ def _phase(kind: int):
 
 
 def q_butter(spark, sf_dir):
-    rows = [(name, i, *map(float, s)) for name, wn in (("highpass", 0.02), ("kfilt", 0.01), ("rec_b", 0.6)) for i, s in enumerate(butter_highpass(3, wn))]
-    made = spark.createDataFrame(rows, "filter string, section int, b0 double, b1 double, b2 double, a1 double, a2 double")
-    return made.select("filter", "section", *[(F.round(c, 9) + 0.0).alias(c) for c in ("b0", "b1", "b2", "a1", "a2")])
+    """Filters at the cutoffs of all suppliers."""
+    cutoffs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(((F.col("s_suppkey") % 197 + 1) / 200).alias("wn"))
+    made = butter_sections(cutoffs)
+    return made.select((F.round("wn", 9) + 0.0).alias("wn"), "section", *[(F.round(c, 9) + 0.0).alias(c) for c in ("b0", "b1", "b2", "a1", "a2")])
 
 
 def q_sosfilt(spark, sf_dir):
@@ -300,9 +301,10 @@ def q_bins(spark, sf_dir):
 
 def _colormap(name: str):
     def run(spark, sf_dir):
-        v = spark.range(-130, 131).select(F.col("id").cast("int").alias("v"))
+        """The colour of a voltage for each customer, beyond the ends of the scale too."""
+        v = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 261 - 130).cast("int").alias("v"))
         c = color.rgb(F.col("v").cast("double"), F.lit(100.0), name)
-        return v.withColumn("c", c).select("v", "c.r", "c.g", "c.b")
+        return v.withColumn("c", c).select("c_custkey", "v", "c.r", "c.g", "c.b")
 
     return run
 
@@ -322,9 +324,16 @@ def q_nav(spark, sf_dir):
 
 
 def q_png_chunks(spark, sf_dir):
-    header = bytearray(b"\0\0\0\x14\0\0\0\x0a\x08\x06\0\0\0")
-    made = spark.createDataFrame([("IHDR", header), ("IEND", bytearray())], "tag string, data binary")
-    return png.chunk_checks(made)
+    """A text chunk for each supplier's name."""
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("tEXt").alias("tag"), F.col("s_name").cast("binary").alias("data"))
+    return png.chunk_checks(names)
+
+
+def q_png_file(spark, sf_dir):
+    """The picture of `heatmap`, saved by tasks and read back."""
+    path = _file(spark, "a.png")
+    png.save_png(q_heatmap(spark, sf_dir), 100, 40, path)
+    return png.pixels_of(spark, path).drop("path")
 
 
 # --- windows ---
@@ -359,35 +368,40 @@ def q_extend_highpass(spark, sf_dir):
     return out(windows.extend(old, True, scan, rows, CFG, 200, (650, 100), n, 700).trace)
 
 
+def _orders(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey"), F.col("o_custkey")
+
+
 def q_wanted_side(spark, sf_dir):
-    """The side that a buffer is extended to next, for buffers and views of many places."""
-    cases = [(b, n, v, 100, m, windows.wanted_side((b, n), (v, 100), m, 1600)) for b in (0, 100, 400) for n in (600, 1200) for v in (0, 150, 420, 700, 1100, 1500) for m in (50, 200, 800)]
-    return spark.createDataFrame(cases, "first int, n int, view_first int, view_n int, margin int, side string")
+    """The side that a buffer is extended to next, for a buffer and a view of each order."""
+    t, k, c = _orders(spark, sf_dir)
+    cases = t.select("o_orderkey", (k % 500).alias("first"), (c % 900 + 400).alias("n"), (k * 7 % 1500).alias("view_first"), (c % 4 * 150 + 50).alias("margin"))
+    return cases.withColumn("side", windows.wanted_side_of(*(F.col(x) for x in ("first", "n", "view_first")), F.lit(100), F.col("margin"), F.lit(1600)))
 
 
 def q_memory_policy(spark, sf_dir):
-    """Memory pressure, the longest buffer and the widest margin."""
-    gib = 1 << 30
-    cases = [(t, a, r, windows.under_pressure(t * gib, a * gib), windows.most_buffer_s(a * gib, 1500 << 20, r, 30_000.0), windows.most_margin_s(windows.most_buffer_s(a * gib, 1500 << 20, r, 30_000.0), 0.5)) for t in (0, 8, 64) for a in (0, 1, 2, 7, 40) for r in (0, 96, 384)]
-    made = spark.createDataFrame(cases, "total_gib int, available_gib int, n_rows int, pressure boolean, buffer_s double, margin_s double")
+    """Memory pressure, the longest buffer and the widest margin, for the memory of each customer."""
+    k, gib = F.col("c_custkey"), 1 << 30
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (k % 65).alias("total_gib"), (k * 37 % 41).alias("available_gib"), (F.col("c_nationkey") * 16).alias("n_rows"))
+    buffer_s = windows.most_buffer_of(F.col("available_gib") * gib, 1500 << 20, F.col("n_rows"), 30_000.0)
+    made = t.withColumns({"pressure": windows.under_pressure_of(F.col("total_gib") * gib, F.col("available_gib") * gib), "buffer_s": buffer_s, "margin_s": windows.most_margin_of(buffer_s, F.lit(0.5))})
     return made.withColumns({c: F.round(c, 6) + 0.0 for c in ("buffer_s", "margin_s")})
 
 
 def q_navigation(spark, sf_dir):
-    """Views moved by the wheel and the arrow keys, and view lengths within their limits."""
-    cases = [(s, v, k, f, windows.step_view(s, v, 60.0, k, f), windows.clamp_length(v * 4.0)) for s in (0.0, 10.0, 59.8) for v in (0.002, 0.5, 9.0) for k in (-3.0, 1.0) for f in (0.05, 0.3, 0.5)]
-    made = spark.createDataFrame(cases, "start_s double, view_s double, steps double, share double, moved_s double, length_s double")
+    """Views of orders moved by the wheel and the arrow keys, and view lengths within their limits."""
+    t, k, c = _orders(spark, sf_dir)
+    cases = t.select("o_orderkey", (k % 600 / 10).alias("start_s"), (c % 90 / 10).alias("view_s"), (k % 7 - 3.0).alias("steps"), F.when(c % 3 == 0, 0.05).when(c % 3 == 1, 0.3).otherwise(0.5).alias("share"))
+    moved = windows.step_view_of(F.col("start_s"), F.col("view_s"), 60.0, F.col("steps"), F.col("share"))
+    made = cases.withColumns({"moved_s": moved, "length_s": windows.clamp_length_of(F.col("view_s") * 4.0)})
     return made.withColumns({c: F.round(c, 9) + 0.0 for c in ("moved_s", "length_s")})
 
 
 def q_trim(spark, sf_dir):
-    """The trim policy over buffers of different sizes, from order keys."""
-    cases = []
-    for old_n in (400, 800, 1200):
-        for headroom in (-50, 100, 900):
-            for pressure in (False, True):
-                cases.append((old_n, 200, 900, headroom, pressure, windows.trim(old_n, 200, 900, headroom, pressure)))
-    return spark.createDataFrame(cases, "old_n int, ext int, most int, headroom int, pressure boolean, dropped int")
+    """The trim policy over a buffer of each order."""
+    t, k, c = _orders(spark, sf_dir)
+    cases = t.select("o_orderkey", (k % 1500).alias("old_n"), F.lit(200).alias("ext"), F.lit(900).alias("most"), (c % 1000 - 50).alias("headroom"), (k % 3 == 0).alias("pressure"))
+    return cases.withColumn("dropped", windows.trim_of(*(F.col(x) for x in ("old_n", "ext", "most", "headroom", "pressure"))))
 
 
 POLICY = windows.ViewPolicy(rate=1000.0, n_samples=600_000, n_rows=384, total_bytes=10_100 << 20)
@@ -676,6 +690,7 @@ QUERIES = {
     "hover_value": q_hover,
     "nav_extents": q_nav,
     "png_chunks": q_png_chunks,
+    "png_file": q_png_file,
     "window_full": q_window_full,
     "window_extend_right": _extended(True),
     "window_extend_left": _extended(False),
@@ -724,15 +739,16 @@ _NAMES = {n.lower(): n for n in color.POSITIVE}
 _FILE = "SELECT CAST((vec_id % 20) AS INT) AS ch, (vec_id // 20) * 64 + pos AS t, round(round(CAST(embedding[pos + 1] AS DOUBLE) * 200 * 100) * 0.01, 4) + 0e0 AS uv FROM embeddings, (SELECT unnest(range(64)) AS pos)"
 
 
-def _butter(name: str, wn: float) -> str:
+def _butter() -> str:
     """Sections from the poles, in SQL."""
-    wd = f"(2 * tan(pi() * {wn}e0 / 2))"
+    wd = "(2 * tan(pi() * wn / 2))"
     pr, sq = f"({wd} * cos(pi() * 4 / 6))", f"({wd} * {wd})"
     d, e = f"(4 - 4 * {pr} + {sq})", f"(2 + {wd})"
     r = lambda x: f"round({x}, 9) + 0e0"
     return (
-        f"SELECT '{name}' AS filter, 0 AS section, {r(f'4 / {d}')} AS b0, {r(f'-8 / {d}')} AS b1, {r(f'4 / {d}')} AS b2, {r(f'(2 * {sq} - 8) / {d}')} AS a1, {r(f'(4 + 4 * {pr} + {sq}) / {d}')} AS a2 "
-        f"UNION ALL SELECT '{name}', 1, {r(f'2 / {e}')}, {r(f'-2 / {e}')}, 0e0, {r(f'({wd} - 2) / {e}')}, 0e0"
+        "WITH c AS (SELECT DISTINCT (s_suppkey % 197 + 1) / 200e0 AS wn FROM supplier) "
+        f"SELECT {r('wn')} AS wn, 0 AS section, {r(f'4 / {d}')} AS b0, {r(f'-8 / {d}')} AS b1, {r(f'4 / {d}')} AS b2, {r(f'(2 * {sq} - 8) / {d}')} AS a1, {r(f'(4 + 4 * {pr} + {sq}) / {d}')} AS a2 FROM c "
+        f"UNION ALL SELECT {r('wn')}, 1, {r(f'2 / {e}')}, {r(f'-2 / {e}')}, 0e0, {r(f'({wd} - 2) / {e}')}, 0e0 FROM c"
     )
 
 
@@ -772,7 +788,7 @@ FROM display, (VALUES (0, 400), (50, 200), (100, 60), (500, 600)) v(lo, hi) GROU
     "dc_removal": sql.with_([*_BASE, sql.dc("trace", "a")], sql.OUT + "a"),
     "phase_shift_np1": sql.with_([*_BASE, sql.phase("trace", "a", "raw", False)], sql.OUT + "a"),
     "phase_shift_np2": sql.with_([*_BASE, sql.phase("trace", "a", "raw", True)], sql.OUT + "a"),
-    "butter_coeffs": " UNION ALL ".join(_butter(*x) for x in (("highpass", 0.02), ("kfilt", 0.01), ("rec_b", 0.6))),
+    "butter_coeffs": _butter(),
     "sosfilt": sql.with_([*_BASE, sql.sosfilt("trace", "a", sql.HP, ("shank", "row_idx"), "t", "t")], sql.OUT + "a"),
     "sosfiltfilt": sql.with_([*_BASE, sql.hp("trace", "a")], sql.OUT + "a"),
     "highpass": sql.with_([*_BASE_AVG, sql.dc("trace", "a"), sql.hp("a", "b")], sql.OUT + "b"),
@@ -840,22 +856,22 @@ SELECT event_id, user_id, round(start_s, 9) + 0e0 AS start_s, round(view_s, 9) +
     "trace_scale": sql.with_(_PSTH, "SELECT data_idx, round(greatest(max(abs(mean_uv)), 1e-6), 4) + 0e0 AS scale FROM psth GROUP BY data_idx"),
     "psth_heatmap": sql.with_([*_PSTH, sql.display("avgd"), sql.bins("psth", "m", 0, 25, 60, "data_idx", "k", "mean_uv")], sql.pixels("m", "display", 60, 36, "3e0", "Vanimo")),
     "heatmap": sql.with_([*_BASE, sql.display("raw"), sql.bins("trace", "m", 0, 500, 100)], sql.pixels("m", "display", 100, 40, "40e0", "IceFire")),
+    "png_file": sql.with_([*_BASE, sql.display("raw"), sql.bins("trace", "m", 0, 500, 100)], sql.pixels("m", "display", 100, 40, "40e0", "IceFire")),
     "heatmap_bins": sql.with_(
         [*_BASE_AVG, "n AS (SELECT max(t) + 1 AS n FROM trace)"],
         """SELECT 'end' AS view, row_idx, CAST(px AS INT) AS px, round(avg(uv), 4) + 0e0 AS v FROM n, range(50) r(px), trace
 WHERE t >= n - 100 + (px * 333) // 50 AND t < n - 100 + ((px + 1) * 333) // 50 AND n - 100 + ((px + 1) * 333) // 50 <= n GROUP BY row_idx, px
 UNION ALL SELECT 'fine', row_idx, CAST(px AS INT), round(uv, 4) + 0e0 FROM range(64) r(px) JOIN trace ON t = 10 + (px * 20) // 64""",
     ),
-    **{f"colormap_{k}": f"SELECT v, {sql.rgb('greatest(-1e0, least(1e0, v / 100e0))', n)} FROM (SELECT CAST(v AS INT) AS v FROM range(-130, 131) r(v))" for k, n in _NAMES.items()},
+    **{f"colormap_{k}": f"SELECT c_custkey, v, {sql.rgb('greatest(-1e0, least(1e0, v / 100e0))', n)} FROM (SELECT c_custkey, CAST(c_custkey % 261 - 130 AS INT) AS v FROM customer)" for k, n in _NAMES.items()},
     "hover_value": sql.with_([*_BASE, sql.display("raw")], "SELECT disp_idx, first_ch AS ch, t, round(uv, 4) + 0e0 AS uv FROM display d JOIN trace ON row_idx = data_idx WHERE (disp_idx, t) IN ((3, 123), (6, 200), (15, 1000), (2, 99000))"),
     "nav_extents": "SELECT CAST(o_orderkey * 10 AS BIGINT) AS first, CAST(o_custkey + 1 AS BIGINT) AS n, round(o_orderkey * 10 / 30000e0 / 600, 9) + 0e0 AS start_frac, round((o_custkey + 1) / 30000e0 / 600, 9) + 0e0 AS width_frac FROM orders",
-    "png_chunks": "SELECT * FROM (VALUES ('IHDR', 13, '" + f"{zlib.crc32(b'IHDR' + bytes.fromhex('000000140000000a0806000000')):08x}" + "'), ('IEND', 0, 'ae426082')) v(tag, size, crc)",
+    "png_chunks": """SELECT 'tEXt' AS tag, CAST(length(s_name) AS INT) AS size, format('{:08x}', xor(list_reduce([unicode(x)::BIGINT for x in string_split('tEXt' || s_name, '')], lambda a, b: list_reduce([0,1,2,3,4,5,6,7], lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT)) AS crc FROM supplier""",
     "window_full": sql.with_([*_BASE_AVG, _window(0, 800), sql.dc("win", "a"), sql.hp("a", "b"), sql.cmr("b", "c")], sql.OUT + "c"),
     "window_extend_right": _extension_sql((900, 1199), (1000, 1199), (500, 999)),
     "window_extend_left": _extension_sql((200, 499), (200, 399), (400, 899)),
-    "trim_policy": """SELECT CAST(old_n AS INT) AS old_n, 200 AS ext, 900 AS most, CAST(headroom AS INT) AS headroom, pressure,
-  CAST(least(CASE WHEN pressure THEN greatest(greatest(old_n + 200 - 900, 0), 200) ELSE greatest(old_n + 200 - 900, 0) END, greatest(headroom, 0), old_n) AS INT) AS dropped
-FROM (VALUES (400), (800), (1200)) a(old_n), (VALUES (-50), (100), (900)) b(headroom), (VALUES (false), (true)) c(pressure)""",
+    "trim_policy": """SELECT *, least(CASE WHEN pressure THEN greatest(greatest(old_n + 200 - 900, 0), 200) ELSE greatest(old_n + 200 - 900, 0) END, greatest(headroom, 0), old_n) AS dropped
+FROM (SELECT o_orderkey, o_orderkey % 1500 AS old_n, 200 AS ext, 900 AS most, o_custkey % 1000 - 50 AS headroom, o_orderkey % 3 = 0 AS pressure FROM orders)""",
     "meta_parse": f"""SELECT path, CAST(k % 5 + 4 AS INT) AS n_saved_chans, CAST(n AS INT) AS n_chans, 30000.5e0 AS sample_rate, CAST((k * 1000 + 7) // ((k % 5 + 4) * 2) AS BIGINT) AS n_samples,
   round(CASE WHEN k % 4 = 0 THEN 0.5e0 / 8192 ELSE 0.6e0 / 512 END / CASE WHEN k % 3 <> 0 AND k % 2 = 0 THEN 250 WHEN k % 4 = 0 THEN 80 ELSE 500 END * 1e6, 9) + 0e0 AS uv_per_bit,
   CASE WHEN k % 4 = 0 THEN 24 ELSE 0 END AS probe_type FROM ({_SUPPLIER})""",
@@ -898,17 +914,14 @@ SELECT 'a' AS recording, ch, t, uv FROM f, h WHERE t < half AND t >= 100 UNION A
         ],
         f"{sql.OUT} o3 UNION ALL {sql.OUT} e3 WHERE t BETWEEN 1000 AND 1199",
     ),
-    "wanted_side": """SELECT CAST(b AS INT) AS first, CAST(n AS INT) AS n, CAST(v AS INT) AS view_first, 100 AS view_n, CAST(m AS INT) AS margin,
+    "wanted_side": """SELECT o_orderkey, b AS first, n, v AS view_first, m AS margin,
   CASE WHEN v - b < m AND b > 0 AND (NOT (b + n - v - 100 < m AND b + n < 1600) OR v - b <= b + n - v - 100) THEN 'left' WHEN b + n - v - 100 < m AND b + n < 1600 THEN 'right' END AS side
-FROM (VALUES (0), (100), (400)) x(b), (VALUES (600), (1200)) y(n), (VALUES (0), (150), (420), (700), (1100), (1500)) z(v), (VALUES (50), (200), (800)) w(m)""",
-    "memory_policy": """WITH c AS (
-  SELECT t, a, r, greatest((a * 1024e0 - 1500) * 1048576 / (greatest(r, 1) * 4) / 30000, 1e0) AS s
-  FROM (VALUES (0), (8), (64)) x(t), (VALUES (0), (1), (2), (7), (40)) y(a), (VALUES (0), (96), (384)) z(r))
-SELECT CAST(t AS INT) AS total_gib, CAST(a AS INT) AS available_gib, CAST(r AS INT) AS n_rows, t > 0 AND (a * 100e0 < t * 15 OR a * 1024 < 1500) AS pressure,
-  round(s, 6) + 0e0 AS buffer_s, round(greatest(0.9e0 * (s - 0.5e0) / 3, 0.5e0), 6) + 0e0 AS margin_s FROM c""",
-    "navigation": """SELECT s AS start_s, v AS view_s, k AS steps, f AS share, round(least(greatest(s + k * f * v, 0e0), greatest(60e0 - v, 0e0)), 9) + 0e0 AS moved_s,
-  round(least(greatest(v * 4, 0.01e0), 10e0), 9) + 0e0 AS length_s
-FROM (VALUES (0e0), (10e0), (59.8e0)) x(s), (VALUES (0.002e0), (0.5e0), (9e0)) y(v), (VALUES (-3e0), (1e0)) z(k), (VALUES (0.05e0), (0.3e0), (0.5e0)) w(f)""",
+FROM (SELECT o_orderkey, o_orderkey % 500 AS b, o_custkey % 900 + 400 AS n, o_orderkey * 7 % 1500 AS v, o_custkey % 4 * 150 + 50 AS m FROM orders)""",
+    "memory_policy": """SELECT c_custkey, t AS total_gib, a AS available_gib, r AS n_rows, t > 0 AND (a * 100e0 < t * 15 OR a * 1024 < 1500) AS pressure,
+  round(s, 6) + 0e0 AS buffer_s, round(greatest(0.9e0 * (s - 0.5e0) / 3, 0.5e0), 6) + 0e0 AS margin_s FROM (
+  SELECT *, greatest((a * 1024e0 - 1500) * 1048576 / (greatest(r, 1) * 4) / 30000, 1e0) AS s FROM (SELECT c_custkey, c_custkey % 65 AS t, c_custkey * 37 % 41 AS a, c_nationkey * 16 AS r FROM customer))""",
+    "navigation": """SELECT *, round(least(greatest(start_s + steps * share * view_s, 0e0), greatest(60e0 - view_s, 0e0)), 9) + 0e0 AS moved_s, round(least(greatest(view_s * 4, 0.01e0), 10e0), 9) + 0e0 AS length_s
+FROM (SELECT o_orderkey, (o_orderkey % 600) / 10e0 AS start_s, (o_custkey % 90) / 10e0 AS view_s, o_orderkey % 7 - 3e0 AS steps, CASE o_custkey % 3 WHEN 0 THEN 0.05e0 WHEN 1 THEN 0.3e0 ELSE 0.5e0 END AS share FROM orders)""",
     "scan_cbin": f"SELECT * FROM ({_FILE}) WHERE t >= 100 AND t < 1100",
     "cbin_decode": _FILE,
 }

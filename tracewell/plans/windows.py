@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,40 @@ def most_margin_s(buffer_s: float, view_s: float) -> float:
     return max(0.9 * (buffer_s - view_s) / 3.0, 0.5)
 
 
+def trim_of(old_n: Column, ext: Column, most: Column, headroom: Column, pressure: Column) -> Column:
+    """`trim` of each row."""
+    over = F.greatest(old_n + ext - most, F.lit(0))
+    return F.least(F.when(pressure, F.greatest(over, ext)).otherwise(over), F.greatest(headroom, F.lit(0)), old_n)
+
+
+def wanted_side_of(first: Column, n: Column, view_first: Column, view_n: Column, margin: Column, n_samples: Column) -> Column:
+    """`wanted_side` of each row."""
+    left, right = view_first - first, first + n - (view_first + view_n)
+    need_left, need_right = (left < margin) & (first > 0), (right < margin) & (first + n < n_samples)
+    return F.when(need_left & (~need_right | (left <= right)), "left").when(need_right, "right")
+
+
+def under_pressure_of(total: Column, available: Column, percent: float = 15.0, reserve: int = 1500 << 20) -> Column:
+    return (total > 0) & ((available / total * 100.0 < percent) | (available < reserve))
+
+
+def most_buffer_of(available: Column, reserve: int, n_rows: Column, rate: float) -> Column:
+    return F.greatest((available - reserve) / (F.greatest(n_rows, F.lit(1)) * 4) / rate, F.lit(1.0))
+
+
+def most_margin_of(buffer_s: Column, view_s: Column) -> Column:
+    return F.greatest(0.9 * (buffer_s - view_s) / 3.0, F.lit(0.5))
+
+
+def step_view_of(start_s: Column, view_s: Column, total_s: float, steps: Column, share: Column) -> Column:
+    moved = start_s + steps * share * view_s
+    return F.least(F.greatest(moved, F.lit(0.0)), F.greatest(F.lit(total_s) - view_s, F.lit(0.0)))
+
+
+def clamp_length_of(view_s: Column) -> Column:
+    return F.least(F.greatest(view_s, F.lit(0.01)), F.lit(10.0))
+
+
 # --- moving the view ---
 
 
