@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import color
@@ -65,6 +65,74 @@ def event_heatmap(average: DataFrame, rows: DataFrame, n_win: int, width: int, h
     return paint(rows, bin_means(trace, 0, n_win, width), width, height, vmax, name)
 
 
+def line_pixels(trace: DataFrame, n: int, width: int, height: int, scale: Column | float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, py, px): the pixels of a line through the points (k, v), k = 0 .. n - 1, in a panel; v = 0 is its middle, `scale` two pixels from an edge.
+
+    Each segment covers the columns from its first to its last point, and in a column the rows between the heights at
+    which it enters and leaves it. So a line has no holes, and extremes show even if a column has many points.
+    """
+    mid, half, step = (height - 1) / 2.0, height / 2.0 - 2.0, (width - 1) / float(max(n - 1, 1))
+    order = Window.partitionBy(*by).orderBy("k")
+    points = trace.select(*by, "k", (F.col("k") * step).alias("x0"), (mid - F.col("v") / scale * half).alias("y0"))
+    ends = points.withColumn("x1", F.coalesce(F.lead("x0").over(order), F.col("x0"))).withColumn("y1", F.coalesce(F.lead("y0").over(order), F.col("y0")))
+    columns = ends.select("*", F.explode(F.sequence(F.floor("x0").cast("int"), F.floor("x1").cast("int"))).alias("px"))
+    at = lambda x: F.when(F.col("x1") > F.col("x0"), F.col("y0") + (F.col("y1") - F.col("y0")) * ((x - F.col("x0")) / (F.col("x1") - F.col("x0")))).otherwise(F.col("y0"))
+    enter, leave = at(F.greatest("x0", F.col("px").cast("double"))), at(F.least("x1", F.col("px") + 1.0))
+    row = lambda y: F.greatest(F.lit(0), F.least(F.lit(height - 1), F.floor(y + 0.5))).cast("int")
+    rows = columns.select(*by, "px", F.explode(F.sequence(row(F.least(enter, leave)), row(F.greatest(enter, leave)))).alias("py"))
+    return rows.where(F.col("px") < width).select(*by, "py", "px").distinct()
+
+
+# Greys of middle lines and the onset, colours of the two selected channels.
+MIDDLE, ONSET, SELECTED, GAP = 80, 150, ((255, 255, 255), (255, 182, 23)), 6
+
+
+def event_plot(average: DataFrame, rows: DataFrame, n_win: int, start_ms: float, dt_ms: float, selected: tuple[int, ...], width: int, line_height: int, heat_height: int, vmax: float, name: str = "IceFire") -> DataFrame:
+    """(py, px, r, g, b, a): the picture of an event-aligned average (data_idx, k, mean_uv): three panels, one above the other.
+
+    Up to two selected channels (their numbers from 1) to one scale; the mean over rows; the heatmap with a line at
+    each selected channel; the onset across all panels, if the window spans it. Without labels.
+    """
+    tops = (0, line_height + GAP, 2 * (line_height + GAP))
+    fixed = lambda c: [F.lit(int(x)).alias(n) for x, n in zip(c, "rgb", strict=True)]
+    line = lambda panel, r, c, z: panel.select("px", *[F.lit(x).alias(n) for x, n in ((r, "py"), (z, "z"))], *fixed(c))
+    across = average.sparkSession.range(width).select(F.col("id").cast("int").alias("px"))
+    grid = across.select("px", F.explode(F.sequence(F.lit(0), F.lit(tops[2] + heat_height - 1))).alias("py"))
+    layers = [grid.select("px", "py", F.lit(0).alias("z"), *fixed(color.background()))]
+    layers += [line(across, top + (line_height - 1) // 2, (MIDDLE,) * 3, 1) for top in tops[:2]]
+
+    shown = rows.where("kind = 'data'").select("data_idx", (F.col("first_ch") + 1).alias("channel"))
+    chosen = average.join(F.broadcast(shown.where(F.col("channel").isin(*selected))), "data_idx").select("channel", "k", F.col("mean_uv").alias("v"))
+    scale = chosen.agg(F.greatest(F.coalesce(F.max(F.abs("v")), F.lit(0.0)), F.lit(1e-6))).first()[0]
+    for i, channel in enumerate(selected[:2]):
+        own = line_pixels(chosen.where(F.col("channel") == channel), n_win, width, line_height, scale)
+        layers.append(own.select("px", "py", F.lit(2 + i).alias("z"), *fixed(SELECTED[i])))
+    mean = average.groupBy("k").agg(F.round(F.avg("mean_uv"), 4).alias("v"))
+    top = mean.agg(F.greatest(F.coalesce(F.max(F.abs("v")), F.lit(0.0)), F.lit(1e-6))).first()[0]
+    layers.append(line_pixels(mean, n_win, width, line_height, top).select("px", (F.col("py") + tops[1]).alias("py"), F.lit(2).alias("z"), *fixed(color.ACCENT[name])))
+
+    heat = event_heatmap(average, rows, n_win, width, heat_height, vmax, name).select("px", (F.col("py") + tops[2]).alias("py"), "r", "g", "b")
+    layers.append(heat.select("px", "py", F.lit(1).alias("z"), "r", "g", "b"))
+    n = rows.agg(F.count("*").alias("n"))
+    place = rows.where("kind = 'data'").select((F.col("first_ch") + 1).alias("channel"), "disp_idx").join(F.broadcast(n), F.lit(True))
+    for i, channel in enumerate(selected[:2]):
+        middle = (F.col("n") - 1 - F.col("disp_idx") + 0.5) / F.col("n") * heat_height
+        marks = place.where(F.col("channel") == channel).select((F.floor(middle) + tops[2]).cast("int").alias("m"))
+        mixed = lambda c, v: F.floor((F.col(c) * 127 + v * 128) / 255).cast("int").alias(c)
+        own = heat.join(F.broadcast(marks), (F.col("py") == F.col("m")) | (F.col("py") == F.col("m") - 1))
+        layers.append(own.select("px", "py", F.lit(2 + i).alias("z"), *(mixed(c, v) for c, v in zip("rgb", SELECTED[i], strict=True))))
+    if start_ms < 0 < start_ms + n_win * dt_ms:
+        at = int(-start_ms / (n_win * dt_ms) * width)
+        panels = [F.sequence(F.lit(t), F.lit(t + h - 1)) for t, h in zip(tops, (line_height, line_height, heat_height), strict=True)]
+        mark = across.where(F.col("px") == at).select("px", F.explode(F.concat(*panels)).alias("py"))
+        layers.append(mark.select("px", "py", F.lit(9).alias("z"), *fixed((ONSET,) * 3)))
+    whole = layers[0].select("px", "py", "z", *"rgb")
+    for x in layers[1:]:
+        whole = whole.unionByName(x.select("px", "py", "z", *"rgb"))
+    best = whole.groupBy("py", "px").agg(F.max_by(F.struct(*"rgb"), "z").alias("c"))
+    return best.select("py", "px", "c.r", "c.g", "c.b", F.lit(255).alias("a"))
+
+
 def hover_value(trace: DataFrame, rows: DataFrame, disp_idx: int, seconds: float, rate: float) -> DataFrame:
     """(disp_idx, ch, t, uv) under the pointer, none on a marker or outside the trace; ch counts from 0."""
     own = rows.where((F.col("disp_idx") == disp_idx) & (F.col("kind") == "data")).select("disp_idx", F.col("first_ch").alias("ch"), F.col("data_idx").alias("row_idx"))

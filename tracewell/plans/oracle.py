@@ -233,6 +233,37 @@ SELECT py, px, {part("r", 0)}, {part("g", 1)}, {part("b", 2)}, 255 AS a FROM (
       LEFT JOIN {means} m ON m.data_idx = d.data_idx AND m.px = x.px)))"""
 
 
+def plot(rows: str, width: int, line: int, heat: int, vmax: str, name: str) -> str:
+    """The picture of an event average of 25 points from -5 ms, channels 1 and 39, over `q(data_idx, k, v)`, `heat` and `display`."""
+    accent = {"Vanimo": (202, 237, 166)}[name]
+    colors = {"1": (255, 255, 255), "39": (255, 182, 23), "0": accent}
+    tops = {"0": line + 6, "1": 0, "39": 0}
+    step = f"({width - 1}e0 / 24)"
+    pick = lambda c: "CASE s " + " ".join(f"WHEN {k} THEN {v[c]}" for k, v in colors.items()) + " END"
+    shift = "CASE s " + " ".join(f"WHEN {k} THEN {v}" for k, v in tops.items()) + " END"
+    y = lambda x: f"CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (({x} - x0) / (x1 - x0)) ELSE y0 END"
+    row = lambda v: f"greatest(0, least({line - 1}, floor({v} + 0.5e0)))::BIGINT"
+    bottom = 2 * (line + 6)
+    return f"""
+SELECT py::INT AS py, px::INT AS px, arg_max(r, z)::INT AS r, arg_max(g, z)::INT AS g, arg_max(b, z)::INT AS b, 255 AS a FROM (
+  SELECT y.i AS py, x.i AS px, 0 AS z, {BACKGROUND[0]} AS r, {BACKGROUND[1]} AS g, {BACKGROUND[2]} AS b FROM range({width}) x(i), range({bottom + heat}) y(i)
+  UNION ALL SELECT y.i, x.i, 1, 80, 80, 80 FROM range({width}) x(i), (VALUES ({(line - 1) // 2}), ({line + 6 + (line - 1) // 2})) y(i)
+  UNION ALL SELECT py + {bottom}, px, 1, r, g, b FROM heat
+  UNION ALL SELECT py + {bottom}, px, 2 + s, (r * 127 + cr * 128) // 255, (g * 127 + cg * 128) // 255, (b * 127 + cb * 128) // 255 FROM heat JOIN (
+    SELECT s, cr, cg, cb, floor((n - 1 - disp_idx + 0.5e0) / n * {heat}) AS m FROM (SELECT *, count(*) OVER () AS n FROM display) JOIN (VALUES (0, 1, 255, 255, 255), (1, 39, 255, 182, 23)) v(s, ch, cr, cg, cb) ON first_ch + 1 = ch
+  ) ON py = m OR py = m - 1
+  UNION ALL SELECT y.i, {int(5 / 25 * width)}, 9, 150, 150, 150 FROM range({bottom + heat}) y(i) WHERE y.i < {line} OR y.i BETWEEN {line + 6} AND {2 * line + 5} OR y.i >= {bottom}
+  UNION ALL SELECT {shift} + unnest(range(least({row("ya")}, {row("yb")}), greatest({row("ya")}, {row("yb")}) + 1)), px, CASE s WHEN 39 THEN 3 ELSE 2 END, {pick(0)}, {pick(1)}, {pick(2)} FROM (
+    SELECT s, px, {y("greatest(x0, px + 0e0)")} AS ya, {y("least(x1, px + 1e0)")} AS yb FROM (
+      SELECT s, x0, y0, x1, y1, unnest(range(floor(x0)::BIGINT, floor(x1)::BIGINT + 1)) AS px FROM (
+        SELECT s, x AS x0, y AS y0, coalesce(lead(x) OVER w, x) AS x1, coalesce(lead(y) OVER w, y) AS y1 FROM (
+          SELECT s, k, k * {step} AS x, {(line - 1) / 2}e0 - v / (max(abs(v)) OVER (PARTITION BY s = 0)) * {line / 2 - 2}e0 AS y FROM (
+            SELECT 0 AS s, k, round(avg(v), 4) AS v FROM q GROUP BY k
+            UNION ALL SELECT first_ch + 1, k, v FROM q JOIN {rows} USING (data_idx) WHERE first_ch + 1 IN (1, 39))
+        ) WINDOW w AS (PARTITION BY s ORDER BY k))) WHERE px < {width})
+) GROUP BY py, px"""
+
+
 def bins(a: str, b: str, first: int, n: int, width: int, row: str = "row_idx", t: str = "t", v: str = "uv") -> str:
     return f"""{b} AS (
   SELECT {row} AS data_idx, px, avg({v}) AS v FROM {a} JOIN (

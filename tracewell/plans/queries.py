@@ -283,6 +283,12 @@ def q_psth_heatmap(spark, sf_dir):
     return render.event_heatmap(average(spark, sf_dir), avg_rows(spark), WINDOW.n, 60, 36, 3.0, "Vanimo")
 
 
+def q_psth_plot(spark, sf_dir):
+    """The picture of the event average: channels 1 and 20, the mean, the heatmap, the onset."""
+    rounded = average(spark, sf_dir).select("data_idx", "k", r4("mean_uv").alias("mean_uv"))
+    return render.event_plot(materialize(rounded, "psth"), avg_rows(spark), WINDOW.n, -5.0, 1.0, (1, 39), 70, 40, 36, 3.0, "Vanimo")
+
+
 # --- pictures ---
 
 
@@ -684,6 +690,7 @@ QUERIES = {
     "psth_vmax": q_psth_vmax,
     "trace_scale": q_trace_scale,
     "psth_heatmap": q_psth_heatmap,
+    "psth_plot": q_psth_plot,
     "heatmap": q_heatmap,
     "heatmap_bins": q_bins,
     **{f"colormap_{n.lower()}": _colormap(n) for n in color.POSITIVE},
@@ -731,6 +738,10 @@ _SMOOTH = """smooth AS (
   FROM counts a JOIN counts b ON abs(a.disp_idx - b.disp_idx) <= 3 GROUP BY a.disp_idx, a.n)"""
 _FLAT = "array_to_string(channels, ',') AS channels"
 _PSTH = sql.psth(True)
+_PLOT = [
+    "q AS MATERIALIZED (SELECT data_idx, k, round(mean_uv, 4) + 0e0 AS v FROM psth)", sql.bins("q", "m", 0, 25, 70, "data_idx", "k", "v"),
+    f"heat AS MATERIALIZED ({sql.pixels('m', 'display', 70, 36, '3e0', 'Vanimo')})",
+]
 _TABLE = """ranked AS (SELECT abs(uv) AS v, row_number() OVER (ORDER BY abs(uv)) - 1 AS k, count(*) OVER () AS n FROM trace),
 pct AS (SELECT CAST(p AS INT) AS p, v FROM range(10001) r(p) JOIN ranked ON k = (p * (n - 1)) // 10000)"""
 _ROUNDED = sql.SAMPLES.replace("CAST(embedding[pos + 1] AS DOUBLE) * 200 AS uv", "round_even(CAST(embedding[pos + 1] AS DOUBLE) * 200 / 0.01e0, 0) * 0.01e0 AS uv")
@@ -855,6 +866,7 @@ SELECT event_id, user_id, round(start_s, 9) + 0e0 AS start_s, round(view_s, 9) +
     ),
     "trace_scale": sql.with_(_PSTH, "SELECT data_idx, round(greatest(max(abs(mean_uv)), 1e-6), 4) + 0e0 AS scale FROM psth GROUP BY data_idx"),
     "psth_heatmap": sql.with_([*_PSTH, sql.display("avgd"), sql.bins("psth", "m", 0, 25, 60, "data_idx", "k", "mean_uv")], sql.pixels("m", "display", 60, 36, "3e0", "Vanimo")),
+    "psth_plot": sql.with_([*_PSTH, sql.display("avgd"), *_PLOT], sql.plot("avgd", 70, 40, 36, "3e0", "Vanimo")),
     "heatmap": sql.with_([*_BASE, sql.display("raw"), sql.bins("trace", "m", 0, 500, 100)], sql.pixels("m", "display", 100, 40, "40e0", "IceFire")),
     "png_file": sql.with_([*_BASE, sql.display("raw"), sql.bins("trace", "m", 0, 500, 100)], sql.pixels("m", "display", 100, 40, "40e0", "IceFire")),
     "heatmap_bins": sql.with_(
