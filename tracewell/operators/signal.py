@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.filters import butter_highpass, filtfilt, kfilt_matrix, sosfilt
+from tracewell.functions.filters import butter_highpass, filtfilt, kfilt_matrix, sosfilt, where_there
 from tracewell.model import AGC_EPSILON, CMR_FAR_UM, CMR_NEAR_UM, FILTER_ORDER, KFILT_WN, PROBE_TYPES_2, PreprocConfig
 from tracewell.operators.geometry import neighbours
 
@@ -166,7 +166,7 @@ def _across_rows(whole: DataFrame, trace: DataFrame, rows: DataFrame, of: Callab
                     times = np.cumsum(shank == s) - 1
                     at = times[owner[mine]], np.searchsorted(places[int(s)], row[mine])
                     x = np.full((times[-1] + 1, len(places[int(s)])), np.nan)
-                    x[at] = uv[mine]
+                    x[at] = np.where(np.isnan(uv[mine]), 0.0, uv[mine])
                     g = None
                     if gain is not None:
                         g = np.ones_like(x)
@@ -229,26 +229,23 @@ def _shank_rows(rows: DataFrame) -> dict[int, list[int]]:
 def kfilt(trace: DataFrame, rows: DataFrame, keys: Keys = (), wn: float = KFILT_WN) -> DataFrame:
     """The spatial highpass across the rows of a shank at each time: one constant matrix per shank.
 
-    The matrix depends on the number of rows alone. A sample that is not there counts as 0.
+    The matrix depends on the number of rows alone. Where rows have no sample at a time, the others are
+    filtered as if they were all of the shank's.
     """
 
-    matrix = {n: kfilt_matrix(n, wn).T for n in {len(own) for own in _shank_rows(rows).values()}}
-
     def filtered(shank: int, x: np.ndarray, _) -> np.ndarray:
-        return np.nan_to_num(x) @ matrix[x.shape[1]]
+        return where_there(lambda own: own @ kfilt_matrix(own.shape[1], wn).T, x)
 
     return _across_rows(frames(trace, keys), trace, rows, filtered)
 
 
 def destripe(trace: DataFrame, rows: DataFrame, cfg: PreprocConfig, keys: Keys = ()) -> DataFrame:
-    """Divide by the gain, filter across rows, multiply by the gain."""
+    """Divide by the gain, filter across rows as `kfilt` does, multiply by the gain."""
     gained = agc_gain(trace, cfg, keys)
     whole = gained.groupBy(*keys, "shank", "t").agg(F.sort_array(F.collect_list(F.struct("row_idx", "uv", "gain"))).alias("x"))
 
-    matrix = {n: kfilt_matrix(n).T for n in {len(own) for own in _shank_rows(rows).values()}}
-
     def filtered(shank: int, x: np.ndarray, gain: np.ndarray) -> np.ndarray:
-        return (np.nan_to_num(x) / gain) @ matrix[x.shape[1]] * gain
+        return where_there(lambda own: own @ kfilt_matrix(own.shape[1]).T, x / gain) * gain
 
     return _across_rows(whole, trace, rows, filtered)
 
