@@ -204,7 +204,8 @@ def reader_of(path: str, options: dict) -> _Reader:
 class RawWriter(DataSourceArrowWriter):
     """Tiles (t0, n, x) as ranges of one interleaved int16 file: each task writes its own, in any order.
 
-    The file gets its size first, so a range written again, by a task that is run again, changes nothing.
+    The file gets its size first, so a range written again, by a task that is run again, changes nothing. What a
+    tile holds beyond that size is not written.
     """
 
     def __init__(self, options: dict):
@@ -218,7 +219,8 @@ class RawWriter(DataSourceArrowWriter):
         with open(self.path, "r+b") as f:
             for batch in iterator:
                 for t0, n, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    own = np.frombuffer(x, "<i2").reshape(-1, n)
+                    n, own = min(n, max(0, self.total - t0)), np.frombuffer(x, "<i2").reshape(-1, n)
+                    own = own[:, :n]
                     whole = np.full((n, self.channels), self.fill, "<i2")  # channels beyond the tile's, as the sync channel
                     whole[:, : len(own)] = own.T
                     f.seek(t0 * self.channels * 2)
