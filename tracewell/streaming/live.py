@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.functions.filters import butter_highpass, sosfilt_from
 from tracewell.model import AGC_EPSILON, FILTER_ORDER, PreprocConfig
-from tracewell.operators.tiles import RowModel, halo_of, spatial, temporal, unpack
+from tracewell.operators.tiles import RowModel, halo_of, recorded, spatial, temporal, unpack
 from tracewell.sources.files import file_size
 from tracewell.sources.recording import RawReader, RawSource, Span
 
@@ -88,7 +88,7 @@ def live_spikes(stream: DataFrame, cfg: PreprocConfig, threshold: float) -> Data
     return stream.groupBy("ch").applyInPandasWithState(step, "ch int, t long, uv double", "numbers array<double>, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_preprocessed(stream: DataFrame, rows: DataFrame, cfg: PreprocConfig, scale: float, n_samples: int | None = None, means: list[float] | None = None, deviations: list[float] | None = None) -> DataFrame:
+def live_preprocessed(stream: DataFrame, rows: DataFrame, cfg: PreprocConfig, scale: float, n_samples: int | None = None, means: list[float] | None = None, deviations: list[float] | None = None, ends: list[int] | None = None) -> DataFrame:
     """(shank, row_idx, t, uv): all preprocessing stages of a stream of tiles (t0, n, x), zero-phase filter and spatial filter included.
 
     The filters look ahead, so a sample comes out when those after it, as many as the halo, have come in. A
@@ -98,6 +98,7 @@ def live_preprocessed(stream: DataFrame, rows: DataFrame, cfg: PreprocConfig, sc
 
     What depends on the whole recording has to be given: `means` of the rows for DC removal, without which
     there is none, as the highpass removes it anyway; the `deviations` of filtered shanks for 'destripe'.
+    Channels that end before the recording have their number of samples in `ends`; a row has no sample after its end.
     Tiles of a batch may come in any order; a gap between them raises.
     """
     if cfg.dc_removal and means is None and not cfg.highpass:
@@ -112,7 +113,7 @@ def live_preprocessed(stream: DataFrame, rows: DataFrame, cfg: PreprocConfig, sc
     def averaged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for t0, n, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                y = whole.averages(unpack(x, n, scale))
+                y = whole.averages(recorded(unpack(x, n, scale), t0, ends))
                 parts = [np.ascontiguousarray(y[a:b]).tobytes() for a, b in blocks]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([t0] * len(parts)), pa.array(parts, pa.binary())], names=["block", "t0", "y"])
 
@@ -136,7 +137,8 @@ def live_preprocessed(stream: DataFrame, rows: DataFrame, cfg: PreprocConfig, sc
             floors = {0: max(AGC_EPSILON * deviations[block], 1e-8)} if deviations else {}
             done = spatial(temporal(x, model, cfg, own, first == 0), model, cfg, floors, due - first, last - first)
             r, k = np.divmod(np.arange(done.size), last - due)
-            yield pd.DataFrame({"shank": np.full(done.size, model.shank[0], np.int32), "row_idx": (r + blocks[block][0]).astype(np.int32), "t": k + due, "uv": done.ravel()})
+            made = pd.DataFrame({"shank": np.full(done.size, model.shank[0], np.int32), "row_idx": (r + blocks[block][0]).astype(np.int32), "t": k + due, "uv": done.ravel()})
+            yield made[~np.isnan(done.ravel())]
             keep = max(first, last - halo)
             x, first, due = x[:, keep - first :], keep, last
         state.update((first, due, np.ascontiguousarray(x).tobytes()))
