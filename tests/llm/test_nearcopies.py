@@ -109,3 +109,41 @@ def test_odd_tables(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (4, "a"), (4, "a"), (None, "no id")], "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in nearcopies.drop_near_copies(odd).collect()) == [0, 1, 4]
     assert nearcopies.drop_near_copies(odd.limit(0)).count() == 0
+
+
+def test_large_families_in_parts_are_linked_as_in_one(spark):
+    """Families cut into parts of a few leaves, or of few bytes: every two parts of a family meet."""
+    rng, sets = random.Random(3), {}
+    for family in range(3):
+        base = [(family, i) for i in range(200)]
+        for k in range(25):
+            sets[family * 100 + k] = {w if rng.random() > rng.choice((0.02, 0.06, 0.1, 0.13)) else (family, k, i) for i, w in enumerate(base)}
+    hashed = {i: np.unique(np.array([xxh64_intdigest(repr(w).encode()) for w in x], np.uint64)) for i, x in sets.items()}
+    nodes = spark.createDataFrame([(i, nearcopies.fingerprint_of(h), nearcopies.trees_of(h)) for i, h in hashed.items()], "node long, fp long, trees array<long>")
+    whole = spark.createDataFrame([(i, bytearray(h.tobytes())) for i, h in hashed.items()], "node long, hashes binary")
+    of = lambda **parts: {r.node: r.root for r in nearcopies._classes(nodes, lambda wanted: whole.join(wanted, "node", "left_semi"), 50_000, **parts).collect()}
+    want = components(sets)
+    for parts in ({}, {"leaves_of": 4}, {"bytes_of": 10_000}):
+        got = of(**parts)
+        assert {i: got.get(i, i) for i in sets} == want
+
+
+def test_a_similar_pair_behind_many_closer_ones_is_linked(spark):
+    """A pair of similarity 0.8 that shares few of its smallest values; seven others of its tree share more with either, none is similar to any."""
+    r, sets = np.random.default_rng(99), []
+    new = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    core = new(360)
+    pair = [np.unique(np.concatenate((core, new(45)))) for _ in range(2)]
+    alike = lambda x, y: 5 * (both := len(np.intersect1d(x, y))) >= 4 * (len(x) + len(y) - both)
+    for x in pair:
+        got = []
+        while len(got) < 7:
+            d = np.unique(np.concatenate((r.permutation(x)[: int(len(x) * 0.888)], new(int(len(x) * 0.118)))))
+            if not any(alike(d, z) for z in (*pair, *sets, *got)) and (nearcopies.lowest(d) == nearcopies.lowest(x)).sum() >= 108:
+                got.append(d)
+        sets += got
+    sets = pair + sets
+    nodes = spark.createDataFrame([(i, nearcopies.fingerprint_of(h), [7]) for i, h in enumerate(sets)], "node long, fp long, trees array<long>")
+    whole = spark.createDataFrame([(i, bytearray(h.tobytes()), bytearray(nearcopies.lowest(h).tobytes())) for i, h in enumerate(sets)], "node long, hashes binary, low binary")
+    got = {x.node: x.root for x in nearcopies._classes(nodes, lambda wanted: whole.join(wanted, "node", "left_semi"), 50_000).collect()}
+    assert alike(*pair) and [got.get(i, i) for i in range(len(sets))] == [0, 0, *range(2, len(sets))]

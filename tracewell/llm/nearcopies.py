@@ -9,10 +9,10 @@ here other values root them:
    of. Two sets of similarity s share no tree with probability (1 - s^6)^24: 0.07 % at 0.8, 0.001 % at 0.85.
 2. In each tree, node pairs descend together as in `simhash`, with a budget of 20 bits that is opened in
    steps, so that the closest leaves are joined first. A tree yields a forest over its leaves.
-3. The pairs of all forests are compared by the sets themselves; those of similarity 0.8 or more are
-   links. Where a forest's links leave components apart, the closest pairs of each leaf are compared too,
-   and after those all others that share enough of the 144 smallest values. So groups that are linked
-   already yield no further pairs, and the others none that is plainly apart.
+3. What the forests of all trees connect is a family. The sets of a family meet in one task, or in several
+   for each two parts of a large one, and all pairs within the budget are compared there by the sets
+   themselves, but for those that links connect already. Only links leave a task, at most one for each leaf
+   that comes in, so no table of pairs grows with the square of a family's size.
 4. Links meet in connected components.
 """
 
@@ -32,9 +32,9 @@ from tracewell.llm.simhash import SEED, Classes, connected_components, walk, who
 
 WIDTH, SIMILARITY, TREES, PER_TREE = 5, 0.8, 24, 6
 BUDGETS = (1, 3, 6, 10, 14, 20)  # bits of 64; at a similarity of 0.8 all but 0.03 % of the pairs differ in 20 or fewer
-#: Of the 144 smallest values a pair of similarity 0.8 shares 115, at least 98 but in 0.03 % and at least 104 but in 1.1 % of cases.
-#: The closest pairs of a leaf are compared from the first number on, all others from the second.
-CLOSEST, LEAST_CLOSEST, LEAST = 4, 98, 104
+#: Leaves, and bytes of their sets, in a part of a family: a task holds two parts at a time.
+PART_LEAVES, PART_BYTES = 4096, 8 << 20
+_PAIRS = 4096  # pairs that a task compares before it looks again at what is linked
 _RNG = np.random.default_rng(SEED)
 _TIMES = (_RNG.integers(0, 1 << 31, TREES * PER_TREE).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _PLUS = _RNG.integers(0, 1 << 32, TREES * PER_TREE, np.uint64).astype(np.uint32)[:, None]
@@ -129,8 +129,8 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     for batch in _slices(it):
         sets = [shingles(x.as_py(), known=known) for x in batch.column(0)]
-        columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([lowest(s).tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["node", "hashes", "low"])
+        columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "hashes"])
 
 
 # --- candidate pairs from tries ---
@@ -147,12 +147,7 @@ def _ordered(tree: np.ndarray, fp: np.ndarray, node: np.ndarray, *more: np.ndarr
 
 
 def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, fp, node) in order of trees: (tree, grp, fp, node, other) for what the budget joins.
-
-    `grp` names a group of leaves of a tree by its first node. Each of its leaves has one row whose
-    `other` is null, and each pair of its forest one with the second leaf in `other`. A leaf that the
-    budget joins to none gives nothing.
-    """
+    """Rows (tree, fp, node) in order of trees: the pairs (u, v) of each tree's forest over the leaves that the budget joins."""
     for tree, fp, node in whole_trees(it, 1, 1 << 16):
         same = tree[1:] == tree[:-1]
         several = np.append(same, False) | np.insert(same, 0, False)  # most trees have one leaf
@@ -169,83 +164,8 @@ def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             walk(at, f, bits, classes, near)
         if not pairs:
             continue
-        x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        root = classes.settle()
-        heads = np.unique(root[x])
-        rows = np.concatenate((x, np.flatnonzero(np.isin(root, heads))))
-        other = pa.array(np.concatenate((node[y], node[rows[len(x) :]])), mask=np.arange(len(rows)) >= len(x))
-        columns = [pa.array(tree[rows]), pa.array(node[root[rows]]), pa.array(f[rows].view("<i8")), pa.array(node[rows]), other]
-        yield pa.RecordBatch.from_arrays(columns, names=["tree", "grp", "fp", "node", "other"])
-
-
-def _closest(x: np.ndarray, y: np.ndarray, shared: np.ndarray, most: int) -> np.ndarray:
-    """Places of the pairs that are among the `most` closest ones of either leaf."""
-    ends, at = np.concatenate((x, y)), np.tile(np.arange(len(x)), 2)
-    order = np.lexsort((-shared[at], ends))
-    first = np.flatnonzero(np.append(True, np.diff(ends[order]) != 0))
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return np.unique(at[order][rank < most])
-
-
-def _padded(lists: np.ndarray, filler: int) -> np.ndarray:
-    """Lists of numbers as the rows of a matrix, filled up at the end."""
-    made = np.full((len(lists), max(map(len, lists), default=0)), filler, np.int64)
-    for row, own in zip(made, lists, strict=True):
-        row[: len(own)] = own
-    return made
-
-
-def _first_common(a: np.ndarray, b: np.ndarray, none: int = -1) -> np.ndarray:
-    """For each row the first number of `a` that is in the row of `b`."""
-    found, open_ = np.full(len(a), none, np.int64), np.ones(len(a), bool)
-    for column in a.T:
-        here = open_ & (column[:, None] == b).any(1)
-        found[here] = column[here]
-        open_ &= ~here
-    return found
-
-
-def _rest(it: Iterator[pa.RecordBatch], most: int | None, at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, fp, node, root, low, grps) in order of groups: the pairs (u, v) within the budget whose roots differ
-    and which share enough of their smallest values: all of them, or the `most` closest ones of each leaf.
-
-    `grps` has all groups of a leaf in order. A pair that meets in several groups comes out of the first one only.
-    """
-    least = LEAST_CLOSEST if most else LEAST
-    for grp, fp, node, root, low, grps in whole_trees(it, 1, 1 << 14):
-        at, f, own, node, root, low, grps = _ordered(grp, fp, node, root, low, grps)
-        own_groups, other_groups = _padded(grps, -(1 << 63)), _padded(grps, (1 << 63) - 1)
-        low = np.frombuffer(b"".join(low), np.uint32).reshape(len(low), -1)
-        found: list[list[np.ndarray]] = []
-        kept = 0
-
-        def trimmed(found: list[list[np.ndarray]]) -> list[np.ndarray]:
-            whole = [np.concatenate(c) for c in zip(*found, strict=True)]
-            best = _closest(*whole, most) if most else slice(None)
-            return [c[best] for c in whole]
-
-        def near(x: np.ndarray, y: np.ndarray, found=found, root=root, low=low, trimmed=trimmed, own=own, own_groups=own_groups, other_groups=other_groups) -> None:
-            nonlocal kept
-            differ = root[x] != root[y]
-            x, y = x[differ], y[differ]
-            for lo in range(0, len(x), at_once):
-                a, b = x[lo : lo + at_once], y[lo : lo + at_once]
-                shared = (low[a] == low[b]).sum(1)
-                close = shared >= least
-                close[close] = _first_common(own_groups[a[close]], other_groups[b[close]]) == own[a[close]]
-                if close.any():
-                    found.append([a[close], b[close], shared[close]])
-                    kept += int(close.sum())
-            if most and kept > 16 * most * len(root) + at_once:
-                found[:] = [trimmed(found)]
-                kept = len(found[0][0])
-
-        walk(at, f, BUDGETS[-1], Classes.of(at, root), near, every=True)
-        if found:
-            x, y, _ = trimmed(found)
-            for lo in range(0, len(x), at_once):
-                a, b = node[x[lo : lo + at_once]], node[y[lo : lo + at_once]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+        x, y = (node[np.concatenate(p)] for p in zip(*pairs, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
 
 
 def _planted(nodes: DataFrame, large: int) -> DataFrame:
@@ -265,57 +185,82 @@ def _planted(nodes: DataFrame, large: int) -> DataFrame:
 # --- comparison of sets ---
 
 
-def _compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (u, part, own, node, hashes), a group's own set first: pairs (u, v) of similar sets."""
-    head = one = None
-    for batch in _slices(it):
-        out: list[tuple[int, int]] = []
-        for u, own, node, h in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-            found = np.frombuffer(h, np.uint64)
-            if own == 0:
-                head, one = u, found
-                continue
-            assert u == head
-            both = len(np.intersect1d(one, found, assume_unique=True))
-            if both * 5 >= 4 * (len(one) + len(found) - both):
-                out.append((u, node))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, at_once: int = 500) -> DataFrame:
-    """The pairs (u, v) of similar sets; a u with more than `at_once` partners is cut into parts, each with its set."""
-    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / at_once).cast("long").alias("parts"))
-    own = parts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("own"), F.col("u").alias("node"))
-    rest = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), F.lit(1).alias("own"), F.col("v").alias("node"))
-    rows = own.unionByName(rest).join(sets, "node").select("u", "part", "own", "node", "hashes")
-    return in_arrow(rows.repartition("u", "part").sortWithinPartitions("u", "part", "own"), _compared, "u long, v long")
-
-
-def _classes(nodes: DataFrame, sets_of, large: int) -> DataFrame:
+class _Sets:
+    """The sets of leaves as numbers from 0, one after the other."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        self.start = np.cumsum(self.size) - self.size
+        values, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(values), bool)
+
+    def similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of leaves have similar sets."""
+        both = np.zeros(len(x), np.int64)
+        order = np.argsort(x, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(x[order])) + 1):
+            own = self.ids[self.start[x[at[0]]] :][: self.size[x[at[0]]]]
+            self.mark[own] = True
+            size = self.size[y[at]]
+            first = np.cumsum(size) - size
+            places = np.arange(size.sum()) + np.repeat(self.start[y[at]] - first, size)
+            both[at] = np.add.reduceat(self.mark[self.ids[places]], first, dtype=np.int64)
+            self.mark[own] = False
+        return both * 5 >= 4 * (self.size[x] + self.size[y] - both)
+
+
+def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, fp, node, part, hashes) in order of cells: links (u, v) that connect what all similar pairs within the budget connect.
+
+    A cell has one part of a family, all of whose pairs are compared, or two parts, of which those across are.
+    """
+    for cell, fp, node, part, hashes in whole_trees(it, 1, 1):
+        at, f, cell, node, part, hashes = _ordered(cell, fp, node, part, hashes)
+        sets, classes = _Sets([np.frombuffer(h, np.uint64) for h in hashes]), Classes(len(f))
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        two = (np.maximum.reduceat(part, first) != np.minimum.reduceat(part, first))[at]
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def near(x: np.ndarray, y: np.ndarray, sets=sets, classes=classes, part=part, two=two, links=links) -> None:
+            low, high = np.minimum(sets.size[x], sets.size[y]), np.maximum(sets.size[x], sets.size[y])
+            tried = (5 * low >= 4 * high) & (~two[x] | (part[x] != part[y]))
+            x, y = x[tried], y[tried]
+            for lo in range(0, len(x), _PAIRS):
+                root = classes.settle() if classes.stale else classes.parent
+                a, b = x[lo : lo + _PAIRS], y[lo : lo + _PAIRS]
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+                if len(a):
+                    good = sets.similar(a, b)
+                    a, b = a[good], b[good]
+                    made = classes.join(a, b)
+                    links.append((a[made], b[made]))
+
+        walk(at, f, BUDGETS[-1], classes, near, every=True)
+        if links:
+            x, y = (node[np.concatenate(p)] for p in zip(*links, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+
+
+def _cells(leaves: DataFrame, leaves_of: int, bytes_of: int) -> DataFrame:
+    """(cell, fp, node, part, hashes) from (family, fp, node, hashes): a family of several parts comes out once for each two of them."""
+    parts = F.greatest(F.ceil(F.count("*") / leaves_of), F.ceil(F.sum(F.octet_length("hashes")) / bytes_of)).cast("int")
+    sizes = leaves.groupBy("family").agg(parts.alias("parts"))
+    dealt = leaves.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select(F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "fp", "node", "part", "hashes")
+
+
+def _classes(nodes: DataFrame, sets_of, large: int, leaves_of: int = PART_LEAVES, bytes_of: int = PART_BYTES) -> DataFrame:
     """(node, root): the components of all similar pairs of nodes (node, fp, trees); a node without a link may be left out."""
     dealt = _planted(nodes, large).repartition("tree").sortWithinPartitions("tree")
-    joined = materialize(in_arrow(dealt.select("tree", "fp", "node"), _forest, "tree long, grp long, fp long, node long, other long"), "forest")
-    tried = materialize(joined.where("other IS NOT NULL").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "pairs")
-    members = joined.where("other IS NULL").select(F.xxhash64("tree", "grp").alias("grp"), "fp", "node")
-    groups = materialize(members.groupBy("node").agg(F.sort_array(F.collect_set("grp")).alias("grps")), "groups")  # at most one of each of a node's trees
-    sets = sets_of(groups.select("node"))
-    roots = connected_components(_similar(tried, sets))
-    for most in (CLOSEST, None):  # what the budget joins and the links don't: the closest pairs of each leaf, then all others
-        placed = materialize(members.join(roots, "node", "left").select("grp", "fp", "node", F.coalesce("root", "node").alias("root")), "members")
-        mixed = placed.groupBy("grp").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("grp")
-        left = placed.join(mixed, "grp", "left_semi").join(sets.select("node", "low"), "node").join(groups, "node")
-        left = left.select("grp", "fp", "node", "root", "low", "grps").repartition("grp").sortWithinPartitions("grp")
-        pairs = in_arrow(left, lambda it, most=most: _rest(it, most), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():  # no closest pair is left to compare, so there is no other one either
-            break
-        # links between the classes found so far, each named by its root
-        known = placed.select("node", "root").distinct()
-        links = _similar(pairs, sets).join(known.toDF("u", "ru"), "u").join(known.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        above = connected_components(links).toDF("root", "top")
-        roots = known.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        tried = tried.unionByName(pairs)
-    return roots
+    pairs = materialize(in_arrow(dealt.select("tree", "fp", "node"), _forest, "u long, v long").distinct(), "pairs")
+    found = connected_components(pairs, "families")
+    members = found.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node")).unionByName(found.select("node", "root"))
+    members = materialize(members.withColumnRenamed("root", "family").join(nodes.select("node", "fp"), "node"), "members")
+    leaves = members.join(sets_of(members.select("node")).select("node", "hashes"), "node")
+    cells = _cells(leaves, leaves_of, bytes_of).repartition("cell").sortWithinPartitions("cell")
+    return connected_components(in_arrow(cells, _linked, "u long, v long"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = 50_000) -> DataFrame:
@@ -334,7 +279,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lar
     def sets_of(wanted: DataFrame) -> DataFrame:
         marks = nodes.join(wanted, "node", "left_semi").select("th")
         texts = docs.select("text", "th").dropDuplicates(["th"]).join(marks, "th", "left_semi").select("text")
-        return materialize(in_arrow(texts, _sets, "node long, hashes binary, low binary"), "sets").dropDuplicates(["node"])
+        return materialize(in_arrow(texts, _sets, "node long, hashes binary"), "sets").dropDuplicates(["node"])
 
     roots = _classes(nodes.drop("th"), sets_of, large)
     return rows.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
